@@ -1,0 +1,7 @@
+"""DuckDB SQL of the registered queries, where SQL can express the whole result on whole tables."""
+
+from __future__ import annotations
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
