@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that a worker-local cache holds before it starts anew.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 300_000
 #: Rows of one Arrow slice that a Python function works on at a time.
 SLICE_ROWS = 256
 
@@ -156,3 +156,10 @@ def statistics(text: bytes | None, hashes: WordHashes, window: int = 5) -> list[
         n_symbols / c, n_dup / max(n_lines, 1), n_repeat / w, int(counts[65:91].sum()) / c, int(counts[48:58].sum()) / c, int(counts[_PUNCT].sum()) / c,
         int(counts[33]) / w, int(counts[124]) / w, word_chars / w, distinct / w, runs / w, float(np.log1p(n)), n_lines / w,
     ]
+
+
+def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Let Arrow batches hold at most `rows` rows, so that whole long texts fit a Python worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

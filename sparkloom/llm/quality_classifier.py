@@ -124,6 +124,7 @@ def quality_classifier(docs: DataFrame, machine: Machine, threshold: float = 0.3
     A null or empty text is scored by its statistics, all zero. held_out is null for a null doc_id. Repeated
     rows are scored each; other columns are ignored whatever their names; an empty table gives no rows.
     """
+    common.bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(machine)
     schema = docs.select("doc_id").schema.add("held_out", "boolean").add("score", "double").add("predicted", "integer")
 

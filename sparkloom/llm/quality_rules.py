@@ -128,6 +128,7 @@ def quality_rules(docs: DataFrame, trees: Trees, threshold: float = 0.3, min_wor
     A null or empty text has no words, so the base rule fails. Repeated rows are judged each; columns
     other than doc_id and text are ignored whatever their names; an empty table gives no rows.
     """
+    common.bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(trees)
     schema = docs.select("doc_id").schema
     for name in STATS[:5]:

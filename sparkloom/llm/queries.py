@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe
+from . import packing as pack
 from . import quality_classifier as fm
 from . import quality_rules as rules
 from . import toxicity as tox
@@ -18,6 +21,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(docs, rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.packing(table(spark, sf_dir, "documents"), bpe.vocabulary("word_bpe_49k.json"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return fm.quality_classifier(docs, fm.train(docs, table(spark, sf_dir, "labels")))
@@ -28,6 +35,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tox.toxicity(docs, tox.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = bpe.vocabulary("byte_bpe_50k.json")
+    return bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict:
     found = [v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()]
     return {f.__name__: f for f in found}
