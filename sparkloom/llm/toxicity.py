@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import CACHE_ENTRIES, MULT, mix, slices
+from .common import CACHE_ENTRIES, MULT, bounded_batches, mix, slices
 
 #: Bound of the labelled sample that the classifier is fitted on.
 SAMPLE_ROWS = 12_000
@@ -75,31 +75,26 @@ class WordScores(dict):
             self.update(zip(part, np.bincount(owner, self.model.weight[ids], len(part)).tolist(), strict=True))
 
 
-def fit(rows: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, alpha: float = 0.5, z: float = 4.0, l2: float = 1e-3, steps: int = 200) -> Linear:
-    """rows: each document's distinct hashed n-grams, counts: in how many of its distinct words. With one class
-    the score is constant, the smoothed share of ones.
+def doc_grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A document's distinct hashed n-grams, and in how many of its distinct words each is."""
+    words = sorted(words_of(text))
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    gram, owner = grams_of(words)
+    return np.unique(np.unique(gram * len(words) + owner) // len(words), return_counts=True)
 
-    Features whose class frequencies differ by fewer than z standard errors get weight 0.
-    """
+
+def fit(rows: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, chosen: np.ndarray, ratio: np.ndarray, l2: float = 1e-3, steps: int = 200) -> Linear:
+    """rows: for each document the places in `chosen` of the features that it has, counts: in how many of its distinct
+    words. With one class the score is constant, the smoothed share of ones."""
     share = (y.sum() + 0.5) / (len(y) + 1)
     prior = float(np.log(share / (1 - share)))
     weight = np.zeros(1 << BITS, np.float32)
-    if not len(y) or y.sum() in (0, len(y)):
+    if not len(y) or y.sum() in (0, len(y)) or not len(chosen):
         return Linear(weight, prior)
-    idx = np.concatenate(rows)
-    val = np.concatenate(counts).astype(np.float64)
+    col = np.concatenate(rows)
     doc = np.repeat(np.arange(len(y)), [len(r) for r in rows])
-    pos, neg = (np.bincount(idx, (y[doc] == c).astype(float), 1 << BITS) for c in (1, 0))
-    n1, n0 = y.sum(), len(y) - y.sum()
-    ratio = np.log(((pos + alpha) / (n1 + 2 * alpha)) / ((neg + alpha) / (n0 + 2 * alpha)))
-    p = (pos + neg) / len(y)
-    error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    chosen = np.flatnonzero((np.abs(pos / n1 - neg / n0) > z * error) & (pos + neg >= 3))
-    place = np.full(1 << BITS, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[idx] >= 0
-    col, doc = place[idx[keep]], doc[keep]
-    x = np.minimum(val[keep], 8) * ratio[idx[keep]]
+    x = np.minimum(np.concatenate(counts), 8) * ratio[col]
     w, b = np.zeros(len(chosen)), prior
     scale = np.bincount(col, x * x, len(chosen)) / len(y)
     gw, gb = np.full(len(chosen), 1e-8), 1e-8
@@ -111,29 +106,56 @@ def fit(rows: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, alpha:
         gb += d.sum() ** 2
         w -= 0.2 * g / np.sqrt(gw)
         b -= 0.2 * d.sum() / np.sqrt(gb)
-    weight[chosen] = w * ratio[chosen]
+    weight[chosen] = w * ratio
     return Linear(weight, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Linear:
-    """Fit on at most `sample_rows` labelled documents outside the held-out fold. Only hashed n-grams reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, alpha: float = 0.5, z: float = 4.0, least: int = 3) -> Linear:
+    """Fit on at most `sample_rows` labelled documents outside the held-out fold.
 
-    def run(batches):
+    Spark counts in how many documents of each class an n-gram is. Features in fewer than `least` documents, and
+    those whose class frequencies differ by at most z standard errors, get weight 0. Only the features that are
+    left reach the driver: at most 2^BITS, whatever the input.
+    """
+    bounded_batches(docs.sparkSession)
+    sample = common.shared_table(common.labelled_sample(docs, labels, "toxic", sample_rows).select("label", "text"), "toxicity-sample")
+
+    def count(batches):
+        for batch in slices(batches):
+            grams = {0: [np.zeros(0, np.int64)], 1: [np.zeros(0, np.int64)]}
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                grams[label].append(doc_grams(text)[0])
+            for label, found in grams.items():
+                u, n = np.unique(np.concatenate(found), return_counts=True)
+                zero = np.zeros(len(u), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n if label else zero), pa.array(zero if label else n)], names=["gram", "pos", "neg"])
+
+    size = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    n1, n0 = size.get(1, 0), size.get(0, 0)
+    p = (F.col("pos") + F.col("neg")) / (n1 + n0)
+    error = F.sqrt(p * (1 - p) * (1 / max(n1, 1) + 1 / max(n0, 1)))
+    table = (
+        sample.mapInArrow(count, "gram long, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        .filter((F.col("pos") + F.col("neg") >= least) & (F.abs(F.col("pos") / max(n1, 1) - F.col("neg") / max(n0, 1)) > z * error))
+        .toArrow().sort_by("gram")
+    )
+    chosen, pos, neg = (table[c].to_numpy() for c in ("gram", "pos", "neg"))
+    ratio = np.log(((pos + alpha) / (n1 + 2 * alpha)) / ((neg + alpha) / (n0 + 2 * alpha)))
+    place = docs.sparkSession.sparkContext.broadcast(chosen)
+
+    def select(batches):
         for batch in slices(batches):
             ids, counts = [], []
             for text in batch.column(1).to_pylist():
-                words = sorted(words_of(text))
-                gram, owner = grams_of(words) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                pair = np.unique(gram * (len(words) + 1) + owner)
-                u, c = np.unique(pair // (len(words) + 1), return_counts=True)
-                ids.append(u.astype(np.int32))
-                counts.append(c.astype(np.int32))
+                gram, n = doc_grams(text)
+                _, at, own = np.intersect1d(place.value, gram, assume_unique=True, return_indices=True)
+                ids.append(at.astype(np.int32))
+                counts.append(n[own].astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["label", "ids", "counts"])
 
-    sample = common.labelled_sample(docs, labels, "toxic", sample_rows).select("label", "text")
-    table = sample.mapInArrow(run, "label int, ids array<int>, counts array<int>").toArrow()
-    lists = [[x.values.to_numpy(zero_copy_only=False) for x in table[c]] for c in ("ids", "counts")]
-    return fit(*lists, np.array(table["label"].to_pylist(), float))
+    table = sample.mapInArrow(select, "label int, ids array<int>, counts array<int>").toArrow()
+    lists = [[v.values.to_numpy(zero_copy_only=False) for v in table[c]] for c in ("ids", "counts")]
+    return fit(*lists, np.array(table["label"].to_pylist(), float), chosen, ratio)
 
 
 def toxicity(docs: DataFrame, model: Linear, threshold: float = 0.5) -> DataFrame:
@@ -143,6 +165,7 @@ def toxicity(docs: DataFrame, model: Linear, threshold: float = 0.5) -> DataFram
     doc_id. Repeated rows are scored each; other columns are ignored whatever their names; an empty table
     gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select("doc_id").schema.add("held_out", "boolean").add("score", "double").add("predicted", "integer")
 
