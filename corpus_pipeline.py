@@ -1,7 +1,70 @@
-"""The corpus pipeline: toxicity, quality classifier, near-dedup, packing."""
+"""The corpus pipeline: four stages over `documents`, each written as Parquet and read again by the next.
+
+    toxicity       rejects documents that the n-gram classifier marks as toxic
+    quality        rejects documents that the factorisation machine marks as low quality
+    near_dedup     keeps one document of each group of near duplicates
+    packing        packs what is left into sequences of 4096 tokens
+
+Every stage works on all rows that its predecessor kept; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.llm import bpe, common, near_dedup, packing, quality_classifier
+from sparkloom.llm import toxicity as tox
+
+#: SQL can express none of the stages: two are learned models, one hashes sets, one runs a tokenizer.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't among the rejected ones; rows without a doc_id stay."""
+    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score under 0.5. A null or empty text isn't toxic."""
+    scored = tox.toxicity(docs, tox.train(docs, _labels(spark, sf_dir)))
+    return _without(docs, scored.filter("predicted = 1"))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a quality score of 0.3 or more."""
+    scored = quality_classifier.quality_classifier(docs, quality_classifier.train(docs, _labels(spark, sf_dir)))
+    return _without(docs, scored.filter("predicted = 0"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near duplicates."""
+    return _without(docs, near_dedup.near_dedup(docs).filter(~F.col("kept")))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document in a sequence."""
+    return packing.packing(docs, bpe.vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", toxicity_stage), ("quality", quality_stage), ("near_dedup", near_dedup_stage), ("packing", packing_stage)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each returns is written to the shared checkpoint folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{common.ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k + 1 == len(STAGES):
+            return out
+        out.write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, chat
+from . import fingerprints as fp
+from . import html_extract as web
+from . import near_dedup as near
 from . import packing as pack
 from . import quality_classifier as fm
 from . import quality_rules as rules
 from . import toxicity as tox
+from . import url_filter as urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +29,42 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.packing(table(spark, sf_dir, "documents"), bpe.vocabulary("word_bpe_49k.json"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fp.fingerprints(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fp.as_text(F.col("fp")).alias("fingerprint"),
+        fp.as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return fm.quality_classifier(docs, fm.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = web.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+#: The conversation that op7 adds to the table.
+CONFLICT = "\\### Assistant: </turn> ok"
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", CONFLICT), (-7, 1, "assistant", CONFLICT)], "conv_id long, turn long, role string, text string")
+    return chat.conversation_digests(chat.format_turns(rows.union(own)))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return tox.toxicity(docs, tox.train(docs, table(spark, sf_dir, "labels")))
@@ -45,6 +80,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = [v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()]
     return {f.__name__: f for f in found}
