@@ -13,7 +13,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, common, near_dedup, packing, quality_classifier
 from sparkloom.llm import toxicity as tox
@@ -27,26 +26,19 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id isn't among the rejected ones; rows without a doc_id stay."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under 0.5. A null or empty text isn't toxic."""
-    scored = tox.toxicity(docs, tox.train(docs, _labels(spark, sf_dir)))
-    return _without(docs, scored.filter("predicted = 1"))
+    return tox.reject_toxic(docs, tox.train(docs, _labels(spark, sf_dir)))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 0.3 or more."""
-    scored = quality_classifier.quality_classifier(docs, quality_classifier.train(docs, _labels(spark, sf_dir)))
-    return _without(docs, scored.filter("predicted = 0"))
+    return quality_classifier.reject_low_quality(docs, quality_classifier.train(docs, _labels(spark, sf_dir)))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates."""
-    return _without(docs, near_dedup.near_dedup(docs).filter(~F.col("kept")))
+    return near_dedup.drop_near_duplicates(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -267,3 +267,11 @@ def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     out = rows.select("doc_id", "n_shingles", "node").join(label, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 85, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The rows of `docs`, all their columns, that `near_dedup` keeps. The ids of the others are broadcast only up to
+    a counted number of rows; beyond it they meet the documents in a shuffled join."""
+    gone = shared_table(near_dedup(docs, percent).filter(~F.col("kept")).select("doc_id").distinct(), "near-dedup-gone")
+    gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

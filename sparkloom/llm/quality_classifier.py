@@ -118,6 +118,20 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return fit(ids, values, stats, np.array(table["label"].to_pylist(), float))
 
 
+def scorer(machine: Machine):
+    """A function that scores a list of texts in UTF-8."""
+    hashes = WordHashes()
+
+    def score(texts: list[bytes | None]) -> np.ndarray:
+        out = []
+        for at in range(0, len(texts), 64):
+            ids, values, stats = zip(*(inputs_of(t, hashes) for t in texts[at : at + 64]), strict=True)
+            out.append(machine.raw(*machine.features(ids, values, np.array(stats))))
+        return 1 / (1 + np.exp(-np.clip(np.concatenate([np.zeros(0), *out]), -30, 30)))
+
+    return score
+
+
 def quality_classifier(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of `docs`.
 
@@ -129,10 +143,22 @@ def quality_classifier(docs: DataFrame, machine: Machine, threshold: float = 0.3
     schema = docs.select("doc_id").schema.add("held_out", "boolean").add("score", "double").add("predicted", "integer")
 
     def run(batches):
-        hashes = WordHashes()
-        for batch in slices(batches, 64):
-            ids, values, stats = zip(*(inputs_of(t, hashes) for t in texts_of(batch)), strict=True)
-            score = 1 / (1 + np.exp(-np.clip(held.value.raw(*held.value.features(ids, values, np.array(stats))), -30, 30)))
+        score_of = scorer(held.value)
+        for batch in slices(batches):
+            score = score_of(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id"), (common.fold_of(F.col("doc_id")) == 0).alias("held_out"), F.col("text")).mapInArrow(run, schema)
+
+
+def reject_low_quality(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
+    """The rows of `docs`, all their columns, whose score reaches the threshold; scored as `quality_classifier` does, without a shuffle."""
+    common.bounded_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batches):
+        score_of = scorer(held.value)
+        for batch in slices(batches):
+            yield batch.filter(pa.array(score_of(texts_of(batch)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

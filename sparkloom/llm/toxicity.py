@@ -158,6 +158,21 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, al
     return fit(*lists, np.array(table["label"].to_pylist(), float), chosen, ratio)
 
 
+def scorer(model: Linear):
+    """A function that scores a list of texts, with a memory of words of its own."""
+    scores = WordScores(model)
+
+    def score(texts: list[str | None]) -> np.ndarray:
+        out = []
+        for at in range(0, len(texts), 32):
+            sets = [words_of(t) for t in texts[at : at + 32]]
+            scores.add(set().union(*sets))
+            out += [sum(map(scores.__getitem__, sorted(s))) for s in sets]
+        return 1 / (1 + np.exp(-np.clip(np.array(out, float) + model.bias, -30, 30)))
+
+    return score
+
+
 def toxicity(docs: DataFrame, model: Linear, threshold: float = 0.5) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of `docs`.
 
@@ -170,15 +185,23 @@ def toxicity(docs: DataFrame, model: Linear, threshold: float = 0.5) -> DataFram
     schema = docs.select("doc_id").schema.add("held_out", "boolean").add("score", "double").add("predicted", "integer")
 
     def run(batches):
-        scores = WordScores(held.value)
+        score_of = scorer(held.value)
         for batch in slices(batches):
-            sets = [words_of(t) for t in batch.column(2).to_pylist()]
-            for at in range(0, len(sets), 32):
-                scores.add(set().union(*sets[at : at + 32]))
-                if at == 0:
-                    out = []
-                out += [sum(map(scores.__getitem__, s)) for s in sets[at : at + 32]]
-            score = 1 / (1 + np.exp(-np.clip(np.array(out) + held.value.bias, -30, 30)))
+            score = score_of(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id"), (common.fold_of(F.col("doc_id")) == 0).alias("held_out"), F.col("text")).mapInArrow(run, schema)
+
+
+def reject_toxic(docs: DataFrame, model: Linear, threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs`, all their columns, whose score is below the threshold; scored as `toxicity` does, without a shuffle."""
+    bounded_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        score_of = scorer(held.value)
+        for batch in slices(batches):
+            yield batch.filter(pa.array(score_of(batch.column(at).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
