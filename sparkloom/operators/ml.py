@@ -155,7 +155,8 @@ def lasso_fit(df: DataFrame, x: Sequence[str], target: str, alpha: float = 0.1,
 
 
 def lasso_path(df: DataFrame, x: Sequence[str], target: str, alphas: Sequence[float] = (0.001, 0.01, 0.1, 1.0)) -> DataFrame:
-    rows = [(float(a), n, c) for a in alphas for n, c in zip(*(f := lasso_fit(df, x, target, a), (f["names"], f["coefficients"]))[1], strict=True)]
+    fits = [(float(a), lasso_fit(df, x, target, a)) for a in alphas]
+    rows = [(a, n, c) for a, f in fits for n, c in zip(f["names"], f["coefficients"], strict=True)]
     return df.sparkSession.createDataFrame(rows, "alpha double, name string, coefficient double")
 
 
