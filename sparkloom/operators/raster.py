@@ -139,7 +139,7 @@ def route(df: DataFrame, number: str = "number", course: Sequence[str] = ()) ->
     """(number, kind, length): the play of each hole and the walk to the next tee."""
     w = Window.partitionBy(*course).orderBy(number)
     walk = F.hypot(F.lead("tx").over(w) - F.col("bx"), F.lead("ty").over(w) - F.col("by"))
-    legs = df.withColumn("legs", F.array(F.struct(F.lit("play").alias("kind"), F.hypot(F.col("bx") - F.col("tx"), F.col("by") - F.col("ty")).alias("length")), F.struct(F.lit("walk"), walk)))
+    legs = df.withColumn("legs", F.array(F.struct(F.lit("play").alias("kind"), F.hypot(F.col("bx") - F.col("tx"), F.col("by") - F.col("ty")).alias("length")), F.struct(F.lit("walk").alias("kind"), walk.alias("length"))))
     return legs.select(*course, number, F.inline("legs")).filter(F.col("length").isNotNull())
 
 

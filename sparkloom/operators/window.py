@@ -51,11 +51,11 @@ def _framed(df, column, as_, fn, least, w) -> DataFrame:
     x = double(column)
     kinds: dict[str, Callable[[], Column]] = {
         "mean": lambda: F.avg(x), "sum": lambda: F.sum(x), "min": lambda: F.min(x), "max": lambda: F.max(x), "median": lambda: F.percentile(x, F.lit(0.5)),
-        "var": lambda: F.var_samp(x), "std": lambda: F.stddev_samp(x), "count": lambda: F.count(x).cast("double"),
+        "var": lambda: F.var_samp(x), "std": lambda: F.stddev_samp(x), "count": lambda: F.count(x),
     }
     if fn not in kinds:
         raise ValueError(f"unknown function {fn!r}; there are {', '.join(kinds)}")
-    return df.withColumn(as_, F.when(F.count(x).over(w) >= least, kinds[fn]().over(w)))
+    return df.withColumn(as_, F.when(F.count(x).over(w) >= least, kinds[fn]().over(w).cast("double")))
 
 
 def difference(df: DataFrame, column: str, as_: str, order: Sequence[str], partition: Sequence[str] = (), lag: int = 1, times: int = 1) -> DataFrame:

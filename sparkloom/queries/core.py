@@ -146,14 +146,14 @@ def asof_forward(t):
     SELECT event_id, user_id, click_id FROM (SELECT p.event_id, p.user_id, c.click_id, row_number() OVER (PARTITION BY p.event_id ORDER BY abs(epoch_us(p.ts) - epoch_us(c.click_ts)), c.click_ts, c.click_id) AS n FROM """ + _ASOF.format("LEFT JOIN") + " ON p.user_id = c.user_id) WHERE n = 1")
 def asof_nearest(t):
     p, c = _sides(t)
-    seconds = lambda df: df.withColumn("at", F.unix_micros("ts")).drop("ts")
+    seconds = lambda df: df.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts")
     return rel.asof_join(seconds(p), seconds(c), "at", ["user_id"], "nearest", tie=["click_id"]).select("event_id", "user_id", "click_id")
 
 
 @query("asof_tolerance", "SELECT p.event_id, CASE WHEN epoch_us(p.ts) - epoch_us(c.click_ts) <= 3600000000 THEN c.click_id END AS click_id FROM " + _ASOF.format("ASOF LEFT JOIN") + " ON p.user_id = c.user_id AND p.ts >= c.click_ts")
 def asof_tolerance(t):
     p, c = _sides(t)
-    micros = lambda df: df.withColumn("at", F.unix_micros("ts")).drop("ts")
+    micros = lambda df: df.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts")
     return rel.asof_join(micros(p), micros(c), "at", ["user_id"], tolerance=3600e6, tie=["click_id"]).select("event_id", "click_id")
 
 

@@ -20,7 +20,7 @@ def pairwise(t):
     return la.pairwise(q, t.embeddings, "vec_id", "embedding").withColumn("distance", r("distance"))
 
 
-@query("pairwise_cityblock", f"SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum([abs(x - y) FOR x, y IN list_zip(a.e, b.e)]), 3) + 0.0 AS distance FROM {_VEC} a, {_VEC} b WHERE a.vec_id < 5".replace("[abs(x - y) FOR x, y IN list_zip(a.e, b.e)]", "list_transform(list_zip(a.e, b.e), z -> abs(z[1] - z[2]))"))
+@query("pairwise_cityblock", f"SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum([abs(x - y) FOR x, y IN list_zip(a.e, b.e)]), 3) + 0.0 AS distance FROM {_VEC} a, {_VEC} b WHERE a.vec_id < 5".replace("[abs(x - y) FOR x, y IN list_zip(a.e, b.e)]", "list_transform(list_zip(a.e, b.e), lambda z: abs(z[1] - z[2]))"))
 def pairwise_cityblock(t):
     return la.pairwise(t.embeddings.filter("vec_id < 5"), t.embeddings, "vec_id", "embedding", "cityblock").withColumn("distance", r("distance", 3))
 
@@ -66,14 +66,14 @@ def diff(t):
     return la.diff(_vector(t), times=2).select("i", r("diff", 2).alias("diff"))
 
 
-@query("convolve", "WITH v AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, s_acctbal AS v FROM supplier), k AS (SELECT unnest(range(0, 3)) AS m, unnest([1.0, -2.0, 0.5]) AS w) SELECT i + m AS k, round(sum(v * w), 2) + 0.0 AS v FROM v, k GROUP BY 1")
+@query("convolve", "WITH v AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, s_acctbal AS v FROM supplier), k AS (SELECT unnest(range(0, 3)) AS m, unnest([1.0, -2.0, 0.5]) AS w) SELECT i + m AS k, round(sum(v * w)::DOUBLE, 3) + 0.0 AS v FROM v, k GROUP BY 1")
 def convolve(t):
-    return la.convolve(_vector(t), [1.0, -2.0, 0.5]).select("k", r("v", 2).alias("v"))
+    return la.convolve(_vector(t), [1.0, -2.0, 0.5]).select("k", r("v", 3).alias("v"))
 
 
-@query("correlate", "WITH v AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, s_acctbal AS v FROM supplier) SELECT a.i AS k, round(a.v - 2 * b.v + 0.5 * c.v, 2) + 0.0 AS v FROM v a JOIN v b ON b.i = a.i + 1 JOIN v c ON c.i = a.i + 2")
+@query("correlate", "WITH v AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, s_acctbal AS v FROM supplier) SELECT a.i AS k, round(a.v - 2 * b.v + 0.5 * c.v, 3) + 0.0 AS v FROM v a JOIN v b ON b.i = a.i + 1 JOIN v c ON c.i = a.i + 2")
 def correlate(t):
-    return la.correlate(_vector(t), [1.0, -2.0, 0.5]).select("k", r("v", 2).alias("v"))
+    return la.correlate(_vector(t), [1.0, -2.0, 0.5]).select("k", r("v", 3).alias("v"))
 
 
 @query("interp", "SELECT p_partkey, CASE WHEN p_size <= 10 THEN 0.0 WHEN p_size <= 20 THEN (p_size - 10) * 0.1 WHEN p_size <= 40 THEN 1 + (p_size - 20) * 0.2 ELSE 5.0 END::DOUBLE AS x FROM part".replace("(p_size - 10) * 0.1", "round((p_size - 10) * 0.1, 6)").replace("1 + (p_size - 20) * 0.2", "round(1 + (p_size - 20) * 0.2, 6)"))
@@ -109,16 +109,16 @@ _NB = "SELECT l_returnflag AS c, count(*)::DOUBLE AS n, avg(l_quantity) AS m1, v
 
 
 @query("gaussian_nb", f"""
-    WITH p AS ({_NB}), s AS (SELECT l_orderkey, l_linenumber, c, ln(n / (SELECT count(*) FROM lineitem)) - 0.5 * (ln(2 * pi() * (v1 + x)) + ln(2 * pi() * (v2 + x))) - (l_quantity - m1) ^ 2 / (2 * (v1 + x)) - (l_tax - m2) ^ 2 / (2 * (v2 + x)) AS score FROM lineitem, p, (SELECT 1e-9 * greatest(var_pop(l_quantity), var_pop(l_tax)) AS x FROM lineitem))
-    SELECT c AS prediction, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY score DESC, c) AS k FROM s) WHERE k = 1 GROUP BY 1""")
+    WITH l AS (SELECT *, row_number() OVER () AS rid FROM lineitem), p AS ({_NB}), s AS (SELECT rid, c, ln(n / (SELECT count(*) FROM lineitem)) - 0.5 * (ln(2 * pi() * (v1 + x)) + ln(2 * pi() * (v2 + x))) - (l_quantity - m1) ^ 2 / (2 * (v1 + x)) - (l_tax - m2) ^ 2 / (2 * (v2 + x)) AS score FROM l, p, (SELECT 1e-9 * greatest(var_pop(l_quantity), var_pop(l_tax)) AS x FROM lineitem))
+    SELECT c AS prediction, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, c) AS k FROM s) WHERE k = 1 GROUP BY 1""")
 def gaussian_nb(t):
     model = ml.gaussian_nb_fit(t.lineitem, ["l_quantity", "l_tax"], "l_returnflag")
     return ml.gaussian_nb_predict(t.lineitem, model).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("multinomial_nb", """
-    WITH p AS (SELECT l_linestatus AS c, count(*)::DOUBLE AS n, sum(l_quantity) AS a, sum(l_linenumber) AS b FROM lineitem GROUP BY 1), s AS (SELECT l_orderkey, l_linenumber, c, ln(n / (SELECT count(*) FROM lineitem)) + l_quantity * ln((a + 1) / (a + b + 2)) + l_linenumber * ln((b + 1) / (a + b + 2)) AS score FROM lineitem, p)
-    SELECT c AS prediction, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY score DESC, c) AS k FROM s) WHERE k = 1 GROUP BY 1""")
+    WITH l AS (SELECT *, row_number() OVER () AS rid FROM lineitem), p AS (SELECT l_linestatus AS c, count(*)::DOUBLE AS n, sum(l_quantity) AS a, sum(l_linenumber) AS b FROM lineitem GROUP BY 1), s AS (SELECT rid, c, ln(n / (SELECT count(*) FROM lineitem)) + l_quantity * ln((a + 1) / (a + b + 2)) + l_linenumber * ln((b + 1) / (a + b + 2)) AS score FROM l, p)
+    SELECT c AS prediction, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, c) AS k FROM s) WHERE k = 1 GROUP BY 1""")
 def multinomial_nb(t):
     model = ml.multinomial_nb_fit(t.lineitem, ["l_quantity", "l_linenumber"], "l_linestatus")
     return ml.multinomial_nb_predict(t.lineitem, model).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))

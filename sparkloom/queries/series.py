@@ -13,7 +13,7 @@ _W = "(PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey{})"
 _RUN = _W.format(" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
 
 _WINDOWS = {
-    "cumsum": f"round(sum(o_totalprice) OVER {_RUN}, 2) + 0.0", "cummean": f"round(avg(o_totalprice) OVER {_RUN}, 2) + 0.0", "cummax": f"max(o_totalprice) OVER {_RUN}", "cummin": f"min(o_totalprice) OVER {_RUN}",
+    "cumsum": f"round(sum(o_totalprice) OVER {_RUN}, 2) + 0.0", "cummean": f"round(avg(o_totalprice) OVER {_RUN}, 6) + 0.0", "cummax": f"max(o_totalprice) OVER {_RUN}", "cummin": f"min(o_totalprice) OVER {_RUN}",
     "cumcount": f"row_number() OVER {_W.format('')} - 1", "row_number": f"row_number() OVER {_W.format('')}", "lag": f"lag(o_totalprice) OVER {_W.format('')}", "lead": f"lead(o_totalprice) OVER {_W.format('')}",
     "rank": "rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice)", "dense_rank": "dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice)", "share": "round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 8) + 0.0",
 }
@@ -22,7 +22,7 @@ for fn, sql in _WINDOWS.items():
     @query(f"window_{fn}", f"SELECT o_orderkey, {sql} AS x FROM orders")
     def windowed(t, fn=fn):
         out = win.window(t.orders, fn, "o_totalprice", "x", _ORDER, _PART).select("o_orderkey", "x")
-        return out.withColumn("x", r("x", 8 if fn == "share" else 2)) if fn in ("cumsum", "cummean", "share") else out
+        return out.withColumn("x", r("x", {"share": 8, "cummean": 6}.get(fn, 2))) if fn in ("cumsum", "cummean", "share") else out
 
 
 _EO, _EP = ["ts", "event_id"], ["user_id"]
@@ -30,9 +30,9 @@ _E = "(PARTITION BY user_id ORDER BY ts, event_id{})"
 _ROLL = {"mean": "avg", "sum": "sum", "min": "min", "max": "max", "median": "median", "var": "var_samp", "std": "stddev_samp", "count": "count"}
 for fn, sql in _ROLL.items():
 
-    @query(f"rolling_{fn}", f"SELECT event_id, CASE WHEN count(value) OVER w >= 5 THEN round({sql}(value) OVER w, 4) + 0.0 END AS x FROM events WINDOW w AS {_E.format(' ROWS BETWEEN 4 PRECEDING AND CURRENT ROW')}")
+    @query(f"rolling_{fn}", f"SELECT event_id, CASE WHEN count(value) OVER w >= 5 THEN round(({sql}(value) OVER w)::DOUBLE, 6) + 0.0 END AS x FROM events WINDOW w AS {_E.format(' ROWS BETWEEN 4 PRECEDING AND CURRENT ROW')}")
     def rolled(t, fn=fn):
-        return win.rolling(t.events, "value", "x", _EO, _EP, fn, 5).select("event_id", r("x").alias("x"))
+        return win.rolling(t.events, "value", "x", _EO, _EP, fn, 5).select("event_id", r("x", 6).alias("x"))
 
 
 @query("rolling_centered", f"SELECT event_id, CASE WHEN count(value) OVER w >= 2 THEN round(avg(value) OVER w, 4) + 0.0 END AS x FROM (SELECT *  REPLACE (CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value) FROM events) WINDOW w AS {_E.format(' ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING')}")
@@ -41,9 +41,9 @@ def rolling_centered(t):
     return win.rolling(holey, "value", "x", _EO, _EP, "mean", 4, 2, center=True).select("event_id", r("x").alias("x"))
 
 
-@query("expanding_mean", f"SELECT event_id, round(avg(value) OVER {_E.format(' ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')}, 4) + 0.0 AS x FROM events")
+@query("expanding_mean", f"SELECT event_id, round(avg(value) OVER {_E.format(' ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')}, 10) + 0.0 AS x FROM events")
 def expanding_mean(t):
-    return win.expanding(t.events, "value", "x", _EO, _EP).select("event_id", r("x").alias("x"))
+    return win.expanding(t.events, "value", "x", _EO, _EP).select("event_id", r("x", 10).alias("x"))
 
 
 @query("expanding_std", f"SELECT event_id, CASE WHEN count(value) OVER w >= 3 THEN round(stddev_samp(value) OVER w, 4) + 0.0 END AS x FROM events WINDOW w AS {_E.format(' ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')}")
@@ -68,12 +68,12 @@ def pct_change(t):
 
 
 @query("interpolate", """
-    WITH e AS (SELECT event_id, user_id, epoch(ts) AS at, ts, CASE WHEN event_id % 7 <> 0 THEN value END AS v FROM events),
-    s AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN at END IGNORE NULLS) OVER b AS x0, last_value(v IGNORE NULLS) OVER b AS y0, first_value(CASE WHEN v IS NOT NULL THEN at END IGNORE NULLS) OVER f AS x1, first_value(v IGNORE NULLS) OVER f AS y1 FROM e
+    WITH e AS (SELECT event_id, user_id, epoch(ts) AS sec, ts, CASE WHEN event_id % 7 <> 0 THEN value END AS v FROM events),
+    s AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN sec END IGNORE NULLS) OVER b AS x0, last_value(v IGNORE NULLS) OVER b AS y0, first_value(CASE WHEN v IS NOT NULL THEN sec END IGNORE NULLS) OVER f AS x1, first_value(v IGNORE NULLS) OVER f AS y1 FROM e
       WINDOW b AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-    SELECT event_id, round(CASE WHEN v IS NOT NULL THEN v WHEN y0 IS NULL THEN y1 WHEN y1 IS NULL THEN y0 ELSE y0 + (at - x0) * (y1 - y0) / (x1 - x0) END, 4) + 0.0 AS x FROM s""")
+    SELECT event_id, round(CASE WHEN v IS NOT NULL THEN v WHEN y0 IS NULL THEN y1 WHEN y1 IS NULL THEN y0 ELSE y0 + (sec - x0) * (y1 - y0) / (x1 - x0) END, 4) + 0.0 AS x FROM s""")
 def interpolate(t):
-    df = t.events.withColumn("v", F.when(F.col("event_id") % 7 != 0, F.col("value"))).withColumn("at", F.unix_micros("ts") / 1e6)
+    df = t.events.withColumn("v", F.when(F.col("event_id") % 7 != 0, F.col("value"))).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     return win.interpolate(df, "v", "at", "x", _EO, _EP, "both").select("event_id", r("x").alias("x"))
 
 

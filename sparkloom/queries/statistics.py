@@ -11,7 +11,7 @@ from .core import r
 from .registry import query
 
 
-def one(t, digits: int = 8, **values):
+def one(t, digits: int = 8, /, **values):
     """A row of numbers."""
     names = list(values)
     row = tuple(float(v) if v is not None else None for v in values.values())
@@ -88,7 +88,7 @@ def divergence(t):
     return st.entropy(g, "p", other="q").select(r("entropy", 8).alias("entropy"))
 
 
-@query("histogram", "WITH b AS (SELECT unnest(range(0, 10)) AS bin), x AS (SELECT least(floor((l_quantity - 1) / 4.9), 9)::BIGINT AS bin, count(*) AS c FROM lineitem GROUP BY 1) SELECT b.bin, round(1 + b.bin * 4.9, 6) AS low, coalesce(c, 0) AS count, round(coalesce(c, 0) / (4.9 * (SELECT sum(c) FROM x)), 8) + 0.0 AS density FROM b LEFT JOIN x USING (bin)")
+@query("histogram", "WITH b AS (SELECT unnest(range(0, 10)) AS bin), x AS (SELECT least(floor((l_quantity - 1) / 4.9), 9)::BIGINT AS bin, count(*) AS c FROM lineitem GROUP BY 1) SELECT b.bin, round((1 + b.bin * 4.9)::DOUBLE, 6) AS low, coalesce(c, 0) AS count, round((coalesce(c, 0) / (4.9 * (SELECT sum(c) FROM x)))::DOUBLE, 8) + 0.0 AS density FROM b LEFT JOIN x USING (bin)")
 def histogram(t):
     return st.histogram(t.lineitem, "l_quantity").select("bin", r("low", 6).alias("low"), "count", r("density", 8).alias("density"))
 
@@ -321,7 +321,7 @@ def ridge(t):
 @query("ols_many")
 def ols_many(t):
     f = reg.ols(t.lineitem, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
-    rows = list(zip(f["names"], f["coefficients"], f["stderr"], f["t"], f["pvalues"], strict=True))
+    rows = [(n, *map(float, x)) for n, *x in zip(f["names"], f["coefficients"], f["stderr"], f["t"], f["pvalues"], strict=True)]
     return t.spark.createDataFrame(rows, "name string, coefficient double, stderr double, t double, p double")
 
 

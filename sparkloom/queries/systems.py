@@ -56,8 +56,8 @@ def substructures(t):
 
 
 @query("text_search", """
-    WITH s AS (SELECT p_partkey, lower(trim(p_name)) AS n, lower(trim(p_type)) AS y, list_filter(regexp_split_to_array(lower(trim(p_name)), '[^a-z0-9+.''-]+'), x -> x <> '') AS nw, list_filter(regexp_split_to_array(lower(trim(p_type)), '[^a-z0-9+.''-]+'), x -> x <> '') AS yw FROM part)
-    SELECT p_partkey, greatest(CASE WHEN list_contains(nw, 's') THEN 30.0 WHEN starts_with(n, 's') THEN 20.0 WHEN len(list_filter(nw, x -> starts_with(x, 's'))) > 0 THEN 15.0 WHEN contains(n, 's') THEN 10.0 END, CASE WHEN list_contains(yw, 's') THEN 21.0 WHEN starts_with(y, 's') THEN 14.0 WHEN len(list_filter(yw, x -> starts_with(x, 's'))) > 0 THEN 11.0 WHEN contains(y, 's') THEN 7.0 END)::DOUBLE AS score FROM s WHERE contains(n, 's') OR contains(y, 's')""")
+    WITH s AS (SELECT p_partkey, lower(trim(p_name)) AS n, lower(trim(p_type)) AS y, list_filter(regexp_split_to_array(lower(trim(p_name)), '[^a-z0-9+.''-]+'), lambda x: x <> '') AS nw, list_filter(regexp_split_to_array(lower(trim(p_type)), '[^a-z0-9+.''-]+'), lambda x: x <> '') AS yw FROM part)
+    SELECT p_partkey, greatest(CASE WHEN list_contains(nw, 's') THEN 30.0 WHEN starts_with(n, 's') THEN 20.0 WHEN len(list_filter(nw, lambda x: starts_with(x, 's'))) > 0 THEN 15.0 WHEN contains(n, 's') THEN 10.0 END, CASE WHEN list_contains(yw, 's') THEN 21.0 WHEN starts_with(y, 's') THEN 14.0 WHEN len(list_filter(yw, lambda x: starts_with(x, 's'))) > 0 THEN 11.0 WHEN contains(y, 's') THEN 7.0 END)::DOUBLE AS score FROM s WHERE contains(n, 's') OR contains(y, 's')""")
 def text_search(t):
     rows = t.part.select("p_partkey", F.col("p_name").alias("mold"), F.col("p_type").alias("category"))
     return app.search(rows, ["mold", "category"], "s").select("p_partkey", "score")
@@ -266,7 +266,7 @@ def reuse_hits(t):
     WITH m AS (SELECT l_returnflag AS candidate, avg(l_quantity) AS a, avg(l_discount) AS b FROM lineitem GROUP BY 1)
     SELECT candidate, round(0.7 * (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) + 0.3 * (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()), 6) + 0.0 AS score FROM m""")
 def decide(t):
-    rows = t.lineitem.select(F.col("l_returnflag").alias("candidate"), F.inline(F.array(F.struct(F.lit("a").alias("criterion"), F.col("l_quantity").alias("value")), F.struct(F.lit("b"), F.col("l_discount")))))
+    rows = t.lineitem.select(F.col("l_returnflag").alias("candidate"), F.inline(F.array(F.struct(F.lit("a").alias("criterion"), F.col("l_quantity").alias("value")), F.struct(F.lit("b").alias("criterion"), F.col("l_discount").alias("value")))))
     return rec.decide(rows, {"a": 0.7, "b": 0.3}).withColumn("score", r("score", 6))
 
 
@@ -363,15 +363,15 @@ def _holes(t):
     return t.supplier.filter("s_suppkey <= 18").select(F.col("s_suppkey").alias("number"), (F.col("s_suppkey") * 37 % 100).cast("double").alias("tx"), (F.col("s_suppkey") * 53 % 80).cast("double").alias("ty"), (F.col("s_suppkey") * 11 % 100).cast("double").alias("bx"), (F.col("s_suppkey") * 29 % 80).cast("double").alias("by"))
 
 
-_HOLES = "SELECT s_suppkey AS number, (s_suppkey * 37 % 100)::DOUBLE AS tx, (s_suppkey * 53 % 80)::DOUBLE AS ty, (s_suppkey * 11 % 100)::DOUBLE AS bx, (s_suppkey * 29 % 80)::DOUBLE AS by FROM supplier WHERE s_suppkey <= 18"
+_HOLES = "SELECT s_suppkey AS number, (s_suppkey * 37 % 100)::DOUBLE AS tx, (s_suppkey * 53 % 80)::DOUBLE AS ty, (s_suppkey * 11 % 100)::DOUBLE AS bx, (s_suppkey * 29 % 80)::DOUBLE AS byy FROM supplier WHERE s_suppkey <= 18"
 
 
-@query("hole_geometry", f"SELECT number, round(sqrt((bx - tx) ^ 2 + (by - ty) ^ 2), 3) + 0.0 AS length, round((degrees(atan2(by - ty, bx - tx)) + 360) % 360, 3) + 0.0 AS bearing FROM ({_HOLES})")
+@query("hole_geometry", f"SELECT number, round(sqrt((bx - tx) ^ 2 + (byy - ty) ^ 2), 3) + 0.0 AS length, round((degrees(atan2(byy - ty, bx - tx)) + 360) % 360, 3) + 0.0 AS bearing FROM ({_HOLES})")
 def hole_geometry(t):
     return raster.hole_geometry(_holes(t)).select("number", r("length", 3).alias("length"), r("bearing", 3).alias("bearing"))
 
 
-@query("route", f"WITH h AS ({_HOLES}) SELECT number, 'play' AS kind, round(sqrt((bx - tx) ^ 2 + (by - ty) ^ 2), 3) + 0.0 AS length FROM h UNION ALL SELECT number, 'walk', l FROM (SELECT number, round(sqrt((lead(tx) OVER w - bx) ^ 2 + (lead(ty) OVER w - by) ^ 2), 3) + 0.0 AS l FROM h WINDOW w AS (ORDER BY number)) WHERE l IS NOT NULL")
+@query("route", f"WITH h AS ({_HOLES}) SELECT number, 'play' AS kind, round(sqrt((bx - tx) ^ 2 + (byy - ty) ^ 2), 3) + 0.0 AS length FROM h UNION ALL SELECT number, 'walk', l FROM (SELECT number, round(sqrt((lead(tx) OVER w - bx) ^ 2 + (lead(ty) OVER w - byy) ^ 2), 3) + 0.0 AS l FROM h WINDOW w AS (ORDER BY number)) WHERE l IS NOT NULL")
 def route(t):
     return raster.route(_holes(t)).withColumn("length", r("length", 3))
 
@@ -418,11 +418,8 @@ def stream_windows(t):
     from ..streaming import events as st
 
     base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{t.sf_dir}/events.parquet"
-    stream = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "*").parquet(f"{t.sf_dir}/events.parquet*") if not path.startswith("viewfs") else t.events
-    if not stream.isStreaming:
-        return st.windowed(stream, "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n", r("total", 2).alias("total"))
     name = f"windows_{np.random.default_rng().integers(1 << 60)}"
+    stream = st.source(t.spark, f"{t.sf_dir}/events.parquet*", t.events.schema)
     out = st.run_once(st.windowed(stream, "1 day"), name, f"{base}/{name}", "complete")
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n", r("total", 2).alias("total"))
 

@@ -14,19 +14,24 @@ def source(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+def timed(events: DataFrame) -> DataFrame:
+    """Watermarks need a timestamp with the session's zone; one without is read in it."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def windowed(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "2 hours", by: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """start, keys, n, total per window; events later than the watermark are dropped. Batch tables give the same rows."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
-    return events.withWatermark("ts", late).groupBy(w.alias("w"), *by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), *by, "n", "total")
+    return timed(events).withWatermark("ts", late).groupBy(w.alias("w"), *by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), *by, "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     w = F.session_window("ts", gap)
-    return events.withWatermark("ts", late).groupBy(w.alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return timed(events).withWatermark("ts", late).groupBy(w.alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def distinct(events: DataFrame, late: str = "2 hours") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def running_totals(events: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -61,6 +62,14 @@ def up_to_here(order: Sequence[str], partition: Sequence[str] = ()) -> WindowSpe
     return ordered(order, partition).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the folder of spark.checkpoint.dir (a temporary one only where none is set)."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
 def broadcastable(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A broadcast hint where df has at most `rows` rows, counted; else df as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
