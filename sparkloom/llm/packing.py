@@ -4,8 +4,8 @@ Each partition streams its documents: whole windows of 4096 ids of a long docume
 own, what remains of each document joins a bounded pool. When the pool is full, sequences are filled one by
 one: the longest remaining length is placed, and a subset-sum dynamic programme over a bitset picks the
 multiset of remaining lengths that fills the rest closest to capacity; the counts are read back from the
-bitsets of its steps. When the partition ends, what lies in sequences that are not full is cut at powers of
-two, which need no padding.
+bitsets of its steps. What lies in sequences that are not full is cut to make full ones, and what is left
+of it when the partition ends is cut at powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -96,7 +96,21 @@ def binary_cut(pieces: list[Piece], capacity: int) -> list[list[Piece]]:
 
 def pack_stream(documents, capacity: int = CAPACITY, pool_size: int = POOL):
     """documents: (doc_id, ids as bytes). Yields sequences: lists of pieces."""
-    pool = Pool(capacity)
+    pool, loose = Pool(capacity), []
+
+    def drain(least: int):
+        """Fill sequences until the pool is down to `least`; what lies in those that aren't full waits, fewer than two sequences of it, to be cut."""
+        while pool.size > least:
+            row = pool.sequence()
+            if sum(len(p[2]) for p in row) == 4 * capacity:
+                yield row
+                continue
+            loose.extend(row)
+            if sum(len(p[2]) for p in loose) >= 4 * capacity:
+                full, *rest = binary_cut(loose, capacity)
+                loose[:] = [p for r in rest for p in r]
+                yield full
+
     for doc, ids in documents:
         n = len(ids) // 4
         whole = n - n % capacity
@@ -105,15 +119,8 @@ def pack_stream(documents, capacity: int = CAPACITY, pool_size: int = POOL):
         if whole < n:
             pool.add((doc, whole, ids[4 * whole :], n))
         if pool.size >= pool_size:
-            while pool.size > pool_size // 2:
-                yield pool.sequence()
-    loose: list[Piece] = []
-    while pool.size:
-        row = pool.sequence()
-        if sum(len(p[2]) for p in row) == 4 * capacity:
-            yield row
-        else:
-            loose += row
+            yield from drain(pool_size // 2)
+    yield from drain(0)
     yield from binary_cut(loose, capacity)
 
 

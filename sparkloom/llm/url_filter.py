@@ -56,13 +56,13 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, every: int = 4) -> DataFrame:
     """(host, kind, r): personalised PageRank of kind 't' along the edges and of kind 'd' against them, from seeds (host, kind).
 
-    A seed has weight 1, so a rank is in units of one seed whatever the size of the graph. Lineage is cut every
+    A seed gives itself 1, so a rank is in units of one seed whatever the size of the graph. Lineage is cut every
     few rounds in the shared folder; the rounds end when no rank changes by more than the tolerance.
     """
     steps = edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), F.lit("t").alias("kind"), "n").union(edges.select("dst", "src", F.lit("d"), "n"))
     out = steps.groupBy("host", "kind").agg(F.sum("n").alias("all"))
     steps = shared_table(steps.join(out, ["host", "kind"]).select("host", "kind", "to", (damping * F.col("n") / F.col("all")).alias("p")), "url-steps")
-    base = seeds.select("host", "kind", F.lit(1 - damping).alias("r"))
+    base = seeds.select("host", "kind", F.lit(1.0).alias("r"))
     rank = shared_table(base, "url-rank")
     base = rank
     for k in range(0, rounds, every):
