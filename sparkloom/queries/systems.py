@@ -10,6 +10,7 @@ from ..operators import graph, raster
 from ..operators import relational as rel
 from ..plans import program as prog
 from ..plans import records as rec
+from ..plans import study as auto
 from ..sources import readers
 from .core import r
 from .registry import query
@@ -292,6 +293,31 @@ def mermaid_program(t):
     return catalog.read("px.m.c")
 
 
+@query("study_plan", "SELECT 'p_size,p_retailprice' AS numbers, '' AS constants, (SELECT count(*) FROM part) AS rows")
+def study_plan(t):
+    p = auto.plan(t.part.select("p_size", "p_retailprice", "p_brand"))
+    return t.spark.createDataFrame([(",".join(p.numbers), ",".join(p.constants), p.rows)], "numbers string, constants string, rows long")
+
+
+_PAIRS = [("l_extendedprice", "l_quantity"), ("l_extendedprice", "l_tax"), ("l_quantity", "l_tax")]
+
+
+@query("study_pairs", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) + 0.0 AS r FROM lineitem" for a, b in _PAIRS))
+def study_pairs(t):
+    return auto.pairs(t.lineitem, ["l_quantity", "l_extendedprice", "l_tax"], 0.0).select("a", "b", r("r", 6).alias("r"))
+
+
+@query("study_groups")
+def study_groups(t):
+    g = auto.compare_groups(t.customer, "c_mktsegment", "c_acctbal")
+    return t.spark.createDataFrame([(g["test"], float(g["p"]), float(g["effect"]))], "test string, p double, effect double")
+
+
+@query("study")
+def study(t):
+    return auto.study(t.lineitem.filter("l_orderkey < 3000").select("l_quantity", "l_extendedprice", "l_discount", "l_returnflag"), "l_extendedprice")
+
+
 # sources, rasters, streaming --------------------------------------------------------------------------
 
 
