@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..table import checkpointed
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): the least node that undirected edges (a, b) reach. Labels take the least label of their
     neighbours, then that label's own label, so their number of rounds grows with the logarithm of a path."""
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
     label = both.select(F.col("a").alias("node")).union(nodes.select("node") if nodes is not None else both.select("b")).distinct().withColumn("component", F.col("node"))
     both, label = checkpointed(both), checkpointed(label)
     total = None
-    for _ in range(rounds):
+    while True:
         near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
         step = label.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("next"))
@@ -24,22 +24,21 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 5
         state = new.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node", "component"))).first()
         label = new
         if tuple(state) == total:
-            break
+            return label
         total = tuple(state)
-    return label
 
 
-def closure(roots: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, depth): what directed edges (src, dst) reach from roots (node), safe on cycles."""
     seen = roots.select("node").distinct().withColumn("depth", F.lit(0))
-    front = seen
-    for d in range(1, rounds + 1):
+    front, d = seen, 0
+    while True:
+        d += 1
         step = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(d))
         step = checkpointed(step)
         if step.isEmpty():
-            break
+            return seen
         seen, front = seen.union(step), step
-    return seen
 
 
 def transitions(vertices: DataFrame, edges: DataFrame) -> DataFrame:
