@@ -54,8 +54,8 @@ def words_to_features(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def inputs_of(text: bytes | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids, x = words_to_features(hashes.array((text or b"").split()))
-    points = len((text or b"").decode("utf-8", "replace"))
-    return ids, x, np.array([statistics(text, hashes)[i] for i in INPUTS] + [np.log1p(points)])
+    stats, points = statistics(text, hashes), len((text or b"").decode("utf-8", "replace"))
+    return ids, x, np.array([stats[i] for i in INPUTS] + [np.log1p(points)])
 
 
 def rows_of(ids, values, stats) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
