@@ -207,3 +207,45 @@ def account(*doors: tuple[str, DataFrame]) -> DataFrame:
 def balanced(ledger: DataFrame, total: DataFrame) -> DataFrame:
     """Whether the doors account for every thing of `total` (n)."""
     return ledger.agg(F.sum("n").alias("left")).crossJoin(total).select((F.col("left") == F.col("n")).alias("balanced"))  # one row each
+
+
+#: Degrees of the six hex moves, numbered from 1 (fixed values).
+HEX_DEGREES = [270, 330, 30, 90, 150, 210]
+#: The same moves in lattice coordinates: the first axis at 30 degrees, the second at 90.
+_HEX_STEPS = [(0, -1), (1, -1), (1, 0), (0, 1), (-1, 1), (-1, 0)]
+
+
+def move_target(x: Column, y: Column, move: Column, radius: float) -> Column:
+    """Where a move (kind, a, b) leads: absolute (a, b), xy by (a, b), polar (distance a, degrees b) or hex (number a)."""
+    number = F.when(move["kind"] == "hex", move["a"].cast("int")).otherwise(1)
+    degrees = F.when(move["kind"] == "polar", move["b"]).otherwise(F.element_at(F.array(*map(F.lit, map(float, HEX_DEGREES))), number))
+    length = F.when(move["kind"] == "polar", move["a"]).otherwise(F.lit(float(radius)))
+    turned = F.struct((x + length * F.cos(F.radians(degrees))).alias("x"), (y + length * F.sin(F.radians(degrees))).alias("y"))
+    plain = F.struct((F.when(move["kind"] == "xy", x).otherwise(0.0) + move["a"]).alias("x"), (F.when(move["kind"] == "xy", y).otherwise(0.0) + move["b"]).alias("y"))
+    return F.when(move["kind"].isin("absolute", "xy"), plain).otherwise(turned)
+
+
+def hex_moves(start: tuple[float, float], goal: tuple[float, float], radius: float, tolerance: float | None = None, width: float = math.inf, height: float = math.inf, most: int = 20_000) -> list[int] | None:
+    """The fewest hex moves from start to within tolerance of goal, on the lattice that the moves span; None beyond `most` expansions."""
+    near = radius / 2 if tolerance is None else tolerance
+    across, up = radius * math.cos(math.pi / 6), radius / 2
+    at = lambda p: (start[0] + p[0] * across, start[1] + p[0] * up + p[1] * radius)
+    gap = lambda p: math.hypot(at(p)[0] - goal[0], at(p)[1] - goal[1])
+    queue, came = [(gap((0, 0)) / radius, 0, (0, 0))], {(0, 0): (0, None, 0)}
+    for _ in range(most):
+        if not queue:
+            return None
+        _, cost, p = heapq.heappop(queue)
+        if gap(p) <= near:
+            moves = []
+            while came[p][1] is not None:
+                moves.append(came[p][2])
+                p = came[p][1]
+            return moves[::-1]
+        for number, (a, b) in enumerate(_HEX_STEPS, 1):
+            q = (p[0] + a, p[1] + b)
+            x, y = at(q)
+            if 0 <= x < width and 0 <= y < height and cost + 1 < came.get(q, (math.inf,))[0]:
+                came[q] = (cost + 1, p, number)
+                heapq.heappush(queue, (cost + 1 + gap(q) / radius, cost + 1, q))
+    return None

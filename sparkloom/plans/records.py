@@ -60,6 +60,19 @@ def hot(record: DataFrame, top: int = 10) -> DataFrame:
     return per.withColumn("share", F.try_divide(F.col("total_ms"), F.sum("total_ms").over(Window.partitionBy()))).orderBy(F.desc("total_ms"), "calculation").limit(top)  # a row per calculation
 
 
+def receipts(record: DataFrame) -> DataFrame:
+    """name, what it consumes and produces (each once, in order), and a digest of its row."""
+    each = lambda c: F.array_sort(F.array_distinct(c))
+    return record.select("id", each("reads").alias("consumes"), each("writes").alias("produces"), F.sha2(F.to_json(F.struct("calculation", "reads", "writes")), 256).alias("digest"))
+
+
+def judge(rows: DataFrame) -> DataFrame:
+    """receipts, matched, mismatched, not_rebuilt and trusted of (state): whether a candidate reproduced every recorded result."""
+    n = lambda *states: F.coalesce(F.sum(F.col("state").isin(*states).cast("long")), F.lit(0))
+    out = rows.agg(F.count(F.lit(1)).alias("receipts"), n("match").alias("matched"), n("mismatch").alias("mismatched"), n("not-rebuildable", "not-comparable").alias("not_rebuilt"))
+    return out.withColumn("trusted", (F.col("receipts") > 0) & (F.col("matched") == F.col("receipts")))
+
+
 def hits(requests: DataFrame) -> DataFrame:
     """Reuse of (position, key): the first request of a key produces it, later ones hit."""
     first = F.min("position").over(Window.partitionBy("key"))

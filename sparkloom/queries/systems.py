@@ -263,6 +263,24 @@ def reuse_hits(t):
     return h.agg(F.sum(F.col("hit").cast("long")).alias("hits"), F.sum((~F.col("hit")).cast("long")).alias("misses"))
 
 
+@query("receipts", "SELECT * FROM (VALUES ('keep', 'px.orders', 'px.kept'), ('sum', 'px.kept', 'px.totals'), ('name', 'px.customer,px.totals', 'px.named')) v(id, consumes, produces)")
+def receipts(t):
+    return rec.receipts(_program(t)[2].to_df(t.spark)).select("id", F.array_join("consumes", ",").alias("consumes"), F.array_join("produces", ",").alias("produces"))
+
+
+@query("judge", "SELECT count(*) AS receipts, count(*) FILTER (event_type = 'click') AS matched, count(*) FILTER (event_type = 'purchase') AS mismatched, 0::BIGINT AS not_rebuilt, false AS trusted FROM events")
+def judge(t):
+    return rec.judge(t.events.select(F.when(F.col("event_type") == "click", "match").when(F.col("event_type") == "purchase", "mismatch").otherwise("other").alias("state")))
+
+
+@query("move_targets", "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 3.0 WHEN 1 THEN s_acctbal + 3.0 WHEN 2 THEN round(s_acctbal + 3 * cos(radians(7)), 4) ELSE round(s_acctbal + 75 * cos(radians(30)), 4) END::DOUBLE AS x FROM supplier")
+def move_targets(t):
+    kind = F.element_at(F.array(*map(F.lit, ("absolute", "xy", "polar", "hex"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    move = F.struct(kind.alias("kind"), F.lit(3.0).alias("a"), F.lit(7.0).alias("b"))
+    s = t.supplier.select("s_suppkey", "s_acctbal", move.alias("m"))
+    return s.select("s_suppkey", r(raster.move_target(F.col("s_acctbal"), F.lit(0.0), F.col("m"), 75)["x"]).alias("x"))
+
+
 @query("decide", """
     WITH m AS (SELECT l_returnflag AS candidate, avg(l_quantity) AS a, avg(l_discount) AS b FROM lineitem GROUP BY 1)
     SELECT candidate, round(0.7 * (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) + 0.3 * (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()), 6) + 0.0 AS score FROM m""")

@@ -64,3 +64,10 @@ def test_wilson_interval():
     low, high = st.ci_proportion(45, 100)
     assert (low, high) == (pytest.approx(0.356, abs=1e-3), pytest.approx(0.5475, abs=1e-3))
     assert math.isclose(st.ci_proportion(0, 10, method="wald")[0], 0.0)
+
+
+def test_hex_moves_are_fewest():
+    path = raster.hex_moves((500.0, 500.0), (500.0, 275.0), 75)
+    assert path == [1, 1, 1]
+    assert len(raster.hex_moves((500.0, 500.0), (760.0, 500.0), 75)) == 4
+    assert raster.hex_moves((10.0, 10.0), (-500.0, 10.0), 75) is None
