@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
@@ -254,21 +255,33 @@ def mlp_predict(df: DataFrame, model: dict, x: Sequence[str], as_: str = "predic
 
 def kmeans(df: DataFrame, array: str, k: int, seed: int, key: str, max_iter: int = 100, tol: float = 1e-10, sample: int = SAMPLE) -> dict:
     """Lloyd's steps over all rows from k-means++ centres of a bounded sample; an empty cluster keeps its centre.
-    Each step moves k sums of d numbers a task."""
+    Each step shuffles k * (d + 1) numbers a task and fetches as many."""
     first = df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(sample).select(array).toPandas()[array]
     x, rng = np.array(first.tolist(), float), np.random.default_rng(seed)
     centres = [x[rng.integers(len(x))]]
     while len(centres) < k:
         gap = np.min([((x - c) ** 2).sum(1) for c in centres], axis=0)
         centres.append(x[rng.choice(len(x), p=gap / gap.sum())] if gap.sum() else x[rng.integers(len(x))])
-    centres, d = np.array(centres), x.shape[1]
-    rounds = 0
+    centres, rounds = np.array(centres), 0
     for rounds in range(1, max_iter + 1):  # noqa: B007
-        named = kmeans_predict(df, {"centres": centres.tolist()}, array)
-        sums = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.element_at(array, i + 1).cast("double")).alias(f"s{i}") for i in range(d))).collect()
-        new = centres.copy()
-        for r in sums:
-            new[r["cluster"]] = [r[f"s{i}"] / r["n"] for i in range(d)]
+        held = df.sparkSession.sparkContext.broadcast(centres)
+
+        def partial(batches, held=held):
+            """Of each batch the rows and sums of every cluster, as (cluster, dim, v); dim -1 holds the rows."""
+            for batch in batches:
+                rows = np.array(batch.column(0).to_pylist(), float).reshape(batch.num_rows, -1)
+                if not len(rows):
+                    continue
+                near = np.argmin((held.value**2).sum(1) - 2 * rows @ held.value.T, axis=1)
+                one_hot = np.eye(len(held.value))[near]
+                sums = np.column_stack([one_hot.sum(0), one_hot.T @ rows])
+                c, dim = np.indices(sums.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(c.ravel()), pa.array(dim.ravel() - 1), pa.array(sums.ravel())], names=["cluster", "dim", "v"])
+
+        sums = df.select(array).mapInArrow(partial, "cluster long, dim long, v double").groupBy("cluster", "dim").agg(F.sum("v").alias("v")).toPandas()
+        table = sums.pivot(index="cluster", columns="dim", values="v").sort_index().to_numpy(float) if len(sums) else np.zeros((k, 1))
+        new = np.where(table[:, :1] > 0, table[:, 1:] / np.maximum(table[:, :1], 1), centres) if len(sums) else centres
+        held.unpersist()
         move = float(((new - centres) ** 2).sum())
         centres = new
         if move <= tol:
