@@ -1,11 +1,12 @@
 """HTML extraction by equivalence classes.
 
-First pass: each page is a sequence of tokens, tags with the path of elements that they stand in, and short
-text blocks with their path. Tokens with the same occurrence vector over the pages of a host (compared by an
-order-free hash of page and count) form an equivalence class. Classes that are frequent and nest (each
-token's parent is in the template too) make up the host's template. Second pass: the text between template
-tokens lies in slots. Slots of boilerplate elements, and text that itself belongs to the template outside
-the article, go; the other slots of the article, or of the body where a page has none, are the text.
+First pass: each page is a sequence of tokens, tags with the path of elements that they stand in, and text
+blocks of any length with their path. Tokens with the same occurrence vector over the distinct pages of a host
+(compared by an order-free hash of page and count) form an equivalence class; copies of a page are one page,
+as they don't tell what varies. Classes that are frequent and nest (each token's parent is in the template too)
+make up the host's template. Second pass: text that belongs to the template goes, on every page and inside the
+article too; the text between template tokens lies in slots. Tags and words of class, id and role only rank
+the slots, and the best rank that holds text is the page's text.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, shared_table, slices
 
-#: Elements and words of class, id or role that never hold main text (fixed values).
+#: Elements and words of class, id or role whose slots rank last (fixed values).
 BOILERPLATE_TAGS = {"head", "title", "nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "svg", "button", "select", "textarea", "menu", "dialog", "object", "canvas"}
 BOILERPLATE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal", "newsletter", "subscribe", "signup", "comment", "comments", "reply",
@@ -46,8 +47,19 @@ class Node:
     tag: str
     path: int  # hash of the element and those around it
     parent: int
-    boilerplate: bool
-    main: bool
+    tagged: bool = False  # in a boilerplate element
+    worded: bool = False  # in an element with a boilerplate word
+    main: bool = False
+    inner: bool = False  # such a word stands inside the main element, not only on or above it
+
+    @property
+    def rank(self) -> int:
+        """0 main, 1 body, 2 main in boilerplate words, 3 boilerplate words, 4 boilerplate elements."""
+        if self.tagged:
+            return 4
+        if not self.worded:
+            return 0 if self.main else 1
+        return 2 if self.main and not self.inner else 3
 
 
 def digest(text: str, seed: int = 0) -> int:
@@ -56,7 +68,7 @@ def digest(text: str, seed: int = 0) -> int:
 
 def blocks(page: str):
     """Yields ("tag", node) as elements open and ("text", text, node) for each block of text, in page order."""
-    root = Node("", 0, 0, False, False)
+    root = Node("", 0, 0)
     stack, text, at = [root], [], 0
 
     def flush():
@@ -100,13 +112,14 @@ def blocks(page: str):
             names = [w for _, v in _ATTRIBUTE.findall(m[3]) for w in _PIECES.findall(v)] if m[3] else []
             words = {w.lower() for w in names}
             top = stack[-1]
-            boilerplate = top.boilerplate or tag in BOILERPLATE_TAGS or bool(words & BOILERPLATE_WORDS and tag not in ("html", "body"))
+            word = bool(words & BOILERPLATE_WORDS and tag not in ("html", "body"))
+            standing = (top.tagged or tag in BOILERPLATE_TAGS, top.worded or word, top.main or tag in MAIN, top.inner or top.main and word)
             label = tag + "." + ".".join(sorted(w for w in words if not w.isdigit()))
             if block:
-                node = Node(tag, digest(label, top.path & (1 << 63) - 1), top.path, boilerplate, top.main or tag in MAIN)
+                node = Node(tag, digest(label, top.path & (1 << 63) - 1), top.path, *standing)
                 yield "tag", node
             else:
-                node = Node(tag, top.path, top.parent, boilerplate, top.main)
+                node = Node(tag, top.path, top.parent, *standing[:2], top.main, standing[3])
             if tag in RAW:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = position = end.end() if end else len(page)
@@ -122,58 +135,64 @@ def host_of(url: Column) -> Column:
     return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """(host, html): each page of a host once, a null page as an empty one. Only pages that have copies are shuffled."""
+    rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).withColumn("key", F.md5("html"))
+    copied = shared_table(rows.groupBy("host", "key").agg(F.count("*").alias("n")).filter("n > 1").select("host", "key"), "html-copied")
+    once = rows.join(copied, ["host", "key"], "left_semi").groupBy("host", "key").agg(F.first("html").alias("html"))
+    return rows.join(copied, ["host", "key"], "left_anti").select("host", "html").union(once.select("host", "html"))
+
+
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, parent, sig, support, total), summed within a slice of pages: sig is the exclusive or over
-    pages of hash(page, count). Token 0 is in every page."""
+    """(host, token, parent, size, sig, support, total), summed within a slice of distinct pages: sig is the exclusive
+    or over pages of hash(page, count), size what the token counts in a class: an element 2, as it opens and closes,
+    a text 1 for one word and 2 for more. Token 0 is in every page."""
     bounded_batches(pages.sparkSession, 256)
 
     def run(batches):
         for batch in slices(batches):
             table: dict[tuple[str, int], list[int]] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                page = page or ""
                 own = xxhash.xxh3_64_intdigest(page)
-                counts: dict[int, list[int]] = {0: [0, 1]}
+                counts: dict[int, list[int]] = {0: [0, 1, 1]}
                 for event in blocks(page):
                     if event[0] == "tag":
-                        token, parent = event[1].path, event[1].parent
-                    elif len(event[1]) <= 200 and not event[2].main:
-                        token, parent = digest(event[1], event[2].path & (1 << 63) - 1), event[2].path
+                        token, parent, size = event[1].path, event[1].parent, 2
                     else:
-                        continue
-                    counts.setdefault(token, [parent, 0])[1] += 1
-                for token, (parent, n) in counts.items():
-                    row = table.setdefault((host, token), [parent, 0, 0, 0])
-                    row[1] ^= digest(f"{own} {n}")
-                    row[2] += 1
-                    row[3] += n
+                        token, parent, size = digest(event[1], event[2].path & (1 << 63) - 1), event[2].path, 1 + (" " in event[1])
+                    counts.setdefault(token, [parent, size, 0])[2] += 1
+                for token, (parent, size, n) in counts.items():
+                    row = table.setdefault((host, token), [parent, size, 0, 0, 0])
+                    row[2] ^= digest(f"{own} {n}")
+                    row[3] += 1
+                    row[4] += n
             columns = list(zip(*((h, t, *r) for (h, t), r in table.items()), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["host", "token", "parent", "sig", "support", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["host", "token", "parent", "size", "sig", "support", "total"])
 
-    schema = "host string, token long, parent long, sig long, support long, total long"
-    return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, schema)
+    schema = "host string, token long, parent long, size long, sig long, support long, total long"
+    return distinct_pages(pages).mapInArrow(run, schema)
 
 
 def templates(pages: DataFrame, share: float = 0.6, least: int = 3) -> DataFrame:
     """(host, tokens): the frequent tokens of each host with the class that they belong to.
 
-    Tokens on at least `share` of a host's pages are kept, so a host has at most 1/share times as many as an
+    Tokens on at least `share` of a host's distinct pages are kept, so a host has at most 1/share times as many as an
     average page of it, and a list stays as small as a page.
     """
     token = occurrences(pages).groupBy("host", "token").agg(
-        F.min("parent").alias("parent"), F.bit_xor("sig").alias("sig"), F.sum("support").alias("support"), F.sum("total").alias("total"))
+        F.min("parent").alias("parent"), F.min("size").alias("size"), F.bit_xor("sig").alias("sig"), F.sum("support").alias("support"), F.sum("total").alias("total"))
     token = token.filter(F.col("support") >= least)
     size = token.filter("token = 0").select("host", F.col("support").alias("pages"))
     kept = token.filter("token <> 0").join(size, "host").filter(F.col("support") >= share * F.col("pages"))
-    return kept.groupBy("host").agg(F.collect_list(F.struct("token", "parent", "sig", "support", "total")).alias("tokens"))
+    return kept.groupBy("host").agg(F.collect_list(F.struct("token", "parent", "size", "sig", "support", "total")).alias("tokens"))
 
 
 def nested(tokens: list[dict]) -> set[int]:
-    """The tokens of valid classes: of two tokens at least, each of which stands in a token of the template or at the top."""
+    """The tokens of valid classes: of size two at least, each token of which stands in one of the template or at the top."""
     classes: dict[tuple, list[dict]] = {}
     for t in tokens:
         classes.setdefault((t["sig"], t["support"], t["total"]), []).append(t)
-    found = {t["token"]: t["parent"] for members in classes.values() if len(members) > 1 for t in members}
+    found = {t["token"]: t["parent"] for members in classes.values() if sum(t["size"] for t in members) > 1 for t in members}
     while loose := [t for t, parent in found.items() if parent and parent not in found]:
         for t in loose:
             del found[t]
@@ -181,17 +200,25 @@ def nested(tokens: list[dict]) -> set[int]:
 
 
 def main_text(page: str, template: set[int]) -> str:
-    """The text of the slots that are left, blocks joined by one space."""
-    kept, body, seen_main = [], [], False
+    """The text of the best slots, blocks joined by one space.
+
+    On a page with a main element these are its slots; where the template covers them all, its text is kept, and where
+    it has none, the body's slots are taken. Else the larger of the body and of a main element in boilerplate words,
+    then what stands in boilerplate words, then in boilerplate elements.
+    """
+    whole, slots, seen_main = [], [[], [], [], [], []], False
     for event in blocks(page):
         if event[0] == "tag":
-            seen_main |= event[1].main and not event[1].boilerplate
-        elif not event[2].boilerplate:
-            if event[2].main:
-                kept.append(event[1])
-            elif not seen_main and digest(event[1], event[2].path & (1 << 63) - 1) not in template:
-                body.append(event[1])
-    return " ".join(kept if seen_main else body)
+            seen_main |= event[1].rank == 0
+        else:
+            rank = event[2].rank
+            if rank == 0:
+                whole.append(event[1])
+            if digest(event[1], event[2].path & (1 << 63) - 1) not in template:
+                slots[rank].append(event[1])
+    if seen_main:
+        return " ".join(slots[0] or whole or slots[1])
+    return " ".join(max(slots[1], slots[2], key=lambda found: sum(map(len, found))) or slots[3] or slots[4])
 
 
 def extract(pages: DataFrame, broadcast_bytes: int = 16 << 20, salts: int = 64) -> DataFrame:
@@ -206,7 +233,7 @@ def extract(pages: DataFrame, broadcast_bytes: int = 16 << 20, salts: int = 64)
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     known = shared_table(templates(pages), "html-templates")
     n, tokens = known.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
-    if 100 * n + 48 * tokens <= broadcast_bytes:
+    if 100 * n + 56 * tokens <= broadcast_bytes:
         joined = rows.join(F.broadcast(known), "host", "left")
     else:
         spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -63,6 +63,24 @@ def test_article_text_is_never_template(spark):
     assert {r.text for r in html_extract.extract(pages).collect()} == {html_extract.main_text(PAGE.format(1), set())}
 
 
+def test_repeated_text_inside_an_article_goes(spark):
+    notice = "This story is part of a series and may not be copied. " * 6
+    page = "<html><body><article><h1>Head {0}</h1>{1}<p>" + notice + "</p></article></body></html>"
+    made = {i: page.format(i, "".join(f"<p>Part {k} of {i}</p>" for k in range(i + 1))) for i in range(6)}
+    rows = [(i, "http://h.example/", p) for i, p in made.items()] + [(9, "http://solo.example/", made[0])] + [(20 + i, "http://copies.example/", made[0]) for i in range(6)]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in made:
+        assert out[i] == " ".join([f"Head {i}", *(f"Part {k} of {i}" for k in range(i + 1))])
+    assert all(out[i] == f"Head 0 Part 0 of 0 {notice.strip()}" for i in (9, *range(20, 26)))
+
+
+def test_tags_and_words_only_rank():
+    assert html_extract.main_text('<body><div class="share-page"><article class="social">Story of the day</article></div><p>x</p></body>', set()) == "Story of the day"
+    assert html_extract.main_text('<form id="all"><div>Whole page</div></form>', set()) == "Whole page"
+    assert html_extract.main_text('<nav>menu</nav><article></article><div class="ad">buy</div>', set()) == ""
+    assert html_extract.main_text('<div>Long story here</div><div class="comments"><article class="comment">hi</article></div>', set()) == "Long story here"
+
+
 URLS = [
     ("http://A.Example.NET/en/x?y#z", "a.example.net", "/en/x", "example.net/en/", "allow"), ("https://example.net/de/", "example.net", "/de/", "net/", "block"),
     ("http://x.example.com/de/1", "x.example.com", "/de/1", "example.com/de/", "block"), ("http://notexample.com/de/", "notexample.com", "/de/", None, "allow"),
