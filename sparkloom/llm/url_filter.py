@@ -1,9 +1,10 @@
 """URL filters by link-graph propagation, in DataFrame expressions only.
 
-Rules judge the urls that they fit. Hosts whose pages are mostly allowed are trusted seeds, those whose pages
-are mostly blocked are distrusted seeds. Personalised PageRank carries trust along the edges between hosts
-and distrust against them; a host is blocked where its distrust passes the threshold and its trust. Edges are
-the links of the pages, and a host's tie to the domain that it stands under, for hosts without links.
+Rules judge the urls that they fit. Every host with ruled pages is a seed: of trust by the share of them that is
+allowed, of distrust by the share that is blocked, so its weight doesn't depend on how many pages it has.
+Personalised PageRank carries trust along the edges between hosts and distrust against them; a host is blocked
+where its distrust passes the threshold and its trust. Edges are the links of the pages, and a host's tie to the
+domain that it stands under, for hosts without links.
 """
 
 from __future__ import annotations
@@ -54,15 +55,16 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, every: int = 4) -> DataFrame:
-    """(host, kind, r): personalised PageRank of kind 't' along the edges and of kind 'd' against them, from seeds (host, kind).
+    """(host, kind, r): personalised PageRank of kind 't' along the edges and of kind 'd' against them, from seeds (host, kind)
+    or (host, kind, r).
 
-    A seed gives itself 1, so a rank is in units of one seed whatever the size of the graph. Lineage is cut every
+    A seed gives itself r, 1 where there is none, so a rank is in units of one seed whatever the size of the graph. Lineage is cut every
     few rounds in the shared folder; the rounds end when no rank changes by more than the tolerance.
     """
     steps = edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), F.lit("t").alias("kind"), "n").union(edges.select("dst", "src", F.lit("d"), "n"))
     out = steps.groupBy("host", "kind").agg(F.sum("n").alias("all"))
     steps = shared_table(steps.join(out, ["host", "kind"]).select("host", "kind", "to", (damping * F.col("n") / F.col("all")).alias("p")), "url-steps")
-    base = seeds.select("host", "kind", F.lit(1.0).alias("r"))
+    base = seeds.select("host", "kind", (F.col("r") if "r" in seeds.columns else F.lit(1.0)).alias("r"))
     rank = shared_table(base, "url-rank")
     base = rank
     for k in range(0, rounds, every):
@@ -86,9 +88,9 @@ def url_filter(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> D
     names; an empty table gives no rows. Rules become one expression, so they are meant to be some hundreds at most.
     """
     rows = judged(pages, rules)
-    share = lambda v: F.avg((F.coalesce(F.col("ruled"), F.lit("")) == v).cast("double"))
+    share = lambda v: F.avg((F.col("ruled") == v).cast("double"))  # of the ruled pages, null where there are none
     hosts = shared_table(rows.filter("host <> ''").groupBy("host").agg(share("allow").alias("allow"), share("block").alias("block")), "url-hosts")
-    seeds = hosts.filter("allow > 0.5").select("host", F.lit("t").alias("kind")).union(hosts.filter("block > 0.5").select("host", F.lit("d").alias("kind")))
+    seeds = hosts.filter("allow > 0").select("host", F.lit("t").alias("kind"), F.col("allow").alias("r")).union(hosts.filter("block > 0").select("host", F.lit("d").alias("kind"), F.col("block").alias("r")))
     rank = propagate(host_edges(pages, hosts), seeds)
     scores = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "t", F.round("r", 9))).alias("trust"), F.sum(F.when(F.col("kind") == "d", F.round("r", 9))).alias("distrust"))
     scores = shared_table(scores.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")), "url-scores")

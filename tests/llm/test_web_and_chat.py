@@ -120,3 +120,11 @@ def test_links_carry_distrust_backwards(spark):
     pages = [(1, "http://bad.net/x", "")] + [(2, "http://feeder.info/p", '<a href="http://bad.net/1">x</a>'), (3, "http://clean.info/p", '<a href="/local">y</a>')]
     out = {r.page_id: r.verdict for r in url_filter.url_filter(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert out == {1: "block", 2: "block", 3: "allow"}
+
+
+def test_hosts_with_few_ruled_pages_are_seeds(spark):
+    for n in (1, 40):  # pages that no rule fits for each that is blocked
+        urls = ["http://a.example.com/de/", "http://t.org/fr/"] + [u for i in range(n) for u in (f"http://a.example.com/en/{i}", f"http://b.example.com/en/{i}", f"http://t.org/en/{i}", f"http://free.info/en/{i}")]
+        pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+        out = {(r.host, r.rule is None): r.verdict for r in url_filter.url_filter(pages).collect()}
+        assert out == {("a.example.com", False): "block", ("a.example.com", True): "block", ("b.example.com", True): "block", ("t.org", False): "allow", ("t.org", True): "allow", ("free.info", True): "allow"}
