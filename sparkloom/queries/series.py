@@ -93,6 +93,16 @@ def ewma_plain(t):
     return win.ewma(t.events.filter("user_id < 20"), "value", "x", _EO, _EP, span=9, adjust=False).select("event_id", r("x").alias("x"))
 
 
+@query("ewma_whole")
+def ewma_whole(t):
+    return win.ewma(t.events, "value", "x", _EO, _EP).select("event_id", r("x").alias("x"))
+
+
+@query("ewma_plain_whole")
+def ewma_plain_whole(t):
+    return win.ewma(t.events, "value", "x", _EO, _EP, span=9, adjust=False).select("event_id", r("x").alias("x"))
+
+
 @query("ewma_std")
 def ewma_std(t):
     return win.ewma(t.events, "value", "x", _EO, _EP, fn="std").select("event_id", r("x").alias("x"))
