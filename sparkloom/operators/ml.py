@@ -401,12 +401,14 @@ def cross_entropy(df: DataFrame, y: str, probabilities: str) -> DataFrame:
     return df.agg((-F.avg(F.ln(p))).alias("cross_entropy"))
 
 
-def silhouette(df: DataFrame, key: str, array: str, cluster: str, most: int = SAMPLE) -> DataFrame:
-    """(key, silhouette), euclidean; 0 for a singleton. Quadratic, so more than `most` rows are an error."""
+def silhouette(df: DataFrame, key: str, array: str, cluster: str, most: int | None = SAMPLE) -> DataFrame:
+    """(key, silhouette), euclidean; 0 for a singleton. Quadratic, so more than `most` rows are an error; without a bound,
+    each row meets the rows of all clusters in blocks, and only sums by row and cluster are kept."""
     rows = df.select(F.col(key).alias("k"), F.col(array).alias("x"), F.col(cluster).alias("c"))
-    if rows.limit(most + 1).count() > most:
+    if most is not None and rows.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} rows")
-    other = F.broadcast(rows.select(F.col("k").alias("k2"), F.col("x").alias("x2"), F.col("c").alias("c2")))  # counted above
+    other = rows.select(F.col("k").alias("k2"), F.col("x").alias("x2"), F.col("c").alias("c2"))
+    other = other if most is None else F.broadcast(other)  # counted above
     mean = rows.crossJoin(other).filter("k <> k2").groupBy("k", "c", "c2").agg(F.avg(linalg.distance(F.col("x"), F.col("x2"))).alias("d"))
     per = mean.groupBy("k").agg(F.max(F.when(F.col("c") == F.col("c2"), F.col("d"))).alias("a"), F.min(F.when(F.col("c") != F.col("c2"), F.col("d"))).alias("b"))
     return per.select(F.col("k").alias(key), F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))

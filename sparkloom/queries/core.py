@@ -95,6 +95,10 @@ def salted_sum(t):
     return ag.salted_sum(t.lineitem, ["l_returnflag"], "l_extendedprice", "total").withColumn("total", r("total", 2))
 
 
+def _suppliers(t):
+    return t.supplier.select(F.nullif("s_nationkey", F.lit(4)).alias("k"), F.col("s_suppkey").alias("v")).union(t.spark.sql("select cast(null as int), -1L"))
+
+
 for how, kind in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
     key = {"inner": "a.k", "left": "a.k", "right": "b.k", "outer": "coalesce(a.k, b.k)"}[how]
 
@@ -103,8 +107,11 @@ for how, kind in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOI
         {kind} (SELECT nullif(s_nationkey, 4) AS k, s_suppkey AS v FROM supplier UNION ALL SELECT NULL, -1) b ON a.k IS NOT DISTINCT FROM b.k""")
     def joined(t, how=how):
         a = t.customer.filter("c_custkey % 5 = 0 and c_nationkey < 15").select(F.nullif("c_nationkey", F.lit(3)).alias("k"), F.col("c_custkey").alias("v"))
-        b = t.supplier.select(F.nullif("s_nationkey", F.lit(4)).alias("k"), F.col("s_suppkey").alias("v")).union(t.spark.sql("select cast(null as int), -1L"))
-        return rel.join(a, b, "k", how)
+        return rel.join(a, _suppliers(t), "k", how)
+
+    @query(f"join_{how}_whole")
+    def joined_whole(t, how=how):
+        return rel.join(t.customer.select(F.nullif("c_nationkey", F.lit(3)).alias("k"), F.col("c_custkey").alias("v")), _suppliers(t), "k", how)
 
 
 @query("join_three", """

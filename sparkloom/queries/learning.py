@@ -25,6 +25,16 @@ def pairwise_cityblock(t):
     return la.pairwise(t.embeddings.filter("vec_id < 5"), t.embeddings, "vec_id", "embedding", "cityblock").withColumn("distance", r("distance", 3))
 
 
+@query("pairwise_whole")
+def pairwise_whole(t):
+    return la.pairwise(t.embeddings.filter("vec_id % 50 = 0"), t.embeddings, "vec_id", "embedding").withColumn("distance", r("distance"))
+
+
+@query("pairwise_cityblock_whole")
+def pairwise_cityblock_whole(t):
+    return la.pairwise(t.embeddings.filter("vec_id % 50 = 0"), t.embeddings, "vec_id", "embedding", "cityblock").withColumn("distance", r("distance", 3))
+
+
 @query("gram", f"WITH c AS (SELECT vec_id, unnest(range(0, 4)) AS i, unnest(e[1:4]) AS v FROM {_VEC}) SELECT a.i, b.i AS j, round(sum(a.v * b.v), 4) + 0.0 AS v FROM c a JOIN c b USING (vec_id) GROUP BY 1, 2")
 def gram(t):
     return la.gram_of_arrays(t.embeddings.select(F.slice("embedding", 1, 4).alias("e")), "e").select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r("v").alias("v"))
@@ -190,6 +200,11 @@ def silhouette(t):
     return ml.silhouette(t.embeddings.filter("vec_id < 120"), "vec_id", "embedding", "label").withColumn("silhouette", r("silhouette", 5))
 
 
+@query("silhouette_whole")
+def silhouette_whole(t):
+    return ml.silhouette(t.embeddings, "vec_id", "embedding", "label", most=None).withColumn("silhouette", r("silhouette", 5))
+
+
 @query("dbscan", """
     WITH RECURSIVE p AS (SELECT c_custkey AS k, c_acctbal / 100 AS x, (c_custkey % 100)::DOUBLE AS y FROM customer), near AS (SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2) <= 3),
     core AS (SELECT a FROM near GROUP BY 1 HAVING count(*) >= 6), walk AS (SELECT a AS k, a AS root FROM core UNION SELECT n.b, w.root FROM walk w JOIN near n ON n.a = w.k JOIN core c ON c.a = n.b),
@@ -202,7 +217,7 @@ def dbscan(t):
 
 @query("hierarchical")
 def hierarchical(t):
-    x, _ = ml.local_sample(t.supplier, ["s_acctbal", "s_nationkey"], None, ["s_suppkey"], 60)
+    x, _ = ml.local_sample(t.supplier, ["s_acctbal", "s_nationkey"], None, ["s_suppkey"])
     return t.spark.createDataFrame([(i, c) for i, c in enumerate(ml.hierarchical(x, 3, "average"))], "row long, cluster long")
 
 
@@ -234,7 +249,7 @@ def lasso_path(t):
 
 
 def _flags(t):
-    return t.lineitem.filter("l_orderkey < 4000").withColumn("y", (F.col("l_returnflag") == "R").cast("double"))
+    return t.lineitem.withColumn("y", (F.col("l_returnflag") == "R").cast("double"))
 
 
 @query("tree_ensembles")
@@ -251,7 +266,7 @@ def linear_classifiers(t):
     df, x = _flags(t), ["l_quantity", "l_discount"]
     proba = ml.model_predict(ml.softmax_fit(df, x, "y"), df, x, proba="p").agg(F.avg(F.col("p")[1])).first()[0]
     hard = ml.model_predict(ml.logreg_fit(df, x, "y"), df, x).agg(F.avg("prediction")).first()[0]
-    xs, ys = ml.local_sample(df, x, "y", ["l_orderkey", "l_linenumber"], 500)
+    xs, ys = ml.local_sample(df, x, "y", ["l_orderkey", "l_linenumber"])
     perceptron = ml.perceptron_predict(df, ml.perceptron_fit(xs, ys, epochs=5), x).agg(F.avg("prediction")).first()[0]
     mlp = ml.mlp_predict(df, ml.mlp_fit(xs / [50, 0.1], ys, epochs=10), x).agg(F.avg("prediction")).first()[0]
     return one(t, 6, softmax=proba, logreg=hard, perceptron=perceptron, mlp=mlp)

@@ -221,7 +221,7 @@ def wilcoxon(t):
 
 @query("shapiro")
 def shapiro(t):
-    x = [v[0] for v in t.customer.orderBy(F.xxhash64("c_custkey"), "c_custkey").select("c_acctbal").limit(500).collect()]
+    x = [v[0] for v in t.customer.orderBy(F.xxhash64("c_custkey"), "c_custkey").select("c_acctbal").limit(5000).collect()]
     return one(t, 8, **st.shapiro(x))
 
 

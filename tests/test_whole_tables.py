@@ -9,6 +9,7 @@ from conftest import SF
 from sparkloom.queries import QUERIES
 
 SF_100 = "/root/testdata/sf0.01"  # has 100 suppliers
+SF_2000 = "/root/testdata/sf0.1"  # has 2,000 vectors
 
 
 def table(spark, name, sf=SF):
@@ -70,3 +71,51 @@ def test_round_legs_of_all_nations(spark):
     out = {r.leg: r.cost for r in QUERIES["round_legs"](spark, SF).collect()}
     assert set(out) == {n.n_nationkey for n in table(spark, "nation")}
     assert {k for k, cost in out.items() if cost is None} == {10}  # starts in the wall
+
+
+def test_vectors_of_the_whole_table(spark):
+    import numpy as np
+
+    rows = table(spark, "embeddings", SF_2000)
+    at = {e.vec_id: np.array(e.embedding, float) for e in rows}
+    some = [k for k in at if k % 50 == 0]
+    assert max(some) >= 500  # beyond the prefix
+    for name, norm, digits in (("pairwise_whole", 2, 1e-4), ("pairwise_cityblock_whole", 1, 1e-3)):
+        got = {(r.a, r.b): r.distance for r in QUERIES[name](spark, SF_2000).collect()}
+        assert set(got) == {(a, b) for a in some for b in at}
+        assert all(abs(got[a, b] - np.linalg.norm(at[a] - at[b], norm)) <= digits for a in some[:3] + some[-3:] for b in at)
+
+
+def test_silhouette_of_the_whole_table(spark):
+    import numpy as np
+
+    rows = table(spark, "embeddings")
+    x, c = np.array([e.embedding for e in rows], float), np.array([e.label for e in rows])
+    got = {r.vec_id: r.silhouette for r in QUERIES["silhouette_whole"](spark, SF).collect()}
+    assert len(got) == len(rows)
+    for i in range(0, len(rows), 25):
+        d = np.linalg.norm(x - x[i], axis=1)
+        mean = {k: d[(c == k) & (np.arange(len(c)) != i)].mean() for k in set(c) if ((c == k) & (np.arange(len(c)) != i)).any()}
+        a, b = mean.pop(c[i], None), min(mean.values(), default=None)
+        assert got[rows[i].vec_id] == pytest.approx(0 if a is None or b is None else (b - a) / max(a, b), abs=1e-5)
+
+
+def test_silhouette_without_a_bound(spark):
+    from sparkloom.operators import ml
+
+    df = spark.range(2500).selectExpr("id", "array(double(id % 2 * 100), double(id % 7)) as x", "id % 2 as c")
+    out = ml.silhouette(df, "id", "x", "c", most=None)
+    assert out.count() == 2500 and out.filter("silhouette < 0.9").count() == 0
+
+
+def test_joins_of_the_whole_table(spark):
+    a = [(None if c.c_nationkey == 3 else c.c_nationkey, c.c_custkey) for c in table(spark, "customer")]
+    b = [(None if s.s_nationkey == 4 else s.s_nationkey, s.s_suppkey) for s in table(spark, "supplier")] + [(None, -1)]
+    both = [(k, v, w) for k, v in a for m, w in b if k == m]
+    left, right = [(k, v, None) for k, v in a if k not in {m for m, _ in b}], [(m, None, w) for m, w in b if m not in {k for k, _ in a}]
+    for how, want in (("inner", both), ("left", both + left), ("right", both + right), ("outer", both + left + right)):
+        assert sorted(map(repr, (tuple(r) for r in QUERIES[f"join_{how}_whole"](spark, SF).select("k", "v_left", "v_right").collect()))) == sorted(map(repr, want))
+
+
+def test_samples_reach_their_operators_bounds(spark):
+    assert QUERIES["hierarchical"](spark, SF_100).count() == 100
