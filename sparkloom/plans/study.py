@@ -19,7 +19,7 @@ from ..operators import aggregate as ag
 from ..operators import ml, regression
 from ..table import double, require
 
-ALPHA, CORRELATION, MOST_LEVELS, SAMPLE = 0.05, 0.3, 12, 2_000
+ALPHA, CORRELATION, MOST_LEVELS = 0.05, 0.3, 12
 
 
 @dataclass
@@ -116,7 +116,7 @@ def model_table(df: DataFrame, features: Sequence[str], target: str, classes: Se
 
 
 def models(df: DataFrame, p: Plan, key: Sequence[str], seed: int = 7) -> list[dict]:
-    """Candidates by cross-validated error, best first: the mean alone, a linear model, a tree (regress); shares, logistic, a tree (classify)."""
+    """Candidates by error cross-validated on all rows, best first: the mean alone, a linear model, a tree (regress); shares, logistic, a tree (classify)."""
     features = [c for c in p.numbers if c != p.target]
     if not p.task or not features:
         return []
@@ -132,14 +132,24 @@ def models(df: DataFrame, p: Plan, key: Sequence[str], seed: int = 7) -> list[di
     else:
         candidates["linear"] = (lambda d: regression.ridge(d, features, "y", 1e-6), regression.predict)
         candidates["tree"] = (lambda d: ml.tree_fit(d, features, "y"), lambda d, m: ml.model_predict(m, d, features))
-    sample = table.orderBy(F.xxhash64(*features), *features).limit(SAMPLE)
     out = []
     for name, (fit, predict) in candidates.items():
-        score = ml.cross_validate(sample, fit, predict, "y", [*features, "y"], seed, 3, metric).agg(F.avg("score")).first()[0]
+        score = ml.cross_validate(table, fit, predict, "y", [*features, "y"], seed, 3, metric).agg(F.avg("score")).first()[0]
         out.append({"name": name, "score": score, "metric": metric})
     return sorted(out, key=lambda c: (-c["score"] if classes else c["score"], c["name"]))
 
 
+def directions(df: DataFrame, columns: Sequence[str]) -> dict | None:
+    """The first two components of the standardised columns over complete rows; None where fewer than two columns vary there."""
+    live = df.select(*(double(c).alias(c) for c in columns)).na.drop()
+    one = live.agg(*(f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    kept = [(c, one[f"m{i}"], one[f"s{i}"]) for i, c in enumerate(columns) if one[f"s{i}"]]
+    if len(kept) < 2:
+        return None
+    model = ml.pca(live.select(F.array(*((F.col(c) - m) / s for c, m, s in kept)).alias("x")), "x", 2)
+    return {"columns": [c for c, _, _ in kept], "ratio": model["ratio"], "components": model["components"]}
+
+
 def study(df: DataFrame, target: str | None = None, key: Sequence[str] = (), seed: int = 7) -> DataFrame:
     """(position, kind, sentence): the whole analysis in words."""
     p = plan(df, target)
@@ -156,6 +166,12 @@ def study(df: DataFrame, target: str | None = None, key: Sequence[str] = (), see
             said.append(("groups", f"By {t['test']}, {column} {'differs' if t['p'] < ALPHA else 'does not clearly differ'} between the levels of {p.group} (p = {t['p']:.3g}, effect {t['effect']:.3f})."))
         else:
             said.append(("groups", f"{p.group} can't be compared: {t['why']}."))
+    found = directions(df, p.numbers) if len(p.numbers) > 1 else None
+    if found:
+        said.append(("directions", f"The first {len(found['ratio'])} components hold {100 * sum(found['ratio']):.1f} % of the variance ({', '.join(f'{100 * x:.1f} %' for x in found['ratio'])})."))
+        for k, part in enumerate(found["components"], 1):
+            most = sorted(zip(found["columns"], part, strict=True), key=lambda c: -abs(c[1]))[:3]
+            said.append(("directions", f"Component {k} is mostly {', '.join(f'{c} ({v:.2f})' for c, v in most)}."))
     ranked = models(df, p, key, seed)
     if ranked:
         best = ranked[0]

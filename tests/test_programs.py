@@ -69,3 +69,15 @@ def test_study_finds_what_was_planted(spark):
     assert [(r.a, r.b) for r in study.pairs(df, ["x", "y"]).collect()] == [("x", "y")]
     assert study.compare_groups(df, "g", "z")["p"] < 1e-6
     assert study.models(df.select("x", "y"), study.plan(df.select("x", "y"), "y"), [])[0]["name"] != "baseline"
+
+
+def test_study_scores_all_rows_and_names_directions(spark):
+    from sparkloom.plans import study
+
+    df = spark.range(3000).selectExpr("double(id % 50) as x", "double(id % 50) * 2 + id % 3 as w", "double((id * 37) % 11) as z", "if(id = 2999, 1e6, double(id % 7)) as t")
+    base = next(m for m in study.models(df, study.plan(df, "t"), []) if m["name"] == "baseline")
+    assert base["score"] == pytest.approx(1e12 / 3000, rel=0.02)  # one far row in all 3,000
+    d = study.directions(df, ["x", "w", "z"])
+    assert d["ratio"][0] == pytest.approx(2 / 3, abs=0.02) and {c for c, v in zip(d["columns"], d["components"][0]) if abs(v) > 0.5} == {"x", "w"}
+    said = [(r.kind, r.sentence) for r in study.study(df.select("x", "w", "z"), "w").collect()]
+    assert len([k for k, _ in said if k == "directions"]) == 3
