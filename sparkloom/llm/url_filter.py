@@ -16,7 +16,7 @@ from .common import shared_table
 
 #: (host, path, verdict) of the registered query (fixed values).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 24, 1e-9, 0.25
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-9, 0.25
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?is)<a\s[^>]*?\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
 
@@ -54,12 +54,13 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return links.union(ties).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, every: int = 4) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None, every: int = 4) -> DataFrame:
     """(host, kind, r): personalised PageRank of kind 't' along the edges and of kind 'd' against them, from seeds (host, kind)
     or (host, kind, r).
 
     A seed gives itself r, 1 where there is none, so a rank is in units of one seed whatever the size of the graph. Lineage is cut every
-    few rounds in the shared folder; the rounds end when no rank changes by more than the tolerance.
+    few rounds in the shared folder; the rounds end when no rank changes by more than the tolerance, or after
+    `rounds` where that is given: as a round multiplies all changes by the damping at most, they always end.
     """
     steps = edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), F.lit("t").alias("kind"), "n").union(edges.select("dst", "src", F.lit("d"), "n"))
     out = steps.groupBy("host", "kind").agg(F.sum("n").alias("all"))
@@ -67,7 +68,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     base = seeds.select("host", "kind", (F.col("r") if "r" in seeds.columns else F.lit(1.0)).alias("r"))
     rank = shared_table(base, "url-rank")
     base = rank
-    for k in range(0, rounds, every):
+    done = 0
+    while rounds is None or done < rounds:
+        done += every
         fresh = rank
         for _ in range(every):
             moved = fresh.join(steps, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("r") * F.col("p")).alias("r"))

@@ -128,3 +128,11 @@ def test_hosts_with_few_ruled_pages_are_seeds(spark):
         pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
         out = {(r.host, r.rule is None): r.verdict for r in url_filter.url_filter(pages).collect()}
         assert out == {("a.example.com", False): "block", ("a.example.com", True): "block", ("b.example.com", True): "block", ("t.org", False): "allow", ("t.org", True): "allow", ("free.info", True): "allow"}
+
+
+def test_rounds_end_by_the_tolerance(spark):
+    cycle = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
+    got = {r.host: r.r for r in url_filter.propagate(cycle, spark.createDataFrame([("a", "t")], "host string, kind string")).collect()}
+    assert abs(got["a"] - 1 / (1 - 0.85**2)) < 1e-8 and abs(got["b"] - 0.85 / (1 - 0.85**2)) < 1e-8
+    path = spark.createDataFrame([(f"h{i:02}", f"h{i + 1:02}", 1) for i in range(30)], "src string, dst string, n long")
+    assert url_filter.propagate(path, spark.createDataFrame([("h00", "t")], "host string, kind string")).count() == 31
