@@ -71,26 +71,59 @@ def fold_of(doc_id: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set (tests on one machine)."""
+    """The folder of spark.checkpoint.dir; a temporary one only where none is set on one machine (tests).
+
+    On a cluster without that setting it raises: executors don't see a folder of one machine.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not path and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(path or os.path.join(tempfile.gettempdir(), f"checkpoints-{uuid.uuid4().hex}"))
     return path or spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def write_shared(df: DataFrame, name: str) -> str:
+    """Write a table to the shared checkpoint folder; returns its path."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def remove_shared(spark: SparkSession, path: str) -> None:
+    """Delete a table of `write_shared` that nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by writing a table to the shared checkpoint folder and reading it back."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name))
+
+
+def hot_keys(counts: DataFrame, share: int = 1000) -> DataFrame:
+    """The keys of counts (key, n) that hold over one `share`th of all rows: fewer than `share` of them, whatever the input."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return counts.filter(F.col("n") * share > total).drop("n")
+
+
+def spread_join(rows: DataFrame, unique: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Inner join of `rows` with `unique` (one row for each key), hot keys spread.
+
+    hot: the keys of `hot_keys`, so that what is broadcast has a proven bound. Their rows stay where they are;
+    all other rows meet in an ordinary join, in which no key holds more than one share of the rows.
+    """
+    few = F.broadcast(hot)
+    most = rows.join(few, key, "left_anti").join(unique.join(few, key, "left_anti"), key)
+    return most.unionByName(rows.join(F.broadcast(unique.join(few, key, "left_semi")), key))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, keep: list[str] | None = None) -> DataFrame:
-    """A bounded sample of labelled documents outside the held-out fold: (text, label).
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
+    """A bounded sample of labelled documents outside the held-out fold: (doc_id, label, text), one row for each doc_id.
 
-    At most `limit` labels are taken in the order of a hash of doc_id, so the choice depends on
-    neither the partitioning nor the order of rows. Only this bounded table is broadcast.
+    At most `limit` labels are taken in the order of a hash of doc_id, so the choice depends on neither the
+    partitioning nor the order of rows; only this bounded table is broadcast. Of the rows that repeat a doc_id
+    the least text is taken, of its labels the greatest, so the sample is bounded however often an id is repeated.
     """
     chosen = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
@@ -98,7 +131,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
         .groupBy("doc_id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    return docs.select("doc_id", "text", *(keep or [])).join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull())
+    found = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
 
 
 #: Names of the statistics that `statistics` returns, in order.

@@ -3,22 +3,33 @@
 Rules judge the urls that they fit. Every host with ruled pages is a seed: of trust by the share of them that is
 allowed, of distrust by the share that is blocked, so its weight doesn't depend on how many pages it has.
 Personalised PageRank carries trust along the edges between hosts and distrust against them; a host is blocked
-where its distrust passes the threshold and its trust. Edges are the links of the pages, and a host's tie to the
-domain that it stands under, for hosts without links.
+where its distrust passes the threshold and its trust. Edges are the links of the pages, relative ones read
+against the page's base, and a host's tie to the domain right above it where that domain has pages of its own
+(so a public suffix, which has none, ties nobody).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table
+from .common import hot_keys, remove_shared, shared_table, spread_join, write_shared
 
 #: (host, path, verdict) of the registered query (fixed values).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-9, 0.25
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"""(?is)<a\s[^>]*?\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
+_SCHEME = r"[a-z][a-z0-9+.\-]*:"
+_HREF = r"""\s[^<>]*?\bhref\s*=\s*["']?\s*"""
+_HOST = rf"""(?:{_SCHEME})?//([^/?#"'\s<>]+)"""
+_LINK, _BASE = rf"(?is)<a{_HREF}{_HOST}", rf"(?is)<base{_HREF}{_HOST}"
+_RELATIVE = rf"""(?is)<a{_HREF}(?!{_SCHEME}|//|#|["'\s>])"""
+#: Edges that one task of a round takes: small graphs are walked by few tasks.
+EDGES_PER_TASK = 500_000
+#: Hosts up to which the scores are broadcast.
+BROADCAST_HOSTS = 200_000
 
 
 def host(url: Column) -> Column:
@@ -46,38 +57,49 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(src, dst, n): links of pages to other hosts, counted, and both ways between a host and the domain above it."""
-    links = pages.select(host(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), 1)).alias("dst"))
-    links = links.select("src", F.translate("dst", _UPPER, _LOWER).alias("dst")).filter("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
-    above = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]+\.([^.]+\..+)$", 1).alias("dst")).filter("dst <> ''").distinct()
-    ties = above.union(above.select("dst", "src")).withColumn("n", F.lit(1).cast("long"))
-    return links.union(ties).groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    """(src, dst, n): links of pages to other hosts, counted, and both ways between a host and the domain above it.
+
+    A relative link leads to the page's own host, unless a base element names another one. hosts: (host).
+    """
+    rows = pages.select(host(F.col("url")).alias("src"), "html")
+    absolute = rows.select("src", F.explode(F.regexp_extract_all("html", F.lit(_LINK), 1)).alias("dst"), F.lit(1).cast("long").alias("n"))
+    based = rows.select("src", F.regexp_extract("html", _BASE, 1).alias("dst"), F.regexp_count("html", F.lit(_RELATIVE)).cast("long").alias("n")).filter("dst <> '' and n > 0")
+    links = absolute.union(based).select("src", F.translate("dst", _UPPER, _LOWER).alias("dst"), "n").filter("src <> '' and src <> dst")
+    above = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]+\.(.+)$", 1).alias("dst"))
+    above = above.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi").select("src", "dst", F.lit(1).cast("long").alias("n"))
+    return links.union(above).union(above.select("dst", "src", "n")).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None, every: int = 4) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None, every: int = 8) -> DataFrame:
     """(host, kind, r): personalised PageRank of kind 't' along the edges and of kind 'd' against them, from seeds (host, kind)
     or (host, kind, r).
 
-    A seed gives itself r, 1 where there is none, so a rank is in units of one seed whatever the size of the graph. Lineage is cut every
-    few rounds in the shared folder; the rounds end when no rank changes by more than the tolerance, or after
-    `rounds` where that is given: as a round multiplies all changes by the damping at most, they always end.
+    A seed gives itself r, 1 where there is none, so a rank is in units of one seed: it says how much of how many
+    seeds reaches a host, doesn't shrink as the graph grows, and may pass 1. A host without edges of a kind passes
+    nothing on. Lineage is cut every few rounds in the shared folder, and the table before is deleted; the rounds
+    end when no rank changes by more than the tolerance, or after `rounds` where that is given: as a round
+    multiplies all changes by the damping at most, they always end.
     """
+    spark = edges.sparkSession
     steps = edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), F.lit("t").alias("kind"), "n").union(edges.select("dst", "src", F.lit("d"), "n"))
     out = steps.groupBy("host", "kind").agg(F.sum("n").alias("all"))
     steps = shared_table(steps.join(out, ["host", "kind"]).select("host", "kind", "to", (damping * F.col("n") / F.col("all")).alias("p")), "url-steps")
-    base = seeds.select("host", "kind", (F.col("r") if "r" in seeds.columns else F.lit(1.0)).alias("r"))
-    rank = shared_table(base, "url-rank")
-    base = rank
-    done = 0
+    base = shared_table(seeds.select("host", "kind", (F.col("r") if "r" in seeds.columns else F.lit(1.0)).alias("r")), "url-seeds")
+    tasks = math.ceil((steps.count() + base.count()) / EDGES_PER_TASK) or 1
+    steps, base = steps.coalesce(tasks), base.coalesce(tasks)
+    rank, path, done = base, None, 0
     while rounds is None or done < rounds:
         done += every
         fresh = rank
         for _ in range(every):
             moved = fresh.join(steps, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("r") * F.col("p")).alias("r"))
-            fresh = base.union(moved).groupBy("host", "kind").agg(F.sum("r").alias("r"))
-        fresh = shared_table(fresh, "url-rank")
-        change = fresh.union(rank.select("host", "kind", -F.col("r"))).groupBy("host", "kind").agg(F.abs(F.sum("r")).alias("x")).agg(F.max("x")).first()[0]
-        rank = fresh
+            fresh = base.union(moved).coalesce(tasks).groupBy("host", "kind").agg(F.sum("r").alias("r")).coalesce(tasks)
+        written = write_shared(fresh, "url-rank")
+        fresh = spark.read.schema(base.schema).parquet(written).coalesce(tasks)
+        change = fresh.union(rank.select("host", "kind", -F.col("r"))).coalesce(tasks).groupBy("host", "kind").agg(F.abs(F.sum("r")).alias("x")).agg(F.max("x")).first()[0]
+        if path:
+            remove_shared(spark, path)
+        rank, path = fresh, written
         if change is None or change <= TOLERANCE:
             break
     return rank
@@ -87,16 +109,23 @@ def url_filter(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> D
     """page_id, host, path, rule, verdict, trust, distrust of each row of `pages`.
 
     A null url, or one without ://, has an empty host and path, fits no rule and is allowed. A null page has no
-    links. Repeated rows are judged each and their links count each; other columns are ignored whatever their
-    names; an empty table gives no rows. Rules become one expression, so they are meant to be some hundreds at most.
+    links; one of any length is searched whole, in one pass. Of rules that fit the longest wins, of equally long ones
+    the first by host and path; a distrust that only equals the trust doesn't block. Repeated rows are judged each
+    and their links count each; other columns are ignored whatever their names; an empty table gives no rows. Rules
+    become one expression, so they are meant to be some hundreds at most.
     """
     rows = judged(pages, rules)
     share = lambda v: F.avg((F.col("ruled") == v).cast("double"))  # of the ruled pages, null where there are none
-    hosts = shared_table(rows.filter("host <> ''").groupBy("host").agg(share("allow").alias("allow"), share("block").alias("block")), "url-hosts")
-    seeds = hosts.filter("allow > 0").select("host", F.lit("t").alias("kind"), F.col("allow").alias("r")).union(hosts.filter("block > 0").select("host", F.lit("d").alias("kind"), F.col("block").alias("r")))
-    rank = propagate(host_edges(pages, hosts), seeds)
-    scores = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "t", F.round("r", 9))).alias("trust"), F.sum(F.when(F.col("kind") == "d", F.round("r", 9))).alias("distrust"))
-    scores = shared_table(scores.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")), "url-scores")
-    out = rows.join(scores, "host", "left").fillna(0.0, ["trust", "distrust"])
+    hosts = shared_table(rows.groupBy("host").agg(F.count("*").alias("n"), share("allow").alias("allow"), share("block").alias("block")), "url-hosts")
+    known = hosts.filter("host <> ''")
+    seeds = known.filter("allow > 0").select("host", F.lit("t").alias("kind"), F.col("allow").alias("r")).union(known.filter("block > 0").select("host", F.lit("d").alias("kind"), F.col("block").alias("r")))
+    rank = propagate(host_edges(pages, known.select("host")), seeds)
+    rank = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "t", F.round("r", 9))).alias("trust"), F.sum(F.when(F.col("kind") == "d", F.round("r", 9))).alias("distrust"))
+    scores = hosts.select("host", "n").join(rank, "host", "left").select("host", "n", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    scores = shared_table(scores, "url-scores")
+    if scores.count() <= BROADCAST_HOSTS:
+        out = rows.join(F.broadcast(scores), "host")
+    else:
+        out = spread_join(rows, scores, "host", hot_keys(scores.select("host", "n")))
     blocked = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(blocked, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "trust", "distrust")

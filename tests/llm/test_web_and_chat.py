@@ -124,10 +124,10 @@ def test_links_carry_distrust_backwards(spark):
 
 def test_hosts_with_few_ruled_pages_are_seeds(spark):
     for n in (1, 40):  # pages that no rule fits for each that is blocked
-        urls = ["http://a.example.com/de/", "http://t.org/fr/"] + [u for i in range(n) for u in (f"http://a.example.com/en/{i}", f"http://b.example.com/en/{i}", f"http://t.org/en/{i}", f"http://free.info/en/{i}")]
+        urls = ["http://a.example.com/de/", "http://t.org/fr/", "http://example.com/en/"] + [u for i in range(n) for u in (f"http://a.example.com/en/{i}", f"http://b.example.com/en/{i}", f"http://t.org/en/{i}", f"http://free.info/en/{i}")]
         pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
         out = {(r.host, r.rule is None): r.verdict for r in url_filter.url_filter(pages).collect()}
-        assert out == {("a.example.com", False): "block", ("a.example.com", True): "block", ("b.example.com", True): "block", ("t.org", False): "allow", ("t.org", True): "allow", ("free.info", True): "allow"}
+        assert out == {("a.example.com", False): "block", ("a.example.com", True): "block", ("example.com", True): "block", ("b.example.com", True): "block", ("t.org", False): "allow", ("t.org", True): "allow", ("free.info", True): "allow"}
 
 
 def test_rounds_end_by_the_tolerance(spark):
@@ -136,3 +136,63 @@ def test_rounds_end_by_the_tolerance(spark):
     assert abs(got["a"] - 1 / (1 - 0.85**2)) < 1e-8 and abs(got["b"] - 0.85 / (1 - 0.85**2)) < 1e-8
     path = spark.createDataFrame([(f"h{i:02}", f"h{i + 1:02}", 1) for i in range(30)], "src string, dst string, n long")
     assert url_filter.propagate(path, spark.createDataFrame([("h00", "t")], "host string, kind string")).count() == 31
+
+
+def test_a_domain_without_pages_ties_nobody(spark):
+    urls = ["http://a.co.net/de/", "http://b.co.org/en/", "http://c.example.com/de/", "http://d.example.com/en/"]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter.url_filter(pages).collect()} == {0: "block", 1: "allow", 2: "block", 3: "allow"}
+
+
+def test_relative_links_follow_the_base(spark):
+    html = '<base href="//Bad.net/x"><a href="/1">x</a><a class="k" href=two>x</a><a href="#top">x</a><a href="https://Other.info/">x</a><a href=\'mailto:x@y\'>m</a>'
+    pages = spark.createDataFrame([(1, "http://feeder.info/p", html), (2, "http://plain.info/", '<a href="/1">x</a>')], "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in url_filter.host_edges(pages, spark.createDataFrame([("feeder.info",)], "host string")).collect())
+    assert got == [("feeder.info", "bad.net", 2), ("feeder.info", "other.info", 1)]
+
+
+@pytest.mark.parametrize("broadcast_hosts", [200_000, 0])
+def test_verdicts_match_power_iteration(spark, monkeypatch, broadcast_hosts):
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(url_filter, "BROADCAST_HOSTS", broadcast_hosts)
+    rng = random.Random(8)
+    names = [f"{p}h{i}.{t}" for i in range(5) for t in ("net", "org", "example.com") for p in ("", "www.")]
+    rows = []
+    for i in range(400):
+        links = "".join(f'<a href="http://{rng.choice(names)}/x">l</a>' for _ in range(rng.randrange(3)))
+        rows.append((i, f"https://{rng.choice(names)}/{rng.choice(['en', 'de', 'fr'])}/{i}", links))
+    ruled = lambda h, p: "block" if h.endswith("net") or h.endswith("example.com") and p == "de" else "allow" if h.endswith("org") and p == "fr" else None
+    page = {i: (u.split("/")[2], ruled(u.split("/")[2], u.split("/")[3])) for i, u, _ in rows}
+    hosts = sorted({h for h, _ in page.values()} | set(names))
+    edges = Counter()
+    for i, _, html in rows:
+        edges.update((page[i][0], part.split("/")[2]) for part in html.split('href="')[1:] if part.split("/")[2] != page[i][0])
+    present = {h for h, _ in page.values()}
+    for h in present:
+        if h.split(".", 1)[1] in present:
+            edges.update([(h, h.split(".", 1)[1]), (h.split(".", 1)[1], h)])
+    rank = {}
+    for kind, verdict in (("t", "allow"), ("d", "block")):
+        steps = Counter()
+        for (a, b), n in edges.items():
+            steps[(a, b) if kind == "t" else (b, a)] += n
+        out = Counter()
+        for (a, _), n in steps.items():
+            out[a] += n
+        own = {h: [v for g, v in page.values() if g == h and v] for h in hosts}
+        base = {h: own[h].count(verdict) / len(own[h]) if own[h] else 0.0 for h in hosts}
+        r = dict(base)
+        for _ in range(300):
+            fresh = dict(base)
+            for (a, b), n in steps.items():
+                fresh[b] += 0.85 * r[a] * n / out[a]
+            r = fresh
+        rank[kind] = r
+    got = {r.page_id: r for r in url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for i, (h, v) in page.items():
+        t, d = rank["t"][h], rank["d"][h]
+        assert abs(got[i].trust - t) < 1e-7 and abs(got[i].distrust - d) < 1e-7
+        assert got[i].verdict == (v or ("block" if d >= 0.25 and d > t else "allow"))
