@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .common import STATS, WordHashes, slices, statistics, texts_of
@@ -100,19 +101,20 @@ def fit(ids, values, stats: np.ndarray, y: np.ndarray, epochs: int = 6, batch: i
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine:
-    """Fit on at most `sample_rows` labelled documents outside the held-out fold. Only features reach the driver."""
+    """Fit on at most `sample_rows` labelled documents outside the held-out fold, in the order of doc_id. Only features reach the driver."""
 
     def run(batches):
         hashes = WordHashes()
         for batch in slices(batches):
             ids, values, stats = zip(*(inputs_of(t, hashes) for t in texts_of(batch)), strict=True)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for v in values], pa.list_(pa.float32())), pa.array(list(stats), pa.list_(pa.float64()))],
-                names=["label", "ids", "x", "stats"],
+                [batch.column(0), batch.column(1), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for v in values], pa.list_(pa.float32())), pa.array(list(stats), pa.list_(pa.float64()))],
+                names=["doc_id", "label", "ids", "x", "stats"],
             )
 
-    sample = common.labelled_sample(docs, labels, "quality", sample_rows).select("label", "text")
-    table = sample.mapInArrow(run, "label int, ids array<int>, x array<float>, stats array<double>").toArrow()
+    sample = common.labelled_sample(docs, labels, "quality", sample_rows)
+    schema = T.StructType(sample.select("doc_id", "label").schema.fields).add("ids", "array<int>").add("x", "array<float>").add("stats", "array<double>")
+    table = sample.mapInArrow(run, schema).toArrow().sort_by("doc_id")
     ids, values = ([v.values.to_numpy(zero_copy_only=False) for v in table[c]] for c in ("ids", "x"))
     stats = np.array(table["stats"].to_pylist(), float).reshape(-1, len(INPUTS) + 1)
     return fit(ids, values, stats, np.array(table["label"].to_pylist(), float))
@@ -135,8 +137,9 @@ def scorer(machine: Machine):
 def quality_classifier(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of `docs`.
 
-    A null or empty text is scored by its statistics, all zero. held_out is null for a null doc_id. Repeated
-    rows are scored each; other columns are ignored whatever their names; an empty table gives no rows.
+    A null or empty text is scored by its statistics, all zero. A text of any length is scored whole, in memory in
+    proportion to it. held_out is null for a null doc_id. Repeated rows are scored each; a score equal to the
+    threshold is predicted 1; other columns are ignored whatever their names; an empty table gives no rows.
     """
     common.bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(machine)

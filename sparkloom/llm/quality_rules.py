@@ -114,8 +114,8 @@ def document_statistics(docs: DataFrame, *carry: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
-    """Fit the trees on the statistics of at most `sample_rows` labelled documents outside the held-out fold."""
-    table = document_statistics(common.labelled_sample(docs, labels, "quality", sample_rows), "label").toArrow()
+    """Fit the trees on the statistics of at most `sample_rows` labelled documents outside the held-out fold, in the order of doc_id."""
+    table = document_statistics(common.labelled_sample(docs, labels, "quality", sample_rows), "doc_id", "label").toArrow().sort_by("doc_id")
     x = np.array(table["stats"].to_pylist(), float).reshape(-1, len(STATS))
     monotone = np.array([MONOTONE.get(n, 0) for n in STATS])
     return fit(x, np.array(table["label"].to_pylist(), float), monotone)
@@ -125,8 +125,9 @@ def quality_rules(docs: DataFrame, trees: Trees, threshold: float = 0.3, min_wor
     """Statistics, base rule and verdict of each row of `docs`: doc_id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, kept, score.
 
-    A null or empty text has no words, so the base rule fails. Repeated rows are judged each; columns
-    other than doc_id and text are ignored whatever their names; an empty table gives no rows.
+    A null or empty text has no words, so the base rule fails. A text of any length is judged whole, by counts
+    that take memory in proportion to it. Repeated rows are judged each; a score equal to the threshold is kept;
+    columns other than doc_id and text are ignored whatever their names; an empty table gives no rows.
     """
     common.bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(trees)
