@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             )
 
     sample = common.labelled_sample(docs, labels, "quality", sample_rows)
-    schema = T.StructType(sample.select("doc_id", "label").schema.fields).add("ids", "array<int>").add("x", "array<float>").add("stats", "array<double>")
+    schema = T.StructType(sample.select("doc_id", "label").schema.fields).add("ids", T.ArrayType(T.IntegerType())).add("x", T.ArrayType(T.FloatType())).add("stats", T.ArrayType(T.DoubleType()))
     table = sample.mapInArrow(run, schema).toArrow().sort_by("doc_id")
     ids, values = ([v.values.to_numpy(zero_copy_only=False) for v in table[c]] for c in ("ids", "x"))
     stats = np.array(table["stats"].to_pylist(), float).reshape(-1, len(INPUTS) + 1)
