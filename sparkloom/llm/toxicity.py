@@ -1,10 +1,10 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A feature is a character n-gram inside a lower-cased word with its boundaries marked; its value is the
-number of the document's distinct words that hold it. Each feature is multiplied by the log ratio of
+A feature is an n-gram of code points inside a lower-cased word with its boundaries marked; its value is 1 where
+the document holds it, however often, in the fit as in the score. Each feature is multiplied by the log ratio of
 its smoothed document frequency in the two classes, and a logistic regression with L2 penalty is fitted
-on the scaled features. As the classifier is linear, a document's score is a sum over its distinct
-words, and the sum of one word is remembered by the worker for a bounded number of words.
+on the scaled features. Most n-grams of a word have no weight, so a worker remembers for a bounded number of
+words which of their features have, and a document's score adds up the union of these.
 """
 
 from __future__ import annotations
@@ -15,21 +15,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .common import CACHE_ENTRIES, MULT, bounded_batches, mix, slices
 
 #: Bound of the labelled sample that the classifier is fitted on.
 SAMPLE_ROWS = 12_000
-#: Lengths of the n-grams in UTF-8 bytes, boundaries included.
+#: Lengths of the n-grams in code points, boundaries included.
 SIZES = (3, 4, 5, 6)
 #: Bits of the hashed feature space.
 BITS = 22
+#: Code points that are worked on at once, so that memory stays bounded for words of any length; longer words aren't remembered.
+CHUNK, REMEMBERED = 65_536, 64
+_MARK = "\n"  # white space, so no word holds it
 
 
 @dataclass
 class Linear:
-    weight: np.ndarray  # by hashed n-gram, the log-count ratio already multiplied in
+    chosen: np.ndarray  # hashed n-grams that have a weight, ascending
+    weight: np.ndarray  # of each, the log-count ratio already multiplied in
     bias: float
 
 
@@ -39,62 +44,121 @@ def words_of(text: str | None) -> set[str]:
 
 def grams_of(words: list[str], bits: int = BITS, sizes=SIZES) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of all words, and for each the index of its word. A word shorter than n has no n-grams of that length."""
-    buffer = np.frombuffer(("\x02" + "\x02".join(words) + "\x02").encode("utf-8", "surrogatepass"), np.uint8)
-    marks = np.flatnonzero(buffer == 2)
-    owner = np.zeros(len(buffer), np.int64)
-    owner[marks[1:-1]] = 1
-    owner = np.cumsum(owner)
-    bound = np.searchsorted(marks, np.arange(len(buffer)), side="right")  # marks at or before each byte
-    last = marks[np.minimum(bound, len(marks) - 1)]  # the next mark after each byte
-    b = buffer.astype(np.uint64)
-    h = np.zeros(len(b), np.uint64)
-    ids, owners = [], []
-    for i in range(max(sizes)):
-        h = h * MULT + (np.concatenate([b[i:], np.zeros(i, np.uint64)]) + np.uint64(1))
-        if i + 1 in sizes:
-            at = np.flatnonzero(np.arange(len(b)) + i <= last)
-            ids.append((mix(h[at] + np.uint64(i)) >> np.uint64(64 - bits)).astype(np.int64))
-            owners.append(owner[at])
+    codes = np.frombuffer((_MARK + _MARK.join(words) + _MARK).encode("utf-32-le", "surrogatepass"), np.uint32)
+    marks = np.cumsum(codes == ord(_MARK))
+    plus = codes.astype(np.uint64) + np.uint64(1)
+    ids, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    h = np.zeros(len(codes), np.uint64)
+    for n in range(1, max(sizes) + 1):
+        if n > len(codes):
+            break
+        h = h[: len(codes) - n + 1] * MULT + plus[n - 1 :]
+        if n in sizes:
+            at = np.flatnonzero(marks[max(n - 2, 0) : len(codes) - 1] == marks[: len(h)]) if n > 1 else np.arange(len(h))
+            ids.append((mix(h[at] + np.uint64(n - 1)) >> np.uint64(64 - bits)).astype(np.int64))
+            owners.append(marks[at] - 1)
     return np.concatenate(ids), np.concatenate(owners)
 
 
-class WordScores(dict):
-    """Sum of the weights of a word's n-grams, for a bounded number of words."""
+def pieces_of(words: list[str]):
+    """(first, part): runs of words of bounded size; a longer word comes in overlapping pieces that hold its n-grams and no others."""
+    part, first, size = [], 0, 0
+    for k, w in enumerate(words):
+        if len(w) > CHUNK:
+            if part:
+                yield first, part, None
+            marked, step = _MARK + w + _MARK, CHUNK
+            for at in range(0, len(marked), step):
+                yield k, [], marked[at : at + step + max(SIZES) - 1]
+            part, first, size = [], k + 1, 0
+            continue
+        if part and size + len(w) > CHUNK:
+            yield first, part, None
+            part, first, size = [], k, 0
+        part.append(w)
+        size += len(w) + 1
+    if part:
+        yield first, part, None
+
+
+def grams_of_words(words: list[str]):
+    """(ids, owner) of the n-grams of all words, in blocks of bounded size; owner is the index of the word."""
+    for first, part, piece in pieces_of(words):
+        if piece is None:
+            ids, owner = grams_of(part)
+            yield ids, owner + first
+        else:
+            ids = _grams_of_piece(piece)
+            yield ids, np.full(len(ids), first)
 
-    def __init__(self, model: Linear):
-        super().__init__()
-        self.model = model
 
-    def add(self, words: set[str]) -> None:
-        if len(self) + len(words) > CACHE_ENTRIES:
-            self.clear()
-        new = [w for w in words if w not in self]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            ids, owner = grams_of(part)
-            self.update(zip(part, np.bincount(owner, self.model.weight[ids], len(part)).tolist(), strict=True))
+def _grams_of_piece(piece: str) -> np.ndarray:
+    """N-grams of a piece of one word with its marks, those that begin in the first CHUNK code points; the rest is overlap."""
+    plus = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    h, ids = np.zeros(len(plus), np.uint64), []
+    for n in range(1, min(max(SIZES), len(plus)) + 1):
+        h = h[: len(plus) - n + 1] * MULT + plus[n - 1 :]
+        if n in SIZES:
+            ids.append((mix(h[:CHUNK] + np.uint64(n - 1)) >> np.uint64(64 - BITS)).astype(np.int64))
+    return np.concatenate([np.zeros(0, np.int64), *ids])
+
 
+def doc_grams(text: str | None) -> np.ndarray:
+    """A document's distinct hashed n-grams, ascending."""
+    found = np.zeros(0, np.int64)
+    for ids, _ in grams_of_words(sorted(words_of(text))):
+        found = np.union1d(found, ids)
+    return found
 
-def doc_grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """A document's distinct hashed n-grams, and in how many of its distinct words each is."""
-    words = sorted(words_of(text))
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    gram, owner = grams_of(words)
-    return np.unique(np.unique(gram * len(words) + owner) // len(words), return_counts=True)
 
+def places(chosen: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in `chosen` each of ids is, and which of ids are there."""
+    at = np.searchsorted(chosen, ids)
+    known = np.flatnonzero(chosen[np.minimum(at, len(chosen) - 1)] == ids) if len(chosen) else np.zeros(0, np.int64)
+    return at[known], known
 
-def fit(rows: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, chosen: np.ndarray, ratio: np.ndarray, l2: float = 1e-3, steps: int = 200) -> Linear:
-    """rows: for each document the places in `chosen` of the features that it has, counts: in how many of its distinct
-    words. With one class the score is constant, the smoothed share of ones."""
+
+class WordFeatures(dict):
+    """word -> places of its features that have a weight, for a bounded number of short words."""
+
+    def __init__(self, chosen: np.ndarray):
+        super().__init__()
+        self.chosen = chosen
+
+    def of(self, words: set[str]) -> np.ndarray:
+        """Distinct places of all features of the words, ascending."""
+        if len(self) + len(words) > CACHE_ENTRIES:
+            self.clear()
+        new, extra = sorted(w for w in words if w not in self), []
+        for ids, owner in grams_of_words(new):
+            at, known = places(self.chosen, ids)
+            owner = owner[known]
+            order = np.argsort(owner, kind="stable")
+            at, (own, start) = at[order], np.unique(owner[order], return_index=True)
+            for k, found in zip(own.tolist(), np.split(at, start[1:]) if len(start) else [], strict=True):
+                if len(new[k]) <= REMEMBERED:
+                    self[new[k]] = np.unique(found)
+                else:
+                    extra.append(found)
+        if len(self) + len(new) <= CACHE_ENTRIES:
+            none = np.zeros(0, np.int64)
+            for w in new:
+                if len(w) <= REMEMBERED:
+                    self.setdefault(w, none)
+        lists = [f for w in words if (f := self.get(w)) is not None and len(f)]
+        return np.unique(np.concatenate([np.zeros(0, np.int64), *lists, *extra]))
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, chosen: np.ndarray, ratio: np.ndarray, l2: float = 1e-3, steps: int = 200) -> Linear:
+    """rows: for each document the places in `chosen` of the features that it has. With one class the score is
+    constant, the smoothed share of ones."""
     share = (y.sum() + 0.5) / (len(y) + 1)
     prior = float(np.log(share / (1 - share)))
-    weight = np.zeros(1 << BITS, np.float32)
     if not len(y) or y.sum() in (0, len(y)) or not len(chosen):
-        return Linear(weight, prior)
+        return Linear(np.zeros(0, np.int64), np.zeros(0), prior)
     col = np.concatenate(rows)
     doc = np.repeat(np.arange(len(y)), [len(r) for r in rows])
-    x = np.minimum(np.concatenate(counts), 8) * ratio[col]
+    x = ratio[col]
     w, b = np.zeros(len(chosen)), prior
     scale = np.bincount(col, x * x, len(chosen)) / len(y)
     gw, gb = np.full(len(chosen), 1e-8), 1e-8
@@ -106,8 +170,7 @@ def fit(rows: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, chosen:
         gb += d.sum() ** 2
         w -= 0.2 * g / np.sqrt(gw)
         b -= 0.2 * d.sum() / np.sqrt(gb)
-    weight[chosen] = w * ratio
-    return Linear(weight, float(b))
+    return Linear(chosen, w * ratio, float(b))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, alpha: float = 0.5, z: float = 4.0, least: int = 3) -> Linear:
@@ -118,13 +181,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, al
     left reach the driver: at most 2^BITS, whatever the input.
     """
     bounded_batches(docs.sparkSession)
-    sample = common.shared_table(common.labelled_sample(docs, labels, "toxic", sample_rows).select("label", "text"), "toxicity-sample")
+    sample = common.shared_table(common.labelled_sample(docs, labels, "toxic", sample_rows).select("doc_id", "label", "text"), "toxicity-sample")
 
     def count(batches):
         for batch in slices(batches):
             grams = {0: [np.zeros(0, np.int64)], 1: [np.zeros(0, np.int64)]}
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                grams[label].append(doc_grams(text)[0])
+            for label, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                grams[label].append(doc_grams(text))
             for label, found in grams.items():
                 u, n = np.unique(np.concatenate(found), return_counts=True)
                 zero = np.zeros(len(u), np.int64)
@@ -144,31 +207,23 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, al
     place = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def select(batches):
+        features = WordFeatures(place.value)
         for batch in slices(batches):
-            ids, counts = [], []
-            for text in batch.column(1).to_pylist():
-                gram, n = doc_grams(text)
-                _, at, own = np.intersect1d(place.value, gram, assume_unique=True, return_indices=True)
-                ids.append(at.astype(np.int32))
-                counts.append(n[own].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["label", "ids", "counts"])
+            ids = [features.of(words_of(text)).astype(np.int32) for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "label", "ids"])
 
-    table = sample.mapInArrow(select, "label int, ids array<int>, counts array<int>").toArrow()
-    lists = [[v.values.to_numpy(zero_copy_only=False) for v in table[c]] for c in ("ids", "counts")]
-    return fit(*lists, np.array(table["label"].to_pylist(), float), chosen, ratio)
+    schema = T.StructType(sample.select("doc_id", "label").schema.fields).add("ids", T.ArrayType(T.IntegerType()))
+    table = sample.mapInArrow(select, schema).toArrow().sort_by("doc_id")
+    return fit([v.values.to_numpy(zero_copy_only=False) for v in table["ids"]], np.array(table["label"].to_pylist(), float), chosen, ratio)
 
 
 def scorer(model: Linear):
     """A function that scores a list of texts, with a memory of words of its own."""
-    scores = WordScores(model)
+    features = WordFeatures(model.chosen)
 
     def score(texts: list[str | None]) -> np.ndarray:
-        out = []
-        for at in range(0, len(texts), 32):
-            sets = [words_of(t) for t in texts[at : at + 32]]
-            scores.add(set().union(*sets))
-            out += [sum(map(scores.__getitem__, sorted(s))) for s in sets]
-        return 1 / (1 + np.exp(-np.clip(np.array(out, float) + model.bias, -30, 30)))
+        margin = np.array([model.weight[features.of(words_of(t))].sum() for t in texts], float) + model.bias
+        return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
     return score
 
@@ -176,9 +231,10 @@ def scorer(model: Linear):
 def toxicity(docs: DataFrame, model: Linear, threshold: float = 0.5) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of `docs`.
 
-    A null or empty text has no features and gets the score of the bias alone. held_out is null for a null
-    doc_id. Repeated rows are scored each; other columns are ignored whatever their names; an empty table
-    gives no rows.
+    A null or empty text has no features and gets the score of the bias alone. A text of any length is scored whole;
+    its words are held once, its n-grams only in blocks of bounded size. held_out is null for a null doc_id. Repeated
+    rows are scored each; a score equal to the threshold is predicted 1; other columns are ignored whatever their
+    names; an empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)

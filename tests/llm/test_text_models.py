@@ -62,12 +62,111 @@ def test_factorisation_machine_identity():
     assert np.isclose(m.raw(idx, x, np.array([0, 3]))[0], 0.3 + m.w[idx[:3]] @ x[:3] + pairs)
 
 
+def naive_grams(text):
+    """Hashed n-grams of code points of the marked words, in plain integers."""
+    full, out = (1 << 64) - 1, set()
+
+    def mix(h):
+        h = (h ^ h >> 33) * 0xFF51AFD7ED558CCD & full
+        h = (h ^ h >> 33) * 0xC4CEB9FE1A85EC53 & full
+        return h ^ h >> 33
+
+    for word in (text or "").lower().split():
+        marked = "\n" + word + "\n"
+        for n in toxicity.SIZES:
+            for at in range(len(marked) - n + 1):
+                h = 0
+                for c in marked[at : at + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) & full
+                out.add(mix((h + n - 1) & full) >> (64 - toxicity.BITS))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [65_536, 40])
+def test_ngrams_and_scores_match_a_naive_scorer(monkeypatch, chunk):
+    monkeypatch.setattr(toxicity, "CHUNK", chunk)
+    rng = np.random.default_rng(chunk)
+    letters = list("abÉß\u4e2d\U0001F600\x02'")
+    texts = [" ".join("".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(rng.integers(0, 60))) for _ in range(40)]
+    texts += ["", None, " \n", "a", "banana banana", "\ud800x y", "".join(rng.choice(letters, 500)), "w" * 41 + " " + "ab" * 33]
+    for t in texts:
+        assert toxicity.doc_grams(t).tolist() == sorted(naive_grams(t))
+    known = sorted(set().union(*map(naive_grams, texts)))
+    chosen = np.array(known[::3])
+    model = toxicity.Linear(chosen, rng.normal(size=len(chosen)), -0.3)
+    score = toxicity.scorer(model)
+    for _ in range(2):  # with and without remembered words
+        got = score(texts)
+        for t, p in zip(texts, got, strict=True):
+            own = naive_grams(t)
+            margin = -0.3 + sum(w for g, w in zip(chosen.tolist(), model.weight, strict=True) if g in own)
+            assert abs(p - 1 / (1 + np.exp(-np.clip(margin, -30, 30)))) < 1e-9
+
+
 def test_ngrams_stay_in_their_words():
-    ids, owner = toxicity.grams_of(["ab", "abc", "é"], sizes=(3, 4))
-    assert np.bincount(owner, minlength=3).tolist() == [3, 5, 3]  # \x02ab\x02 has 2 + 1, \x02abc\x02 3 + 2, two bytes as ab
+    ids, owner = toxicity.grams_of(["ab", "abc", "\u00e9"], sizes=(3, 4))
+    assert np.bincount(owner, minlength=3).tolist() == [3, 5, 1]  # |ab| has 2 + 1, |abc| 3 + 2, one code point 1
     assert set(toxicity.grams_of(["ab"], sizes=(3,))[0]) & set(ids.tolist())
 
 
+def test_toxic_words_are_found_in_very_long_texts(spark):
+    docs, labels = corpus(spark)
+    score = toxicity.scorer(toxicity.train(docs, labels))
+    rng = np.random.default_rng(1)
+    clean = " ".join(f"w{i}" for i in rng.integers(0, 60, 300_000))
+    assert score([clean, clean + " grumsel", clean + "x" * 3_000_000])[0] < 0.5 < score([clean + " grumsel"])[0]
+
+
+def test_fit_is_the_minimum_of_its_loss():
+    rng = np.random.default_rng(2)
+    rows = [np.flatnonzero(rng.random(6) < 0.4) for _ in range(200)]
+    ratio = rng.normal(size=6)
+    y = np.array([float(0 in r or rng.random() < 0.2) for r in rows])
+    model = toxicity.fit(rows, y, np.arange(6), ratio, l2=0.05, steps=6000)
+    scale = np.array([sum(ratio[j] ** 2 for r in rows if j in r) / len(y) for j in range(6)])
+
+    def loss(w, b):
+        margin = np.array([b + sum(ratio[j] * w[j] for j in r) for r in rows])
+        return np.mean(np.logaddexp(0, margin) - y * margin) + 0.025 * np.sum(np.minimum(scale, 1) * w * w)
+
+    w, best = model.weight / ratio, loss(model.weight / ratio, model.bias)
+    for j in range(6):
+        for step in (1e-2, -1e-2):
+            assert loss(w + step * (np.arange(6) == j), model.bias) > best - 1e-6
+
+
+def test_factorisation_machine_gradient():
+    """One step from a start where the factors are known moves each parameter against the numeric gradient."""
+    rng = np.random.default_rng(4)
+    ids = [np.array([1, 5]), np.array([5, 9]), np.array([2]), np.array([1, 9])]
+    values = [np.full(len(i), 1 / np.sqrt(len(i))) for i in ids]
+    stats, y = rng.normal(size=(4, 2)), np.array([1.0, 0.0, 1.0, 0.0])
+    start = quality_classifier.fit(ids, values, stats, y, epochs=0)
+    moved = quality_classifier.fit(ids, values, stats, y, epochs=1, batch=4, l2=0.0, rate=1e-4)
+    idx, x, at = start.features(ids, values, stats)
+
+    def loss(m):
+        margin = m.raw(idx, x, at)
+        return np.mean(np.logaddexp(0, margin) - y * margin)
+
+    base = loss(start)
+    for place in sorted(set(idx.tolist())):
+        for array, after in [(start.w, moved.w), *((start.v[:, f], moved.v[:, f]) for f in range(quality_classifier.RANK))]:
+            was = array[place]
+            array[place] = was + 1e-5
+            slope = (loss(start) - base) / 1e-5
+            array[place] = was
+            if abs(slope) > 1e-4:
+                assert np.sign(after[place] - was) == -np.sign(slope)
+    assert loss(moved) < base
+
+
+def test_repeated_labelled_rows_keep_the_sample_bounded(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "c")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (None, 1)], "doc_id long, quality int")
+    assert sorted(tuple(r) for r in common.labelled_sample(docs, labels, "quality", 10).collect()) == [(i, q, t) for i, q, t in [(1, 1, "a"), (2, 0, "c")] if __import__("zlib").crc32(str(i).encode()) % 5]
+
+
 def corpus(spark):
     bad, rows, labels = ["grumsel", "grumseli", "grumselu"], [], []
     rng = np.random.default_rng(5)
