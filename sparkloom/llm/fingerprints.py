@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, W = 4, 8
-#: Rows of a bucket of neighbouring doc_ids, and the most buckets there are.
+#: Rows of a bucket of neighbouring doc_ids, and the most buckets of equal width (they are counted on the driver).
 BUCKET_ROWS, MOST_BUCKETS = 500, 65_536
 _SPACE = " \t\n\x0b\f\r"
 _LOW = (1 << 31) - 1
@@ -64,22 +64,37 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / union)
 
 
-def _buckets(docs: DataFrame) -> tuple[Column, list[tuple[int, object, int]]]:
-    """A column that deals rows to ranges of doc_id, and for each range its number, first doc_id and rows."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if low is None:
-        return F.lit(0), [(0, None, n)] if n else []
+def _dealt(rows: DataFrame) -> tuple[DataFrame, list[tuple[int, object]]]:
+    """`rows` with a column bucket, ranges of doc_id (null: a range of its own), and the ranges' numbers and first doc_ids in order.
+
+    Ranges are of equal width at first; where ids lie in clumps, a range with too many rows is cut again between its
+    own ends, until each holds few or a single doc_id. Bounds are computed in doubles, so ids may span all 64
+    bits; they are monotonic, which is all that ranges need. At most MOST_BUCKETS / 8 ranges are cut at a time.
+    """
+    spark, ids = rows.sparkSession, rows.select("doc_id")
+    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     size = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
-    width = (high - low) // size + 1
-    linear = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("doc_id") - low) / width).cast("int"))
-    count = lambda bucket: sorted(tuple(r) for r in docs.select(bucket.alias("b"), "doc_id").groupBy("b").agg(F.min("doc_id"), F.count("*")).collect())
-    cells = count(linear)
-    if max(c for b, _, c in cells if b >= 0) <= max(20 * BUCKET_ROWS, 8 * (n // size)):
-        return linear, cells
-    parts = min(1024, size)  # ids lie in clumps: ranges of equal counts instead
-    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 20_000)).first()[0]))
-    clumped = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("doc_id"))))
-    return clumped, count(clumped)
+    most = max(20 * BUCKET_ROWS, 8 * (n // size))
+    place = lambda low, width: F.floor((F.col("doc_id").cast("double") - low) / width).cast("int")
+    first = F.lit(0) if low is None else place(F.lit(float(low)), F.lit(max((float(high) - float(low)) / size, 1.0)))
+    steps = [lambda df: df.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(first))]
+    while True:
+        dealt = ids
+        for step in steps:
+            dealt = step(dealt)
+        cells = [tuple(r) for r in dealt.groupBy("bucket").agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).collect()]
+        full = [(b, float(lo), max((float(hi) - float(lo)) / (c // BUCKET_ROWS), 1.0), c // BUCKET_ROWS + 2) for b, lo, hi, c in cells if c > most and lo is not None and float(lo) < float(hi)]
+        if not full:
+            break
+        own, at = [], max(b for b, *_ in cells) + 1
+        for b, lo, width, parts in full:
+            own.append((b, lo, width, at))
+            at += parts
+        cuts = spark.createDataFrame(own, "bucket int, low double, width double, at int")
+        steps.append(lambda df, cuts=cuts: df.join(F.broadcast(cuts), "bucket", "left").withColumn("bucket", F.when(F.col("at").isNull(), F.col("bucket")).otherwise(F.col("at") + place(F.col("low"), F.col("width")))).drop("low", "width", "at"))
+    for step in steps:
+        rows = step(rows)
+    return rows, [(b, lo) for b, lo, _, _ in sorted(cells, key=lambda c: (c[1] is not None, c[1]))]
 
 
 def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
@@ -90,13 +105,11 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
     exchange is enough and no task orders the whole table. Drop extra rows after the last use of the window.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bucket, cells = _buckets(rows.select("doc_id"))
+    dealt, cells = _dealt(rows)
     order = Window.partitionBy("bucket").orderBy("wrap", "doc_id", "text")
-    dealt = rows.withColumn("bucket", bucket)
     if cells:
-        before = [(first, cells[k - 1][0], int(k == 0)) for k, (_, first, _) in enumerate(cells)]  # at most MOST_BUCKETS + 1 rows
-        spark = docs.sparkSession
-        places = spark.createDataFrame(before, f"first_id {docs.schema['doc_id'].dataType.simpleString()}, bucket int, wrap int")
+        before = [(first, cells[k - 1][0], int(k == 0)) for k, (_, first) in enumerate(cells)]  # at most MOST_BUCKETS and those cut anew
+        places = docs.sparkSession.createDataFrame(before, f"first_id {docs.schema['doc_id'].dataType.simpleString()}, bucket int, wrap int")
         doubled = rows.join(F.broadcast(places), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text", "bucket", "wrap", F.lit(1).alias("extra"))
         dealt = dealt.select("doc_id", "text", "bucket", F.lit(0).alias("wrap"), F.lit(0).alias("extra")).union(doubled)
     else:
@@ -108,8 +121,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited, fp, edited_fp (arrays of longs), near_edited, near_next of each row of `docs`.
 
     edited is the text whose last quarter gives way to the beginning of the next row's. A null text counts as
-    empty, an empty one has an empty fingerprint and is wholly like another. Repeated rows follow each
-    other; the only row follows itself. Other columns are ignored whatever their names; an empty table gives no rows.
+    empty, an empty one has an empty fingerprint and is wholly like another. A text of any length is fingerprinted
+    whole, as one array of its hashes. Rows of one doc_id follow each other in the order of their texts, nulls
+    first, in one task; the only row follows itself. Of equal hashes in a window the rightmost is chosen. Other
+    columns are ignored whatever their names; an empty table gives no rows.
     """
     rows, order = with_next(docs)
     quarter = F.floor(F.char_length("text") / 4).cast("int")

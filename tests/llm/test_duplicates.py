@@ -113,9 +113,11 @@ def test_shared_run_is_found(spark):
         assert df.select(fingerprints.likeness(df.fa, df.fb)).first()[0] > 0
 
 
-def test_edited_texts_follow_doc_id(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 3)
-    texts = {i * (1 if i < 20 else 1000): f"text number {i} " + "word " * (i % 7) + "é" * (i % 5) for i in range(40)}
+@pytest.mark.parametrize("spread", ["wide", "clumps", "even"])
+def test_edited_texts_follow_doc_id(spark, monkeypatch, spread):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 1)
+    place = {"even": lambda i: i, "clumps": lambda i: i if i < 200 else 10**17 + 10**9 * i, "wide": lambda i: -(2**63) if i == 0 else 2**63 - 1 - i if i % 2 else -(2**62) + i}[spread]
+    texts = {place(i): f"text number {i} " + "word " * (i % 7) + "é" * (i % 5) for i in range(240)}
     docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(5)
     ids = sorted(texts)
     want = {}
@@ -134,6 +136,9 @@ def test_fingerprint_edges(spark):
     assert Counter(r.doc_id for r in rows) == {1: 1, 2: 3, None: 1}
     same = [tuple(r.fp) for r in rows if r.doc_id == 2 and r.n_chars == 9]
     assert len(same) == 2 and same[0] == same[1]
+    long = " ".join(f"w{i % 5000}" for i in range(200_000))
+    found = {r.doc_id: r for r in fingerprints.fingerprints(spark.createDataFrame([(1, long), (2, "x" * 2_000_000)], "doc_id long, text string")).collect()}
+    assert found[1].near_edited > 0.5 and len(found[1].fp) > 20_000 and len(found[2].fp) == 1
     one = fingerprints.fingerprints(spark.createDataFrame([(7, "a b c d e f g h")], "doc_id long, text string")).first()
     assert one.near_next == 1.0
     assert fingerprints.fingerprints(docs.limit(0)).count() == 0
