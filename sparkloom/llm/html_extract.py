@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -37,7 +38,11 @@ MAIN = {"article", "main"}
 #: An open element of the first kind ends when one of the second begins.
 IMPLIED_END = {"p": {"p", "div", "ul", "ol", "table", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "footer", "header", "nav", "aside", "form"}, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: For each element, the open ones that it ends.
+ENDS = {tag: [t for t, ends in IMPLIED_END.items() if tag in ends] for tag in set().union(*IMPLIED_END.values())}
+
+# possessive, and an unclosed tag ends where the next begins, so that a page is read in one pass
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -69,7 +74,7 @@ def digest(text: str, seed: int = 0) -> int:
 def blocks(page: str):
     """Yields ("tag", node) as elements open and ("text", text, node) for each block of text, in page order."""
     root = Node("", 0, 0)
-    stack, text, at = [root], [], 0
+    stack, text, at, opened = [root], [], 0, Counter()
 
     def flush():
         joined = " ".join("".join(text).split())
@@ -92,12 +97,11 @@ def blocks(page: str):
         if block and (joined := flush()):
             yield "text", joined, stack[-1]
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
-                    if block:
-                        del stack[k:]
-                    else:
-                        del stack[k]
+                    gone = slice(k, None if block else k + 1)
+                    opened.subtract(n.tag for n in stack[gone])
+                    del stack[gone]
                     break
                 if block is False and stack[k].tag not in INLINE:
                     break
@@ -106,9 +110,9 @@ def blocks(page: str):
                 continue
             if block:
                 while len(stack) > 1 and (stack[-1].tag in INLINE or tag in IMPLIED_END.get(stack[-1].tag, ())):
-                    if stack[-1].tag in INLINE and not any(tag in IMPLIED_END.get(n.tag, ()) for n in stack):
+                    if stack[-1].tag in INLINE and not any(opened[t] for t in ENDS.get(tag, ())):
                         break
-                    stack.pop()
+                    opened[stack.pop().tag] -= 1
             names = [w for _, v in _ATTRIBUTE.findall(m[3]) for w in _PIECES.findall(v)] if m[3] else []
             words = {w.lower() for w in names}
             top = stack[-1]
@@ -126,6 +130,7 @@ def blocks(page: str):
                 continue
             if not m[3].endswith("/"):
                 stack.append(node)
+                opened[tag] += 1
     if joined := flush():
         yield "text", joined, stack[-1]
 
@@ -199,6 +204,31 @@ def nested(tokens: list[dict]) -> set[int]:
     return set(found)
 
 
+def slots_of(page: str, template: set[int]) -> tuple[list[tuple[int, list[str]]], list[str], bool]:
+    """The slots of a page, the text of its main element template and all, and whether it has a main element.
+
+    A slot is what lies between two template tokens, tags or texts, in page order: (rank, blocks). Where the template
+    leaves a stretch whole, as on a host with few pages, text of another rank begins another slot.
+    """
+    slots, whole, seen_main, cut = [], [], False, True
+    for event in blocks(page):
+        if event[0] == "tag":
+            seen_main |= event[1].rank == 0
+            cut |= event[1].path in template
+            continue
+        _, text, node = event
+        if node.rank == 0:
+            whole.append(text)
+        if digest(text, node.path & (1 << 63) - 1) in template:
+            cut = True
+        elif cut or slots[-1][0] != node.rank:
+            slots.append((node.rank, [text]))
+            cut = False
+        else:
+            slots[-1][1].append(text)
+    return slots, whole, seen_main
+
+
 def main_text(page: str, template: set[int]) -> str:
     """The text of the best slots, blocks joined by one space.
 
@@ -206,26 +236,20 @@ def main_text(page: str, template: set[int]) -> str:
     it has none, the body's slots are taken. Else the larger of the body and of a main element in boilerplate words,
     then what stands in boilerplate words, then in boilerplate elements.
     """
-    whole, slots, seen_main = [], [[], [], [], [], []], False
-    for event in blocks(page):
-        if event[0] == "tag":
-            seen_main |= event[1].rank == 0
-        else:
-            rank = event[2].rank
-            if rank == 0:
-                whole.append(event[1])
-            if digest(event[1], event[2].path & (1 << 63) - 1) not in template:
-                slots[rank].append(event[1])
+    slots, whole, seen_main = slots_of(page, template)
+    ranked = [[t for r, texts in slots if r == rank for t in texts] for rank in range(5)]
     if seen_main:
-        return " ".join(slots[0] or whole or slots[1])
-    return " ".join(max(slots[1], slots[2], key=lambda found: sum(map(len, found))) or slots[3] or slots[4])
+        return " ".join(ranked[0] or whole or ranked[1])
+    return " ".join(max(ranked[1], ranked[2], key=lambda found: sum(map(len, found))) or ranked[3] or ranked[4])
 
 
 def extract(pages: DataFrame, broadcast_bytes: int = 16 << 20, salts: int = 64) -> DataFrame:
     """(page_id, url, text) of each row of `pages`.
 
-    A null page counts as empty and gives an empty text; a null url is of the empty host. Repeated rows are
-    extracted each; other columns are ignored whatever their names; an empty table gives no rows. The hosts'
+    A null page counts as empty and gives an empty text; a null url is of the empty host. A page of any length is
+    read whole in one pass. Repeated rows are extracted each, but are one page to the template; between slots of
+    equal size the body goes before a main element in boilerplate words. Other columns are ignored whatever their
+    names; an empty table gives no rows. The hosts'
     templates are broadcast only while their measured size is below `broadcast_bytes`; beyond it, pages
     meet them in a join salted `salts` ways, so that no task gets a whole large host.
     """
