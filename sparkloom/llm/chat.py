@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 from .common import bounded_batches, slices
 
 OPEN, CLOSE, END = "### ", "</turn>", " </turn>\n"
-_CONTROL = re.compile(r"(\\*)(###|</turn>)")
+# a run of backslashes is read from its first one only, so that any text is read in one pass
+_CONTROL = re.compile(r"(?<!\\)(\\*+)(###|</turn>)")
 #: Roles that are written as a capitalised name; any other role is written as "=" and a JSON string.
 _NAMES = {"system": "System", "user": "User", "assistant": "Assistant", "tool": "Tool"}
 _ROLES = {v: k for k, v in _NAMES.items()}
@@ -91,7 +92,8 @@ def render(role: str | None, text: str | None) -> str:
 def format_turns(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, formatted) of each row: the turn in the grammar, checked by parsing it again.
 
-    Other columns are ignored whatever their names; an empty table gives no rows.
+    A null role or text counts as empty; a text of any length is one turn, read in one pass. Repeated rows are
+    turns each. Other columns are ignored whatever their names; an empty table gives no rows.
     """
     bounded_batches(conversations.sparkSession)
     schema = T.StructType([*conversations.select("conv_id", "turn").schema, T.StructField("formatted", T.StringType())])
