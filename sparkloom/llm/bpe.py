@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 import numpy as np
@@ -24,10 +25,13 @@ from pyspark.sql import types as T
 
 from .common import CACHE_ENTRIES, bounded_batches, slices
 
+# the library's own pool would take all cores of a machine for every small batch; long pieces go to the pool below
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Characters of a chunk that is remembered, and of a block of tree concatenation.
 SHORT, BLOCK = 64, 512
+#: Threads that encode a long piece, and parts below which one does.
+THREADS, FEW = 4, 16
 
 #: Letters that are their own normal form, and marks that begin neither a contraction nor a special token.
 LETTERS, MARKS = r"[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]"
@@ -46,11 +50,31 @@ def pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+@lru_cache(maxsize=1)
+def _threads() -> ThreadPoolExecutor:
+    return ThreadPoolExecutor(THREADS)
+
+
+def _in_parallel(run, items: list) -> list:
+    """run on every item, in order; many items are dealt to threads in runs, as the library lets go of Python's lock while it encodes."""
+    if len(items) < FEW:
+        return [run(x) for x in items]
+    size = -(-len(items) // THREADS)
+    parts = [items[at : at + size] for at in range(0, len(items), size)]
+    return [x for part in _threads().map(lambda own: [run(x) for x in own], parts) for x in part]
+
+
 def tree_concat(piece: str, encode_all, token_length, block: int = BLOCK) -> list[int]:
-    """Ids of an unsplit piece. encode_all: encodes a list of strings in parallel; token_length: characters of an id's token."""
-    parts = [(ids, piece[at : at + block]) for at, ids in zip(range(0, len(piece), block), encode_all([piece[at : at + block] for at in range(0, len(piece), block)]), strict=True)]
+    """Ids of an unsplit piece. encode_all: encodes a list of strings; token_length: characters of an id's token.
+
+    The leaves of the tree, and the joins of a level, are encoded in parallel.
+    """
+    leaves = [piece[at : at + block] for at in range(0, len(piece), block)]
+    runs = _in_parallel(encode_all, [leaves[at : at + 8] for at in range(0, len(leaves), 8)])
+    parts = list(zip([ids for run in runs for ids in run], leaves, strict=True))
     while len(parts) > 1:
-        joined = [_join(parts[i], parts[i + 1], encode_all, token_length) for i in range(0, len(parts) - 1, 2)]
+        pairs = list(zip(parts[::2], parts[1::2], strict=False))
+        joined = _in_parallel(lambda pair: _join(*pair, encode_all, token_length), pairs)
         parts = joined + parts[len(parts) - len(parts) % 2 :]
     return parts[0][0] if parts else []
 
@@ -185,8 +209,9 @@ def vocabulary(name: str) -> str:
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(doc_id, ids) of each row: ids are little-endian unsigned 32-bit integers in one binary.
 
-    A null text counts as empty; an empty text has no ids. Repeated rows are encoded each; other columns
-    are ignored whatever their names; an empty table gives no rows.
+    A null text counts as empty; an empty text has no ids. A text of any length is encoded whole, exactly as the
+    library does. Repeated rows are encoded each; other columns are ignored whatever their names; an empty table
+    gives no rows.
     """
     bounded_batches(docs.sparkSession)
     schema = T.StructType([*docs.select("doc_id").schema, T.StructField("ids", T.BinaryType())])

@@ -44,6 +44,18 @@ def test_tree_concatenation_of_long_unsplit_text(seed):
         assert bpe.tree_concat(piece, e.encode_all, e.token_length, block) == e.encode_all([piece])[0]
 
 
+def test_very_long_unsplit_text_is_encoded_in_parallel():
+    import threading
+
+    rng = random.Random(9)
+    text = "".join(rng.choice(["a", "the", "ing", "zx", "q", "e"]) for _ in range(60_000))
+    e, seen = bpe.Encoder(BYTE), set()
+    plain = e.encode_all
+    e.encode_all = lambda pieces: (seen.add(threading.current_thread().name), plain(pieces))[1]
+    assert e.encode(text) == library(BYTE, text) and len(seen) > 1
+    assert bpe.Encoder(WORD) and bpe.WordEncoder(WORD).encode("b" * 20_000 + " x") == library(WORD, "b" * 20_000 + " x")
+
+
 def test_fill_is_closest_to_capacity():
     rng = random.Random(4)
     for _ in range(60):
