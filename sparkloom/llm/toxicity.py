@@ -111,42 +111,52 @@ def doc_grams(text: str | None) -> np.ndarray:
     return found
 
 
-def places(chosen: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where in `chosen` each of ids is, and which of ids are there."""
-    at = np.searchsorted(chosen, ids)
-    known = np.flatnonzero(chosen[np.minimum(at, len(chosen) - 1)] == ids) if len(chosen) else np.zeros(0, np.int64)
-    return at[known], known
-
-
 class WordFeatures(dict):
     """word -> places of its features that have a weight, for a bounded number of short words."""
 
     def __init__(self, chosen: np.ndarray):
         super().__init__()
-        self.chosen = chosen
-
-    def of(self, words: set[str]) -> np.ndarray:
-        """Distinct places of all features of the words, ascending."""
-        if len(self) + len(words) > CACHE_ENTRIES:
+        self.place = np.full(1 << BITS, -1, np.int32)
+        self.place[chosen] = np.arange(len(chosen), dtype=np.int32)
+
+    def known(self, ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.place[ids]
+        found = np.flatnonzero(at >= 0)
+        return at[found], owner[found]
+
+    def learn(self, words) -> None:
+        """Remember the words, CACHE_ENTRIES / 2 short ones at most."""
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > CACHE_ENTRIES:
             self.clear()
-        new, extra = sorted(w for w in words if w not in self), []
+            new = list(words)
+        none = np.zeros(0, np.int32)
+        self.update(dict.fromkeys(new, none))
         for ids, owner in grams_of_words(new):
-            at, known = places(self.chosen, ids)
-            owner = owner[known]
+            at, owner = self.known(ids, owner)
             order = np.argsort(owner, kind="stable")
-            at, (own, start) = at[order], np.unique(owner[order], return_index=True)
-            for k, found in zip(own.tolist(), np.split(at, start[1:]) if len(start) else [], strict=True):
-                if len(new[k]) <= REMEMBERED:
-                    self[new[k]] = np.unique(found)
-                else:
-                    extra.append(found)
-        if len(self) + len(new) <= CACHE_ENTRIES:
-            none = np.zeros(0, np.int64)
-            for w in new:
-                if len(w) <= REMEMBERED:
-                    self.setdefault(w, none)
-        lists = [f for w in words if (f := self.get(w)) is not None and len(f)]
-        return np.unique(np.concatenate([np.zeros(0, np.int64), *lists, *extra]))
+            at, owner = at[order], owner[order]
+            edges = np.flatnonzero(np.diff(owner)) + 1
+            for k, found in zip(owner[np.concatenate([[0], edges])].tolist() if len(owner) else [], np.split(at, edges), strict=False):
+                self[new[k]] = found
+
+    def of(self, texts: list[str | None]):
+        """For each text the distinct places of all its features, ascending."""
+        most = CACHE_ENTRIES // 2
+        for at in range(0, len(texts), 32):
+            sets = [words_of(t) for t in texts[at : at + 32]]
+            short = [[w for w in words if len(w) <= REMEMBERED] for words in sets]
+            if sum(map(len, short)) <= most:
+                self.learn(set().union(*short))
+            for words, own in zip(sets, short, strict=True):
+                found = [np.zeros(0, np.int32)]
+                for k in range(0, len(own), most):
+                    part = own[k : k + most]
+                    self.learn(part)
+                    found.append(np.unique(np.concatenate([self[w] for w in part])))
+                for ids, owner in grams_of_words([w for w in words if len(w) > REMEMBERED]):
+                    found.append(np.unique(self.known(ids, owner)[0]))
+                yield np.unique(np.concatenate(found))
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, chosen: np.ndarray, ratio: np.ndarray, l2: float = 1e-3, steps: int = 200) -> Linear:
@@ -209,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, al
     def select(batches):
         features = WordFeatures(place.value)
         for batch in slices(batches):
-            ids = [features.of(words_of(text)).astype(np.int32) for text in batch.column(2).to_pylist()]
+            ids = list(features.of(batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "label", "ids"])
 
     schema = T.StructType(sample.select("doc_id", "label").schema.fields).add("ids", T.ArrayType(T.IntegerType()))
@@ -222,7 +232,7 @@ def scorer(model: Linear):
     features = WordFeatures(model.chosen)
 
     def score(texts: list[str | None]) -> np.ndarray:
-        margin = np.array([model.weight[features.of(words_of(t))].sum() for t in texts], float) + model.bias
+        margin = np.array([model.weight[found].sum() for found in features.of(texts)], float) + model.bias
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
     return score
