@@ -1,10 +1,10 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A feature is an n-gram of code points inside a lower-cased word with its boundaries marked; its value is 1 where
-the document holds it, however often, in the fit as in the score. Each feature is multiplied by the log ratio of
-its smoothed document frequency in the two classes, and a logistic regression with L2 penalty is fitted
-on the scaled features. Most n-grams of a word have no weight, so a worker remembers for a bounded number of
-words which of their features have, and a document's score adds up the union of these.
+A feature is an n-gram of code points inside a lower-cased word with its boundaries marked; its value, in the fit as
+in the score, is `value_of` the number of the document's distinct words that hold it. Each feature is multiplied
+by the log ratio of its smoothed document frequency in the two classes, and a logistic regression with L2 penalty
+is fitted on the scaled features. Most n-grams of a word have no weight, so a worker remembers for a bounded number
+of words which of their features have, and a document's counts add these up.
 """
 
 from __future__ import annotations
@@ -120,9 +120,11 @@ class WordFeatures(dict):
         self.place[chosen] = np.arange(len(chosen), dtype=np.int32)
 
     def known(self, ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.place[ids]
+        """(places, owner) of those with a weight, each place once for an owner, by owner."""
+        at = self.place[ids].astype(np.int64)
         found = np.flatnonzero(at >= 0)
-        return at[found], owner[found]
+        pair = np.unique(owner[found] * len(self.place) + at[found])
+        return (pair % len(self.place)).astype(np.int32), pair // len(self.place)
 
     def learn(self, words) -> None:
         """Remember the words, CACHE_ENTRIES / 2 short ones at most."""
@@ -130,18 +132,15 @@ class WordFeatures(dict):
         if len(self) + len(new) > CACHE_ENTRIES:
             self.clear()
             new = list(words)
-        none = np.zeros(0, np.int32)
-        self.update(dict.fromkeys(new, none))
+        self.update(dict.fromkeys(new, np.zeros(0, np.int32)))
         for ids, owner in grams_of_words(new):
             at, owner = self.known(ids, owner)
-            order = np.argsort(owner, kind="stable")
-            at, owner = at[order], owner[order]
             edges = np.flatnonzero(np.diff(owner)) + 1
             for k, found in zip(owner[np.concatenate([[0], edges])].tolist() if len(owner) else [], np.split(at, edges), strict=False):
                 self[new[k]] = found
 
     def of(self, texts: list[str | None]):
-        """For each text the distinct places of all its features, ascending."""
+        """For each text the places of all its features, ascending, and how many of its distinct words hold each."""
         most = CACHE_ENTRIES // 2
         for at in range(0, len(texts), 32):
             sets = [words_of(t) for t in texts[at : at + 32]]
@@ -153,22 +152,28 @@ class WordFeatures(dict):
                 for k in range(0, len(own), most):
                     part = own[k : k + most]
                     self.learn(part)
-                    found.append(np.unique(np.concatenate([self[w] for w in part])))
-                for ids, owner in grams_of_words([w for w in words if len(w) > REMEMBERED]):
-                    found.append(np.unique(self.known(ids, owner)[0]))
-                yield np.unique(np.concatenate(found))
+                    found += [self[w] for w in part]
+                for word in words if len(own) < len(words) else ():
+                    if len(word) > REMEMBERED:
+                        found.append(np.unique(np.concatenate([self.known(*block)[0] for block in grams_of_words([word])])))
+                yield np.unique(np.concatenate(found), return_counts=True)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, chosen: np.ndarray, ratio: np.ndarray, l2: float = 1e-3, steps: int = 200) -> Linear:
-    """rows: for each document the places in `chosen` of the features that it has. With one class the score is
-    constant, the smoothed share of ones."""
+def value_of(counts: np.ndarray) -> np.ndarray:
+    """1 for one word, growing with the logarithm, so that a very long document's common n-grams don't drown the others."""
+    return 1 + np.log(counts)
+
+
+def fit(rows: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, chosen: np.ndarray, ratio: np.ndarray, l2: float = 1e-3, steps: int = 200) -> Linear:
+    """rows: for each document the places in `chosen` of the features that it has, counts: in how many of its distinct
+    words. With one class the score is constant, the smoothed share of ones."""
     share = (y.sum() + 0.5) / (len(y) + 1)
     prior = float(np.log(share / (1 - share)))
     if not len(y) or y.sum() in (0, len(y)) or not len(chosen):
         return Linear(np.zeros(0, np.int64), np.zeros(0), prior)
     col = np.concatenate(rows)
     doc = np.repeat(np.arange(len(y)), [len(r) for r in rows])
-    x = ratio[col]
+    x = value_of(np.concatenate(counts)) * ratio[col]
     w, b = np.zeros(len(chosen)), prior
     scale = np.bincount(col, x * x, len(chosen)) / len(y)
     gw, gb = np.full(len(chosen), 1e-8), 1e-8
@@ -219,12 +224,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, al
     def select(batches):
         features = WordFeatures(place.value)
         for batch in slices(batches):
-            ids = list(features.of(batch.column(2).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "label", "ids"])
+            ids, counts = zip(*features.of(batch.column(2).to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array([n.astype(np.int32) for n in counts], pa.list_(pa.int32()))], names=["doc_id", "label", "ids", "counts"])
 
-    schema = T.StructType(sample.select("doc_id", "label").schema.fields).add("ids", T.ArrayType(T.IntegerType()))
+    schema = T.StructType(sample.select("doc_id", "label").schema.fields).add("ids", T.ArrayType(T.IntegerType())).add("counts", T.ArrayType(T.IntegerType()))
     table = sample.mapInArrow(select, schema).toArrow().sort_by("doc_id")
-    return fit([v.values.to_numpy(zero_copy_only=False) for v in table["ids"]], np.array(table["label"].to_pylist(), float), chosen, ratio)
+    lists = [[v.values.to_numpy(zero_copy_only=False) for v in table[c]] for c in ("ids", "counts")]
+    return fit(*lists, np.array(table["label"].to_pylist(), float), chosen, ratio)
 
 
 def scorer(model: Linear):
@@ -232,7 +238,7 @@ def scorer(model: Linear):
     features = WordFeatures(model.chosen)
 
     def score(texts: list[str | None]) -> np.ndarray:
-        margin = np.array([model.weight[found].sum() for found in features.of(texts)], float) + model.bias
+        margin = np.array([model.weight[found] @ value_of(counts) for found, counts in features.of(texts)], float) + model.bias
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
     return score

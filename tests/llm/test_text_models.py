@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -63,22 +65,23 @@ def test_factorisation_machine_identity():
 
 
 def naive_grams(text):
-    """Hashed n-grams of code points of the marked words, in plain integers."""
-    full, out = (1 << 64) - 1, set()
+    """Hashed n-grams of code points of the distinct marked words, and in how many words each is, in plain integers."""
+    full, out = (1 << 64) - 1, Counter()
 
     def mix(h):
         h = (h ^ h >> 33) * 0xFF51AFD7ED558CCD & full
         h = (h ^ h >> 33) * 0xC4CEB9FE1A85EC53 & full
         return h ^ h >> 33
 
-    for word in (text or "").lower().split():
-        marked = "\n" + word + "\n"
+    for word in set((text or "").lower().split()):
+        marked, own = "\n" + word + "\n", set()
         for n in toxicity.SIZES:
             for at in range(len(marked) - n + 1):
                 h = 0
                 for c in marked[at : at + n]:
                     h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) & full
-                out.add(mix((h + n - 1) & full) >> (64 - toxicity.BITS))
+                own.add(mix((h + n - 1) & full) >> (64 - toxicity.BITS))
+        out.update(own)
     return out
 
 
@@ -99,7 +102,7 @@ def test_ngrams_and_scores_match_a_naive_scorer(monkeypatch, chunk):
         got = score(texts)
         for t, p in zip(texts, got, strict=True):
             own = naive_grams(t)
-            margin = -0.3 + sum(w for g, w in zip(chosen.tolist(), model.weight, strict=True) if g in own)
+            margin = -0.3 + sum(w * (1 + np.log(own[g])) for g, w in zip(chosen.tolist(), model.weight, strict=True) if g in own)
             assert abs(p - 1 / (1 + np.exp(-np.clip(margin, -30, 30)))) < 1e-9
 
 
@@ -122,7 +125,7 @@ def test_fit_is_the_minimum_of_its_loss():
     rows = [np.flatnonzero(rng.random(6) < 0.4) for _ in range(200)]
     ratio = rng.normal(size=6)
     y = np.array([float(0 in r or rng.random() < 0.2) for r in rows])
-    model = toxicity.fit(rows, y, np.arange(6), ratio, l2=0.05, steps=6000)
+    model = toxicity.fit(rows, [np.ones(len(r), int) for r in rows], y, np.arange(6), ratio, l2=0.05, steps=6000)
     scale = np.array([sum(ratio[j] ** 2 for r in rows if j in r) / len(y) for j in range(6)])
 
     def loss(w, b):
