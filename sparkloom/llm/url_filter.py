@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, remove_shared, shared_table, spread_join, write_shared
+from .common import remove_shared, salted_join, shared_table, write_shared
 
 #: (host, path, verdict) of the registered query (fixed values).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -126,6 +126,6 @@ def url_filter(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> D
     if scores.count() <= BROADCAST_HOSTS:
         out = rows.join(F.broadcast(scores), "host")
     else:
-        out = spread_join(rows, scores, "host", hot_keys(scores.select("host", "n")))
+        out = salted_join(rows, scores, ["host"], scores.select("host", "n"), "page_id")
     blocked = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(blocked, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "trust", "distrust")

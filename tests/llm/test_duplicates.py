@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from sparkloom.llm import fingerprints, near_dedup
+from sparkloom.llm import common, fingerprints, near_dedup
 
 
 def brute_components(rows, percent=85):
@@ -46,10 +46,11 @@ def corpus(seed, families=6, copies=14, length=60, edits=4):
     return rows
 
 
-@pytest.mark.parametrize("small,block", [(16, 2_000_000), (3, 600)])
-def test_components_match_brute_force(spark, monkeypatch, small, block):
+@pytest.mark.parametrize("small,block,key_rows", [(16, 2_000_000, 1000), (3, 600, 7)])
+def test_components_match_brute_force(spark, monkeypatch, small, block, key_rows):
     monkeypatch.setattr(near_dedup, "SMALL", small)
     monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(common, "KEY_ROWS", key_rows)
     rows = corpus(small)
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, node string").repartition(3)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_dedup(docs).collect()), key=repr)
@@ -63,6 +64,43 @@ def test_near_dedup_edges(spark):
     assert [r.doc_id for r in near_dedup.drop_near_duplicates(docs).collect()] == [4]
 
 
+def test_dropped_rows_are_those_that_are_not_kept(spark):
+    rows = corpus(5, families=3, copies=6)
+    t = rows[0][1] or "a b c d e f"
+    rows += [(None, ""), (None, ""), (7000, "q w e r t y"), (7000, "Q W e r t y"), (7000, "q w e r t y"), (7001, "q w e r t y"), (7001, "else under this id"), (None, t)]
+    docs = spark.createDataFrame([(d, x, i, "x") for i, (d, x) in enumerate(rows)], "doc_id long, text string, row int, root string").repartition(3)
+    verdict = {(r.doc_id, r.n_shingles, r.component_id): r.kept for r in near_dedup.near_dedup(docs).collect()}
+    stay = near_dedup.drop_near_duplicates(docs).collect()
+    assert stay[0].__fields__ == docs.columns and len({r.row for r in stay}) == len(stay)
+    parts = {}
+    for i, (group, d, n, c) in enumerate(in_order(rows)):
+        parts.setdefault(("row", i) if not n else ("group", group), []).append((i, d, n, c))
+    left = {r.row for r in stay}
+    for key, members in parts.items():
+        kept = [i for i, *v in members if verdict[tuple(v)]]
+        assert len(left & {i for i, *_ in members}) == 1 and left & {i for i, *_ in members} <= set(kept), key
+    assert near_dedup.drop_near_duplicates(docs, broadcast_rows=0).count() == len(stay)
+
+
+def in_order(rows):
+    """(group, doc_id, n_shingles, component_id) of each row, in the order of `rows`."""
+    groups = {}
+    by_place = sorted(brute_components([(k, x) for k, (_, x) in enumerate(rows)]))
+    for k, n, c in by_place:
+        groups.setdefault(c, []).append(rows[k][0])
+    least = {c: min((d for d in ids if d is not None), default=None) for c, ids in groups.items()}
+    return [(c, rows[k][0], n, least[c] if n else rows[k][0]) for k, n, c in by_place]
+
+
+def test_very_long_and_hot_texts(spark, monkeypatch):
+    monkeypatch.setattr(common, "KEY_ROWS", 10)
+    long = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(1, long), (2, long + " tail"), (3, "x" * 3_000_000)] + [(10 + i, "same five words or more here") for i in range(200)]
+    out = {r.doc_id: r for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (out[2].component_id, out[2].n_shingles, out[3].component_id) == (1, 299_997, 3)
+    assert {out[10 + i].component_id for i in range(200)} == {10}
+
+
 def test_odd_sketch_estimates_high_similarity():
     import numpy as np
 
