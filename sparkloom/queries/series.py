@@ -78,28 +78,18 @@ def interpolate(t):
 
 
 @query("ewma", """
-    WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id < 20),
+    WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
     s AS (SELECT event_id, user_id, n, value AS num, 1.0::DOUBLE AS den FROM e WHERE n = 1 UNION ALL SELECT e.event_id, e.user_id, e.n, e.value + 0.7 * s.num, 1 + 0.7 * s.den FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
     SELECT event_id, round(num / den, 4) + 0.0 AS x FROM s""")
 def ewma(t):
-    return win.ewma(t.events.filter("user_id < 20"), "value", "x", _EO, _EP).select("event_id", r("x").alias("x"))
+    return win.ewma(t.events, "value", "x", _EO, _EP).select("event_id", r("x").alias("x"))
 
 
 @query("ewma_plain", """
-    WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id < 20),
+    WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
     s AS (SELECT event_id, user_id, n, value AS m FROM e WHERE n = 1 UNION ALL SELECT e.event_id, e.user_id, e.n, 0.2 * e.value + 0.8 * s.m FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
     SELECT event_id, round(m, 4) + 0.0 AS x FROM s""")
 def ewma_plain(t):
-    return win.ewma(t.events.filter("user_id < 20"), "value", "x", _EO, _EP, span=9, adjust=False).select("event_id", r("x").alias("x"))
-
-
-@query("ewma_whole")
-def ewma_whole(t):
-    return win.ewma(t.events, "value", "x", _EO, _EP).select("event_id", r("x").alias("x"))
-
-
-@query("ewma_plain_whole")
-def ewma_plain_whole(t):
     return win.ewma(t.events, "value", "x", _EO, _EP, span=9, adjust=False).select("event_id", r("x").alias("x"))
 
 

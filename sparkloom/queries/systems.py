@@ -73,13 +73,12 @@ def shelf(t):
     return app.shelf(discs, molds, makers, bags, "brand").select("disc_id", "score", F.size("bag_ids").alias("bags"))
 
 
-def _scores(t, most: int | None = None):
-    """Yearly scores of customers, of those up to key `most` only where the registered SQL has that bound."""
-    rows = t.orders if most is None else t.orders.filter(F.col("o_custkey") <= most)
-    return rows.select(F.year("o_orderdate").alias("state"), F.col("o_custkey").alias("entry"), F.floor(F.col("o_totalprice") / 40000).alias("score")).groupBy("state", "entry").agg(F.max("score").alias("score"))
+def _scores(t):
+    """Yearly scores of customers."""
+    return t.orders.select(F.year("o_orderdate").alias("state"), F.col("o_custkey").alias("entry"), F.floor(F.col("o_totalprice") / 40000).alias("score")).groupBy("state", "entry").agg(F.max("score").alias("score"))
 
 
-_SCORES = "s AS (SELECT year(o_orderdate) AS state, o_custkey AS entry, max(floor(o_totalprice / 40000))::BIGINT AS score FROM orders WHERE o_custkey <= 12 GROUP BY 1, 2)"
+_SCORES = "s AS (SELECT year(o_orderdate) AS state, o_custkey AS entry, max(floor(o_totalprice / 40000))::BIGINT AS score FROM orders GROUP BY 1, 2)"
 
 
 @query("standings", f"""
@@ -87,41 +86,22 @@ _SCORES = "s AS (SELECT year(o_orderdate) AS state, o_custkey AS entry, max(floo
     q AS (SELECT *, avg(CASE k WHEN 1 THEN 10.0 WHEN 2 THEN 6 WHEN 3 THEN 3 WHEN 4 THEN 1 ELSE 0 END) OVER (PARTITION BY state, score) AS raw FROM p)
     SELECT state, entry, place, size > 1 AS tied, floor(raw * 100 + 0.5) / 100 AS points, round(sum(floor(raw * 100 + 0.5) / 100) OVER (PARTITION BY entry ORDER BY state ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS total FROM q""")
 def standings(t):
-    return _standings(_scores(t, 12))
-
-
-def _standings(scores):
-    out = app.standings(scores, [10, 6, 3, 1], "high")
+    out = app.standings(_scores(t), [10, 6, 3, 1], "high")
     return out.select(F.col("state").cast("long").alias("state"), "entry", "place", "tied", "points", r("total").alias("total"))
 
 
-@query("standings_whole")
-def standings_whole(t):
-    return _standings(_scores(t))
-
-
-@query("standings_entry", f"WITH {_SCORES} SELECT entry, count(*) AS states, max(score) AS best FROM s WHERE entry = 7 GROUP BY 1")
+@query("standings_entry", f"WITH {_SCORES} SELECT entry, count(*) AS states, max(score) AS best FROM s GROUP BY 1")
 def standings_entry(t):
-    return app.standings(_scores(t), [10, 6, 3, 1], "high").filter("entry = 7").groupBy("entry").agg(F.count(F.lit(1)).alias("states"), F.max("score").alias("best"))
+    return app.standings(_scores(t), [10, 6, 3, 1], "high").groupBy("entry").agg(F.count(F.lit(1)).alias("states"), F.max("score").alias("best"))
 
 
 @query("ties", f"WITH {_SCORES} SELECT state, count(score) - count(DISTINCT score) AS tied, CASE WHEN count(score) > count(DISTINCT score) THEN 'fail' ELSE 'pass' END AS status FROM s GROUP BY 1")
 def ties(t):
-    return app.ties(_scores(t, 12), "none").withColumn("state", F.col("state").cast("long"))
-
-
-@query("ties_whole")
-def ties_whole(t):
     return app.ties(_scores(t), "none").withColumn("state", F.col("state").cast("long"))
 
 
 @query("entered", f"WITH {_SCORES} SELECT state, count(nullif(score, 3)) AS entered, count(*) AS of, CASE WHEN count(nullif(score, 3)) = count(*) THEN 'pass' ELSE 'pending' END AS status FROM s GROUP BY 1")
 def entered(t):
-    return app.entered(_scores(t, 12).withColumn("score", F.nullif("score", F.lit(3)))).withColumn("state", F.col("state").cast("long"))
-
-
-@query("entered_whole")
-def entered_whole(t):
     return app.entered(_scores(t).withColumn("score", F.nullif("score", F.lit(3)))).withColumn("state", F.col("state").cast("long"))
 
 
@@ -424,32 +404,21 @@ def raster_dilate(t):
     return raster.dilate(raster.hsv_mask(_pixels(t), "black", value_max=130))
 
 
-def _holes(t, most: int | None = None):
-    """A hole for each supplier, for those up to key `most` only where the registered SQL has that bound."""
-    rows = t.supplier if most is None else t.supplier.filter(F.col("s_suppkey") <= most)
-    return rows.select(F.col("s_suppkey").alias("number"), (F.col("s_suppkey") * 37 % 100).cast("double").alias("tx"), (F.col("s_suppkey") * 53 % 80).cast("double").alias("ty"), (F.col("s_suppkey") * 11 % 100).cast("double").alias("bx"), (F.col("s_suppkey") * 29 % 80).cast("double").alias("by"))
+def _holes(t):
+    """A hole for each supplier."""
+    return t.supplier.select(F.col("s_suppkey").alias("number"), (F.col("s_suppkey") * 37 % 100).cast("double").alias("tx"), (F.col("s_suppkey") * 53 % 80).cast("double").alias("ty"), (F.col("s_suppkey") * 11 % 100).cast("double").alias("bx"), (F.col("s_suppkey") * 29 % 80).cast("double").alias("by"))
 
 
-_HOLES = "SELECT s_suppkey AS number, (s_suppkey * 37 % 100)::DOUBLE AS tx, (s_suppkey * 53 % 80)::DOUBLE AS ty, (s_suppkey * 11 % 100)::DOUBLE AS bx, (s_suppkey * 29 % 80)::DOUBLE AS byy FROM supplier WHERE s_suppkey <= 18"
+_HOLES = "SELECT s_suppkey AS number, (s_suppkey * 37 % 100)::DOUBLE AS tx, (s_suppkey * 53 % 80)::DOUBLE AS ty, (s_suppkey * 11 % 100)::DOUBLE AS bx, (s_suppkey * 29 % 80)::DOUBLE AS byy FROM supplier"
 
 
 @query("hole_geometry", f"SELECT number, round(sqrt((bx - tx) ^ 2 + (byy - ty) ^ 2), 3) + 0.0 AS length, round((degrees(atan2(byy - ty, bx - tx)) + 360) % 360, 3) + 0.0 AS bearing FROM ({_HOLES})")
 def hole_geometry(t):
-    return raster.hole_geometry(_holes(t, 18)).select("number", r("length", 3).alias("length"), r("bearing", 3).alias("bearing"))
-
-
-@query("hole_geometry_whole")
-def hole_geometry_whole(t):
     return raster.hole_geometry(_holes(t)).select("number", r("length", 3).alias("length"), r("bearing", 3).alias("bearing"))
 
 
 @query("route", f"WITH h AS ({_HOLES}) SELECT number, 'play' AS kind, round(sqrt((bx - tx) ^ 2 + (byy - ty) ^ 2), 3) + 0.0 AS length FROM h UNION ALL SELECT number, 'walk', l FROM (SELECT number, round(sqrt((lead(tx) OVER w - bx) ^ 2 + (lead(ty) OVER w - byy) ^ 2), 3) + 0.0 AS l FROM h WINDOW w AS (ORDER BY number)) WHERE l IS NOT NULL")
 def route(t):
-    return raster.route(_holes(t, 18)).withColumn("length", r("length", 3))
-
-
-@query("route_whole")
-def route_whole(t):
     return raster.route(_holes(t)).withColumn("length", r("length", 3))
 
 

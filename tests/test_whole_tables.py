@@ -1,4 +1,4 @@
-"""Queries that once ran over id prefixes, held against plain recomputation over whole tables."""
+"""Queries held against plain recomputation over whole tables."""
 
 import math
 from collections import defaultdict
@@ -27,8 +27,8 @@ def test_ewma_of_all_users(spark):
             num, den = v + 0.7 * num, 1 + 0.7 * den
             mean = v if mean is None else 0.2 * v + 0.8 * mean
             want[k], plain[k] = num / den, mean
-    assert {r.event_id: r.x for r in QUERIES["ewma_whole"](spark, SF).collect()} == pytest.approx(want, abs=1e-4)
-    assert {r.event_id: r.x for r in QUERIES["ewma_plain_whole"](spark, SF).collect()} == pytest.approx(plain, abs=1e-4)
+    assert {r.event_id: r.x for r in QUERIES["ewma"](spark, SF).collect()} == pytest.approx(want, abs=1e-4)
+    assert {r.event_id: r.x for r in QUERIES["ewma_plain"](spark, SF).collect()} == pytest.approx(plain, abs=1e-4)
 
 
 def test_standings_of_all_customers(spark):
@@ -36,10 +36,10 @@ def test_standings_of_all_customers(spark):
     for o in table(spark, "orders"):
         of = score[o.o_orderdate.year]
         of[o.o_custkey] = max(of.get(o.o_custkey, -1), math.floor(o.o_totalprice / 40000))
-    got = {(r.state, r.entry): (r.place, r.tied) for r in QUERIES["standings_whole"](spark, SF).collect()}
+    got = {(r.state, r.entry): (r.place, r.tied) for r in QUERIES["standings"](spark, SF).collect()}
     assert got == {(y, c): (1 + sum(x > v for x in of.values()), list(of.values()).count(v) > 1) for y, of in score.items() for c, v in of.items()}
-    assert {r.state: r.tied for r in QUERIES["ties_whole"](spark, SF).collect()} == {y: len(of) - len(set(of.values())) for y, of in score.items()}
-    assert {r.state: (r.entered, r.of) for r in QUERIES["entered_whole"](spark, SF).collect()} == {y: (sum(v != 3 for v in of.values()), len(of)) for y, of in score.items()}
+    assert {r.state: r.tied for r in QUERIES["ties"](spark, SF).collect()} == {y: len(of) - len(set(of.values())) for y, of in score.items()}
+    assert {r.state: (r.entered, r.of) for r in QUERIES["entered"](spark, SF).collect()} == {y: (sum(v != 3 for v in of.values()), len(of)) for y, of in score.items()}
 
 
 def test_shelf_of_all_lines(spark):
@@ -51,9 +51,9 @@ def test_shelf_of_all_lines(spark):
 def test_holes_of_all_suppliers(spark):
     k = [s.s_suppkey for s in table(spark, "supplier", SF_100)]
     tee, basket = {i: (i * 37 % 100, i * 53 % 80) for i in k}, {i: (i * 11 % 100, i * 29 % 80) for i in k}
-    assert {r.number: r.length for r in QUERIES["hole_geometry_whole"](spark, SF_100).collect()} == pytest.approx({i: math.dist(tee[i], basket[i]) for i in k}, abs=1e-3)
+    assert {r.number: r.length for r in QUERIES["hole_geometry"](spark, SF_100).collect()} == pytest.approx({i: math.dist(tee[i], basket[i]) for i in k}, abs=1e-3)
     legs = {(i, "play"): math.dist(tee[i], basket[i]) for i in k} | {(i, "walk"): math.dist(basket[i], tee[j]) for i, j in zip(sorted(k), sorted(k)[1:])}
-    assert {(r.number, r.kind): r.length for r in QUERIES["route_whole"](spark, SF_100).collect()} == pytest.approx(legs, abs=1e-3)
+    assert {(r.number, r.kind): r.length for r in QUERIES["route"](spark, SF_100).collect()} == pytest.approx(legs, abs=1e-3)
     free, bound = {f"a{i}": basket[i] for i in k}, {}
     for i in sorted(k):
         bound[i] = min((math.dist(p, tee[i]), a) for a, p in free.items())[1]
@@ -80,7 +80,7 @@ def test_vectors_of_the_whole_table(spark):
     at = {e.vec_id: np.array(e.embedding, float) for e in rows}
     some = [k for k in at if k % 50 == 0]
     assert max(some) >= 500  # beyond the prefix
-    for name, norm, digits in (("pairwise_whole", 2, 1e-4), ("pairwise_cityblock_whole", 1, 1e-3)):
+    for name, norm, digits in (("pairwise", 2, 1e-4), ("pairwise_cityblock", 1, 1e-3)):
         got = {(r.a, r.b): r.distance for r in QUERIES[name](spark, SF_2000).collect()}
         assert set(got) == {(a, b) for a in some for b in at}
         assert all(abs(got[a, b] - np.linalg.norm(at[a] - at[b], norm)) <= digits for a in some[:3] + some[-3:] for b in at)
@@ -91,7 +91,7 @@ def test_silhouette_of_the_whole_table(spark):
 
     rows = table(spark, "embeddings")
     x, c = np.array([e.embedding for e in rows], float), np.array([e.label for e in rows])
-    got = {r.vec_id: r.silhouette for r in QUERIES["silhouette_whole"](spark, SF).collect()}
+    got = {r.vec_id: r.silhouette for r in QUERIES["silhouette"](spark, SF).collect()}
     assert len(got) == len(rows)
     for i in range(0, len(rows), 25):
         d = np.linalg.norm(x - x[i], axis=1)
@@ -114,7 +114,7 @@ def test_joins_of_the_whole_table(spark):
     both = [(k, v, w) for k, v in a for m, w in b if k == m]
     left, right = [(k, v, None) for k, v in a if k not in {m for m, _ in b}], [(m, None, w) for m, w in b if m not in {k for k, _ in a}]
     for how, want in (("inner", both), ("left", both + left), ("right", both + right), ("outer", both + left + right)):
-        assert sorted(map(repr, (tuple(r) for r in QUERIES[f"join_{how}_whole"](spark, SF).select("k", "v_left", "v_right").collect()))) == sorted(map(repr, want))
+        assert sorted(map(repr, (tuple(r) for r in QUERIES[f"join_{how}"](spark, SF).select("k", "v_left", "v_right").collect()))) == sorted(map(repr, want))
 
 
 def test_samples_reach_their_operators_bounds(spark):
