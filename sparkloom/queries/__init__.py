@@ -1,6 +1,6 @@
 """Registered queries with their DuckDB SQL, by area."""
 
-from . import core, learning, series, statistics, systems  # noqa: F401
+from . import core, learning, series, stages, statistics, systems  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
