@@ -319,6 +319,8 @@ def shapiro(values: Sequence[float]) -> dict:
     n = len(x)
     if not 3 <= n <= 5000:
         raise ValueError("the sample must have 3 to 5000 values")
+    if x[0] == x[-1]:
+        raise ValueError("all values are equal")
     m = dist.normal_scores(n)
     u = 1 / math.sqrt(n)
     a = np.zeros(n)
@@ -344,7 +346,7 @@ def shapiro(values: Sequence[float]) -> dict:
     if n <= 11:  # Royston's normalising polynomials (fixed values)
         g = -2.273 + 0.459 * n
         if y >= g:
-            return {"w": w, "p": 1e-99}
+            return {"w": w, "p": 0.0}
         y = -math.log(g - y)
         mu, sigma = np.polyval([-0.0006714, 0.025054, -0.39978, 0.5440], n), math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
     else:

@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..table import double
+from ..table import double, with_position
 
 #: What a fact is worth when a term hits it (fixed values).
 WEIGHTS = {"mold": 10, "maker": 7, "category": 7, "plastic": 6, "color": 5, "nickname": 4, "notes": 2}
-GOLDEN = (math.sqrt(5) - 1) / 2
+GOLDEN = (1 + math.sqrt(5)) / 2
 
 
 def tokens(text: Column) -> Column:
@@ -182,43 +182,94 @@ def layered(instance: Column, preset: Column, fallback: Column) -> tuple[Column,
     return F.coalesce(instance, preset, fallback), F.when(instance.isNotNull(), "instance").when(preset.isNotNull(), "preset").otherwise("global")
 
 
-def golden_assign(df: DataFrame, key: str, order: str, families: Sequence[str], spread: int | None = None) -> DataFrame:
-    """Adds family: a golden-ratio walk over the families gives unused ones first; later items of a key follow its first.
-    Order-dependent, so one task folds the rows of a shelf in order."""
-    budget, n = math.ceil(len(families) / 2) if spread is None else max(0, min(len(families), spread)), len(families)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, first, walk, out = set(), {}, 0, []
-        for placed, k in enumerate(pdf.sort_values(order)[key]):
-            spreading = placed < budget and len(used) < n
-            if not spreading and k in first:
-                family = first[k]
-            else:
-                for _ in range(n):
-                    family = families[math.floor((walk + 1) * GOLDEN % 1 * n) % n]
-                    walk += 1
-                    if family not in used:
-                        break
-            used.add(family)
-            first.setdefault(k, family)
-            out.append(family)
-        return pdf.sort_values(order).assign(family=out)
-
-    return df.withColumn("all__", F.lit(1)).groupBy("all__").applyInPandas(lambda pdf: run(pdf.drop(columns="all__")), T.StructType([*df.schema, T.StructField("family", T.StringType())]))
+class GoldenWalk:
+    """Slots in the order of the multiples of the golden ratio, those taken passed over, for as long as any is free.
+
+    `draws` lists what is drawn until every slot is taken, which is settled by the taken slots alone. From there on each
+    draw passes all slots over and takes the next, so the walk goes on in strides of a known length from `at`.
+    """
+
+    def __init__(self, slots: int, taken: set[int]):
+        self.slots, self.at, self.draws = slots, 0, []
+        left = set(range(slots)) - taken
+        while left:
+            ahead = [self.slot(self.at + k) for k in range(slots)]
+            skipped = next((k for k, s in enumerate(ahead) if s in left), slots)
+            self.draws.append(self.slot(self.at + skipped))
+            left.discard(self.draws[-1])
+            self.at += skipped + 1
+
+    def slot(self, k: int) -> int:
+        return math.floor((k + 1) * GOLDEN % 1 * self.slots) % self.slots
+
+    def column(self, draw: Column) -> Column:
+        """The slot of the draw with this number, from 0."""
+        far = (draw - len(self.draws)) * (self.slots + 1) + self.slots + self.at + 1
+        later = F.floor(far.cast("double") * GOLDEN % 1 * self.slots) % self.slots
+        early = F.try_element_at(F.array(*map(F.lit, self.draws or [0])), (draw + 1).cast("int"))
+        return F.when(draw < len(self.draws), early).otherwise(later.cast("int"))
+
+
+def golden_assign(df: DataFrame, key: str, order: Sequence[str] | str, families: Sequence[str], spread: int | None = None, authored: str | None = None) -> DataFrame:
+    """Adds family and phase. A row whose `authored` names a family has that one. Of the others the first rows, half as many
+    as there are families or `spread`, draw from a golden-ratio walk over the families that gives free ones first; then
+    only the first row of a key draws, and so does each row with a null key, while the others follow their key's first row.
+
+    Which rows draw is known without walking: so draws are numbered by their position, and a number says the slot.
+    `order` must be unique. No task sees the whole table, or all rows of a key.
+    """
+    order = [order] if isinstance(order, str) else list(order)
+    if not families:
+        raise ValueError("there are no families")
+    names = F.array(*map(F.lit, families))
+    own = F.col(authored) if authored else F.lit(None).cast("string")
+    rows = df.withColumn("own__", F.when(own.isin(*families), own))
+    taken = {families.index(r[0]) for r in rows.filter("own__ is not null").select("own__").distinct().collect()}  # at most as many as families
+    walk = GoldenWalk(len(families), taken)
+    budget = math.ceil(len(families) / 2) if spread is None else max(0, min(len(families), spread))
+    place = F.struct(*order)
+    free = rows.filter("own__ is null")
+    early = free.orderBy(*order).limit(min(budget, len(walk.draws))).agg(F.max(place).alias("last")).first()["last"]
+    spreading = F.lit(False) if early is None else place <= F.struct(*(F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, early, strict=True)))
+    first = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(place).alias("first__"))
+    rows = rows.join(first, key, "left").withColumn("phase", F.when(F.col("own__").isNotNull(), "authored").when(spreading, "spread").otherwise("grouped"))
+    rows = rows.withColumn("draws__", F.col("own__").isNull() & ((F.col("phase") == "spread") | F.col("first__").isNull() | (F.col("first__") == place)))
+    drawn = with_position(rows.filter("draws__"), order, "draw__").withColumn("family", F.element_at(names, walk.column(F.col("draw__")) + 1))
+    fixed = rows.filter("own__ is not null").withColumn("draw__", F.lit(None).cast("long")).withColumn("family", F.col("own__"))
+    placed = drawn.unionByName(fixed)
+    leads = placed.filter(F.col("first__") == place).select(F.col(key), F.col("family").alias("lead__"))
+    rest = rows.filter("own__ is null and not draws__").join(leads, key).withColumn("family", F.col("lead__"))
+    columns = [*(f"`{c}`" for c in df.columns), "family", "phase"]
+    return placed.select(*columns).union(rest.select(*columns))
+
+
+def golden_histogram(assigned: DataFrame, families: Sequence[str]) -> DataFrame:
+    """(family, n): how many rows each family has, none included."""
+    every = assigned.sparkSession.createDataFrame([(f,) for f in families], "family string")
+    return F.broadcast(every).join(assigned.groupBy("family").agg(F.count("*").alias("n")), "family", "left").fillna(0, ["n"])
 
 
 def undo_push(stack: Column, value: Column, depth: int = 32) -> Column:
-    """A bounded stack in an array."""
+    """A bounded stack in an array; entries are values, or structs (address, value)."""
     grown = F.concat(stack, F.array(value))
     return F.slice(grown, F.greatest(F.lit(1), F.size(grown) - (depth - 1)), F.lit(depth))
 
 
-def undo_pop(stack: Column, current: Column) -> Column:
-    return F.coalesce(F.try_element_at(stack, F.lit(-1)), current)
+def _on_top(stack: Column, address: Column | None) -> Column:
+    """Whether the top entry is there and, where an address is asked for, is that address's."""
+    there = F.size(stack) > 0
+    return there if address is None else there & F.coalesce(F.try_element_at(stack, F.lit(-1))["address"] == address, F.lit(False))
+
+
+def undo_pop(stack: Column, current: Column, address: Column | None = None) -> Column:
+    """The value to write back at `address`: the top entry's if it is that address's, else what is there."""
+    top = F.try_element_at(stack, F.lit(-1))
+    return F.when(_on_top(stack, address), top if address is None else top["value"]).otherwise(current)
 
 
-def undo_settle(stack: Column) -> Column:
-    return F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
+def undo_settle(stack: Column, address: Column | None = None) -> Column:
+    """The stack without the entry that `undo_pop` took."""
+    return F.when(_on_top(stack, address), F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(stack)
 
 
 def fold(events: DataFrame, key: Sequence[str], order: Sequence[str], step: Callable[[dict, dict], dict], schema: str) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Regression from one pass of sums: X'X, X'y, y'y. What reaches the driver is k x k, whatever the rows."""
+"""Regression from sums of centred columns (X'X, X'y, y'y), or from orthogonal triangles of the rows themselves.
+
+What reaches the driver is k x k, whatever the rows.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,58 +19,106 @@ from ..table import double
 
 
 @dataclass
-class Gram:
+class Sums:
     n: int
-    xx: np.ndarray
-    xy: np.ndarray
-    yy: float
-    y: float
     weight: float
 
 
-def gram(df: DataFrame, x: Sequence[str], y: str, intercept: bool = True, weight: str | None = None) -> Gram:
-    terms = ([F.lit(1.0)] if intercept else []) + [double(c) for c in x]
+def centred(df: DataFrame, x: Sequence[str], y: str, intercept: bool, weight: str | None) -> tuple[DataFrame, list[str], np.ndarray, float, int, float]:
+    """Complete rows with columns z0 .. and v, from which the (weighted) means are taken if there is an intercept; the names z, the
+    means, how many rows there are and the sum of weights."""
     w = double(weight) if weight else F.lit(1.0)
-    rows = df.na.drop(subset=[*x, y])
-    k = len(terms)
-    sums = [F.sum(w * terms[i] * terms[j]).alias(f"x{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(w * t * double(y)).alias(f"y{i}") for i, t in enumerate(terms)]
-    r = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(w * double(y) * double(y)).alias("yy"), F.sum(w * double(y)).alias("y"), F.sum(w).alias("w"), *sums).first()
-    if not r["n"]:
+    rows = df.na.drop(subset=[*x, y, *([weight] if weight else [])])
+    mean = lambda c: (F.sum(w * double(c)) / F.sum(w) if intercept else F.lit(0.0))
+    first = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), mean(y).alias("y"), *(mean(c).alias(f"m{i}") for i, c in enumerate(x))).first()
+    if not first["n"]:
         raise ValueError("there are no complete rows")
-    xx = np.array([[r[f"x{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
-    return Gram(r["n"], xx, np.array([r[f"y{i}"] for i in range(k)], float), r["yy"], r["y"], r["w"])
+    means, z = np.array([first[f"m{i}"] for i in range(len(x))], float), [f"z{i}" for i in range(len(x))]
+    moved = rows.select(w.alias("w"), (double(y) - F.lit(first["y"])).alias("v"), *((double(c) - F.lit(float(m))).alias(k) for c, m, k in zip(x, means, z, strict=True)))
+    return moved, z, means, first["y"], first["n"], first["w"]
+
+
+def products(moved: DataFrame, z: Sequence[str]) -> tuple[np.ndarray, np.ndarray, float]:
+    """X'X, X'y and y'y of what `centred` returns, in one pass."""
+    p, both = len(z), [*z, "v"]
+    sums = moved.agg(*(F.sum(F.col("w") * F.col(both[i]) * F.col(both[j])).alias(f"s{i}_{j}") for i in range(p + 1) for j in range(i, p + 1))).first()
+    full = np.array([[sums[f"s{min(i, j)}_{max(i, j)}"] for j in range(p + 1)] for i in range(p + 1)], float)
+    return full[:p, :p], full[:p, p], float(full[p, p])
+
+
+def triangle(df: DataFrame, columns: Sequence[str], groups: int = 16) -> np.ndarray:
+    """R of the QR factorisation of the rows: each partition is factorised block by block, then the triangles of all, so that X'X is
+    never formed and at most `groups` triangles reach the driver."""
+    k = len(columns)
+
+    def fold(blocks):
+        r = np.zeros((0, k))
+        for block in blocks:
+            r = np.linalg.qr(np.vstack([r, block]), mode="r") if len(block) else r
+        return r
+
+    def of_rows(batches):
+        r = fold(np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(k)]) for b in batches if b.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(r.tolist(), pa.list_(pa.float64()))], names=["r"])
+
+    def of_triangles(batches):
+        r = fold(np.array(b.column(0).to_pylist(), float).reshape(-1, k) for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array(r.tolist(), pa.list_(pa.float64()))], names=["r"])
+
+    rows = df.select(*columns).mapInArrow(of_rows, "r array<double>").repartition(groups).mapInArrow(of_triangles, "r array<double>").collect()
+    r = fold([np.array([v["r"] for v in rows], float).reshape(-1, k)])
+    return np.vstack([r, np.zeros((max(0, k - len(r)), k))])
 
 
 def ols(df: DataFrame, x: Sequence[str], y: str, intercept: bool = True, weight: str | None = None, solver: str = "normal", lam: float = 0.0) -> dict:
     """Coefficients with standard errors, t, p, and the usual sums. lam adds a ridge penalty on all but the intercept.
 
-    Solvers of the k x k system: normal (Cholesky), qr, lstsq (singular values). A rank-deficient design is an error.
+    Columns are centred first where there is an intercept. Solvers: normal (Cholesky of X'X), qr (triangles of the rows), lstsq
+    (singular values of the triangle); the last two never form X'X. A rank-deficient design is an error.
     """
-    g = gram(df, x, y, intercept, weight)
+    if solver not in ("normal", "qr", "lstsq"):
+        raise ValueError(f"unknown solver {solver!r}; there are normal, qr, lstsq")
+    moved, z, means, y_mean, n, weights = centred(df, x, y, intercept, weight)
     names = (["intercept"] if intercept else []) + list(x)
-    k = len(names)
-    penalty = np.diag([0.0 if intercept and i == 0 else lam for i in range(k)])
-    scale = np.sqrt(np.maximum(np.diag(g.xx), 1e-300))
-    if not lam and np.linalg.matrix_rank(g.xx / np.outer(scale, scale), tol=1e-10) < k:
-        raise ValueError("the design is rank deficient")
-    a = g.xx + penalty
+    k, p = len(names), len(z)
     if solver == "normal":
-        low = np.linalg.cholesky(a)
-        beta = np.linalg.solve(low.T, np.linalg.solve(low, g.xy))
-    elif solver == "qr":
-        q, r = np.linalg.qr(a)
-        beta = np.linalg.solve(r, q.T @ g.xy)
-    elif solver == "lstsq":
-        beta = np.linalg.lstsq(a, g.xy, rcond=None)[0]
+        xx, xy, tss = products(moved, z)
+        scale = np.sqrt(np.maximum(np.diag(xx), 1e-300))
+        rank = np.linalg.matrix_rank(xx / np.outer(scale, scale), tol=1e-10) if p else 0
     else:
-        raise ValueError(f"unknown solver {solver!r}; there are normal, qr, lstsq")
-    rss = max(0.0, float(g.yy - 2 * beta @ g.xy + beta @ g.xx @ beta))
-    tss = float(g.yy - g.y**2 / g.weight) if intercept else g.yy
+        root = F.sqrt("w")
+        r = triangle(moved.select(*((F.col(c) * root).alias(c) for c in (*z, "v"))), [*z, "v"])
+        top, side, tss = r[:p, :p], r[:p, p], float((r[:, p] ** 2).sum())
+        scale = np.sqrt(np.maximum((top**2).sum(0), 1e-300))
+        rank = np.linalg.matrix_rank(top / scale, tol=1e-10) if p else 0
+        xx, xy = top.T @ top, top.T @ side  # for the standard errors only
+    if not lam and rank < p:
+        raise ValueError("the design is rank deficient")
+    if not p:
+        slopes, rss = np.zeros(0), tss
+    elif solver == "normal":
+        low = np.linalg.cholesky(xx + lam * np.eye(p))
+        slopes = np.linalg.solve(low.T, np.linalg.solve(low, xy))
+        rss = max(0.0, tss - 2 * float(slopes @ xy) + float(slopes @ xx @ slopes))
+    else:
+        stacked, right = np.vstack([top, math.sqrt(lam) * np.eye(p)]), np.concatenate([side, np.zeros(p)])
+        if solver == "qr":
+            q, small = np.linalg.qr(stacked)
+            slopes = np.linalg.solve(small, q.T @ right)
+        else:
+            slopes = np.linalg.lstsq(stacked, right, rcond=None)[0]
+        rss = float(((side - top @ slopes) ** 2).sum() + (r[p:, p] ** 2).sum())
+    beta = np.concatenate([[y_mean - means @ slopes], slopes]) if intercept else slopes
+    inverse = np.linalg.inv(xx) if p and not lam else np.zeros((p, p))
+    spread = np.diag(inverse)
+    if intercept:
+        spread = np.concatenate([[1 / weights + means @ inverse @ means], spread])
+    g = Sums(n, weights)
     free = g.n - k
     sigma2 = rss / free if free > 0 else None
     out = {"names": names, "coefficients": beta.tolist(), "n": g.n, "k": k, "df_residual": free, "rss": rss, "tss": tss, "sigma2": sigma2, "r2": 1 - rss / tss if tss > 0 else None, "intercept": intercept}
     if sigma2 is not None and not lam:
-        se = np.sqrt(np.maximum(np.diag(np.linalg.inv(a)) * sigma2, 0))
+        se = np.sqrt(np.maximum(spread * sigma2, 0))
         t = [b / s if s else math.inf for b, s in zip(beta, se, strict=True)]
         out |= {"stderr": se.tolist(), "t": t, "pvalues": [dist.tail("t", v, "two-sided", {"df": free}) for v in t]}
         model = k - int(intercept)

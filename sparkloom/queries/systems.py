@@ -176,9 +176,45 @@ def layered_settings(t):
     return t.customer.select("c_custkey", value.alias("value"), source.alias("source"))
 
 
-@query("golden_assign")
+_GOLDEN = """
+    WITH f AS (SELECT c_custkey, c_nationkey, row_number() OVER (ORDER BY c_custkey) - 1 AS p, min(c_custkey) OVER (PARTITION BY c_nationkey) AS first FROM customer),
+    d AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS d FROM f WHERE p < 3 OR first = c_custkey),
+    s AS (SELECT c_custkey, CASE WHEN d < 5 THEN [3, 1, 4, 2, 0][d + 1] ELSE floor(((d - 5) * 6 + 11) * 1.618033988749895::DOUBLE % 1 * 5)::INT % 5 END AS slot FROM d),
+    g AS (SELECT f.c_custkey, ['a', 'b', 'c', 'd', 'e'][coalesce(s.slot, l.slot) + 1] AS family, CASE WHEN p < 3 THEN 'spread' ELSE 'grouped' END AS phase FROM f LEFT JOIN s ON s.c_custkey = f.c_custkey JOIN s l ON l.c_custkey = f.first)"""
+
+
+def _golden(t):
+    return app.golden_assign(t.customer, "c_nationkey", "c_custkey", list("abcde"))
+
+
+@query("golden_assign", f"{_GOLDEN} SELECT c_custkey, family, phase FROM g")
 def golden_assign(t):
-    return app.golden_assign(t.nation, "n_regionkey", "n_nationkey", ["a", "b", "c", "d", "e"]).select("n_nationkey", "family")
+    return _golden(t).select("c_custkey", "family", "phase")
+
+
+@query("golden_histogram", f"{_GOLDEN} SELECT family, count(*) AS n FROM g GROUP BY 1")
+def golden_histogram(t):
+    return app.golden_histogram(_golden(t), list("abcde"))
+
+
+_STACKED = "SELECT o_custkey AS k, list_slice(list({'address': o_orderstatus, 'value': o_orderkey} ORDER BY o_orderdate, o_orderkey), -4, -1) AS s FROM orders GROUP BY 1"
+
+
+def _stacked(t):
+    g = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_orderstatus"))).alias("a"))
+    entry = lambda e: F.struct(e["o_orderstatus"].alias("address"), e["o_orderkey"].alias("value"))
+    kind = f"array<struct<address:string,value:{t.orders.schema['o_orderkey'].dataType.simpleString()}>>"
+    return g.select("k", F.aggregate("a", F.array().cast(kind), lambda s, e: app.undo_push(s, entry(e), 4)).alias("s"))
+
+
+@query("undo_pop", f"SELECT k, CASE WHEN s[-1].address = 'F' THEN s[-1].value ELSE -1 END AS restored FROM ({_STACKED})")
+def undo_pop(t):
+    return _stacked(t).select("k", app.undo_pop(F.col("s"), F.lit(-1).cast("long"), F.lit("F")).alias("restored"))
+
+
+@query("undo_settle", f"SELECT k, len(s) - (s[-1].address = 'F')::INT AS depth FROM ({_STACKED})")
+def undo_settle(t):
+    return _stacked(t).select("k", F.size(app.undo_settle(F.col("s"), F.lit("F"))).cast("long").alias("depth"))
 
 
 @query("undo_stack", "SELECT o_custkey, len(list_slice(list(o_orderkey ORDER BY o_orderdate, o_orderkey), -4, -1)) AS depth, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS top FROM orders GROUP BY 1")

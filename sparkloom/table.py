@@ -44,13 +44,18 @@ def double(column: str | Column) -> Column:
 def with_position(df: DataFrame, order: Sequence[str] = (), name: str = POSITION) -> DataFrame:
     """Adds a 0-based position in the order of `order`, or in the order of the partitions as they are read.
 
-    Positions need no global sort into one task: rows are sorted by range, counted per partition, and
-    each partition's offset is added. The counts that reach the driver are one per partition.
+    No task sees the whole table: rows are dealt to ranges of the order (equal keys to one) and sorted there, and each
+    partition's offset, the sum of the counts before it, is added. Only one count per partition reaches the driver.
     """
-    base = df.orderBy(*order) if order else df
-    schema = T.StructType([*df.schema, T.StructField(name, T.LongType(), False)])
-    numbered = base.rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1]))
-    return df.sparkSession.createDataFrame(numbered, schema)
+    base = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    pid = F.spark_partition_id()
+    marked = checkpointed(base.select("*", pid.alias("part__"), (F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)).alias("row__")))
+    counts, offsets, at = sorted(tuple(r) for r in marked.groupBy("part__").count().collect()), [], 0
+    for part, n in counts:
+        offsets.append((part, at))
+        at += n
+    before = df.sparkSession.createDataFrame(offsets, "part__ int, before__ long")
+    return marked.join(F.broadcast(before), "part__").select(*(f"`{c}`" for c in df.columns), (F.col("before__") + F.col("row__")).alias(name))
 
 
 def ordered(order: Sequence[str], partition: Sequence[str] = ()) -> WindowSpec:
@@ -63,10 +68,13 @@ def up_to_here(order: Sequence[str], partition: Sequence[str] = ()) -> WindowSpe
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the folder of spark.checkpoint.dir (a temporary one only where none is set)."""
+    """df with its lineage cut by a checkpoint in the folder of spark.checkpoint.dir (a temporary one only where none is set on one machine)."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 

@@ -71,3 +71,71 @@ def test_hex_moves_are_fewest():
     assert path == [1, 1, 1]
     assert len(raster.hex_moves((500.0, 500.0), (760.0, 500.0), 75)) == 4
     assert raster.hex_moves((10.0, 10.0), (-500.0, 10.0), 75) is None
+
+
+@pytest.mark.parametrize("solver", ["normal", "qr", "lstsq"])
+def test_ols_on_columns_far_from_zero(spark, solver):
+    import numpy as np
+
+    from sparkloom.operators import regression
+
+    rng = np.random.default_rng(3)
+    x = np.column_stack([1e6 + rng.random(1000), rng.normal(size=1000)])
+    y = 3 + 2 * x[:, 0] - x[:, 1] + rng.normal(size=1000)
+    w = rng.uniform(0.5, 2, 1000)
+    df = spark.createDataFrame([(float(a), float(b), float(c), float(d)) for (a, b), c, d in zip(x, y, w)], "a double, b double, y double, w double").repartition(5)
+    for weight in (None, "w"):
+        own = np.ones(1000) if weight is None else w
+        moved = x - (own @ x) / own.sum()
+        slopes = np.linalg.lstsq(moved * np.sqrt(own)[:, None], (y - own @ y / own.sum()) * np.sqrt(own), rcond=None)[0]
+        fit = regression.ols(df, ["a", "b"], "y", weight=weight, solver=solver)
+        assert np.allclose(fit["coefficients"][1:], slopes, rtol=1e-7)
+        design = np.column_stack([np.ones(1000), moved]) * np.sqrt(own)[:, None]
+        rss = ((y - own @ y / own.sum() - moved @ slopes) ** 2 * own).sum()
+        se = np.sqrt(np.diag(np.linalg.inv(design.T @ design)) * rss / 997)
+        assert np.isclose(fit["rss"], rss) and np.allclose(fit["stderr"][1:], se[1:], rtol=1e-6)
+    with pytest.raises(ValueError, match="rank deficient"):
+        regression.ols(df.selectExpr("a", "2 * a as b", "y"), ["a", "b"], "y", solver=solver)
+
+
+def test_shapiro_refuses_constants():
+    from sparkloom.functions import statistics
+
+    with pytest.raises(ValueError):
+        statistics.shapiro([2.0] * 10)
+
+
+@pytest.mark.parametrize("n,budget,authored", [(3, None, []), (5, 2, [1, 4]), (6, 0, []), (7, 99, [2]), (4, None, [0, 1, 2, 3])])
+def test_golden_assignment_is_the_sequential_one(spark, n, budget, authored):
+    import math
+    import random
+
+    from sparkloom.operators import applications as app
+
+    rng, names = random.Random(n), [f"f{i}" for i in range(n)]
+    rows = [(i, rng.choice([None, *"abcdefgh"]), names[rng.choice(authored)] if authored and rng.random() < 0.3 else rng.choice([None, "unknown"])) for i in range(60)]
+    phi, k, used, lead, want = (1 + math.sqrt(5)) / 2, 0, {a for _, _, a in rows if a in names}, {}, {}
+    spread, placed = math.ceil(n / 2) if budget is None else min(budget, n), 0
+    for i, key, own in rows:
+        if own in names:
+            want[i] = (own, "authored")
+        else:
+            fresh = placed < spread and len(used) < n
+            family = None if fresh else lead.get(key)
+            if family is None:
+                tried = 0
+                while True:
+                    family = names[math.floor((k + 1) * phi % 1 * n) % n]
+                    k += 1
+                    if family not in used or tried == n:
+                        break
+                    tried += 1
+            placed += 1
+            used.add(family)
+            want[i] = (family, "spread" if fresh else "grouped")
+        if key is not None:
+            lead.setdefault(key, want[i][0])
+    df = spark.createDataFrame(rows, "id long, k string, own string").repartition(4)
+    got = app.golden_assign(df, "k", "id", names, budget, "own")
+    assert {r.id: (r.family, r.phase) for r in got.collect()} == want
+    assert {r.family: r.n for r in app.golden_histogram(got, names).collect()} == {f: sum(v[0] == f for v in want.values()) for f in names}
