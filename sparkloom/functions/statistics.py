@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.transform import average_ranks
-from ..table import double
+from ..table import bounded, double, with_position, with_running
 from . import distributions as dist
 from . import special as sp
 
+#: Rows that an operator which compares all pairs takes at most.
+PAIR_ROWS = 20_000
 
 # descriptive -----------------------------------------------------------------------------------------
 
@@ -85,17 +87,24 @@ def mode(df: DataFrame, column: str) -> DataFrame:
 
 
 def zscores(df: DataFrame, column: str, as_: str, by: Sequence[str] = (), ddof: int = 0) -> DataFrame:
-    w = Window.partitionBy(*by)
-    spread = F.sqrt(F.var_pop(double(column)).over(w) * F.count(column).over(w) / (F.count(column).over(w) - ddof))
-    return df.withColumn(as_, F.try_divide(double(column) - F.avg(double(column)).over(w), F.nullif(spread, F.lit(0.0))))
+    """Distance from the mean in standard deviations, of each group of `by`; without groups one row of sums is broadcast."""
+    mean, spread, n = F.avg(double(column)), F.var_pop(double(column)), F.count(column)
+    if by:
+        w = Window.partitionBy(*by)
+        return df.withColumn(as_, _standardised(double(column), mean.over(w), spread.over(w), n.over(w), ddof))
+    one = df.agg(mean.alias("m__"), spread.alias("v__"), n.alias("n__"))
+    return df.crossJoin(F.broadcast(one)).withColumn(as_, _standardised(double(column), F.col("m__"), F.col("v__"), F.col("n__"), ddof)).drop("m__", "v__", "n__")  # one row
+
+
+def _standardised(x: Column, mean: Column, variance: Column, n: Column, ddof: int) -> Column:
+    return F.try_divide(x - mean, F.nullif(F.sqrt(variance * n / (n - ddof)), F.lit(0.0)))
 
 
 def _order_statistics(df: DataFrame, column: str) -> DataFrame:
     """Distinct values with the cumulated count before (lo) and up to (hi) each, and the total n."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(double(column).alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    hi = F.sum("c").over(Window.partitionBy().orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
     total = counts.agg(F.sum("c").alias("n"))
-    return counts.withColumn("hi", hi).withColumn("lo", F.col("hi") - F.col("c")).crossJoin(F.broadcast(total))  # one row
+    return with_running(counts, ["x"], {"hi": ("sum", "c")}).withColumn("lo", F.col("hi") - F.col("c")).crossJoin(F.broadcast(total))  # one row
 
 
 def trimmed_mean(df: DataFrame, column: str, cut: float) -> DataFrame:
@@ -173,7 +182,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def kendall(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """tau-b by comparing all pairs: quadratic, so for bounded samples only."""
+    """tau-b by comparing all pairs of at most PAIR_ROWS rows."""
+    df = bounded(df, PAIR_ROWS, "kendall")
     p, q = df.select(F.col(key).alias("k1"), double(x).alias("x1"), double(y).alias("y1")), df.select(F.col(key).alias("k2"), double(x).alias("x2"), double(y).alias("y2"))
     pairs = p.join(q, F.col("k1") < F.col("k2"))
     s, tx, ty = F.sum(F.signum(F.col("x1") - F.col("x2")) * F.signum(F.col("y1") - F.col("y2"))), F.sum((F.col("x1") != F.col("x2")).cast("double")), F.sum((F.col("y1") != F.col("y2")).cast("double"))
@@ -371,9 +381,8 @@ def ks_2samp(df: DataFrame, column: str, group: str, alternative: str = "two-sid
         raise ValueError("there must be two groups")
     first = F.col(group) == names[0]
     per = df.filter(F.col(column).isNotNull()).groupBy(double(column).alias("x")).agg(F.sum(first.cast("long")).alias("a"), F.sum((~first).cast("long")).alias("b"))
-    w = Window.partitionBy().orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     n1, n2 = per.agg(F.sum("a"), F.sum("b")).first()
-    gap = per.select((F.sum("a").over(w) / n1 - F.sum("b").over(w) / n2).alias("g"))
+    gap = with_running(per, ["x"], {"up_a": ("sum", "a"), "up_b": ("sum", "b")}).select((F.col("up_a") / n1 - F.col("up_b") / n2).alias("g"))
     up, down = gap.agg(F.max("g"), F.max(-F.col("g"))).first()
     if alternative == "two-sided":
         d = max(up, down)
@@ -430,20 +439,20 @@ def fisher_exact(table: Sequence[Sequence[int]], alternative: str = "two-sided")
 
 def multipletests(df: DataFrame, p: str, alpha: float = 0.05, method: str = "benjamini-hochberg", tie: Sequence[str] = ()) -> DataFrame:
     """Adds adjusted and rejected. Null p-values stay null."""
-    total = df.agg(F.count(p).alias("m__"))
-    rank = F.row_number().over(Window.partitionBy(F.col(p).isNull()).orderBy(p, *tie))
-    out = df.crossJoin(F.broadcast(total)).withColumn("k__", rank)  # one row
-    live = Window.partitionBy(F.col(p).isNull())
+    m = df.agg(F.count(p)).first()[0]
+    live, none = df.filter(F.col(p).isNotNull()), df.filter(F.col(p).isNull())
+    ranked = with_position(live, [p, *tie], "k__").withColumn("k__", F.col("k__") + 1)
     if method == "bonferroni":
-        adjusted = F.col(p) * F.col("m__")
+        ranked = ranked.withColumn("adjusted", F.col(p) * m)
     elif method == "holm":
-        adjusted = F.max(F.col(p) * (F.col("m__") - F.col("k__") + 1)).over(live.orderBy("k__").rowsBetween(Window.unboundedPreceding, 0))
+        ranked = with_running(ranked, ["k__"], {"adjusted": ("max", F.col(p) * (m - F.col("k__") + 1))})
     elif method == "benjamini-hochberg":
-        adjusted = F.min(F.col(p) * F.col("m__") / F.col("k__")).over(live.orderBy(F.desc("k__")).rowsBetween(Window.unboundedPreceding, 0))
+        ranked = with_running(ranked, [F.col("k__").desc()], {"adjusted": ("min", F.col(p) * m / F.col("k__"))})
     else:
         raise ValueError(f"unknown method {method!r}; there are benjamini-hochberg, holm, bonferroni")
-    adjusted = F.when(F.col(p).isNotNull(), F.least(adjusted, F.lit(1.0)))
-    return out.withColumn("adjusted", adjusted).withColumn("rejected", F.col("adjusted") <= alpha).drop("m__", "k__")
+    ranked = ranked.drop("k__").withColumn("adjusted", F.least("adjusted", F.lit(1.0)))
+    out = ranked.unionByName(none.withColumn("adjusted", F.lit(None).cast("double")))
+    return out.withColumn("rejected", F.col("adjusted") <= alpha)
 
 
 # intervals and effect sizes --------------------------------------------------------------------------

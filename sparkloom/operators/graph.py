@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..table import checkpointed
+from ..table import checkpointed, salted_join
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -14,13 +14,16 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
     label = both.select(F.col("a").alias("node")).union(nodes.select("node") if nodes is not None else both.select("b")).distinct().withColumn("component", F.col("node"))
     both, label = checkpointed(both), checkpointed(label)
+    degree = both.groupBy("b").agg(F.count("*").alias("n"))
     total = None
     while True:
-        near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
+        of_b = label.withColumnRenamed("node", "b")
+        near = salted_join(both, of_b, ["b"], degree, "a").groupBy("a").agg(F.min("component").alias("m"))
         step = label.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
+        step = checkpointed(step)
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = step.join(jump, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
-        new = checkpointed(new)
+        size = step.groupBy("component").agg(F.count("*").alias("n"))
+        new = checkpointed(salted_join(step, jump, ["component"], size, "node", "left").select("node", F.coalesce("next", "component").alias("component")))
         state = new.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node", "component"))).first()
         label = new
         if tuple(state) == total:

@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..table import neighbourhoods, with_running
+
 #: Side of a matrix that the driver factorises at most.
 MOST = 4096
 
@@ -143,21 +145,23 @@ def fft(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cumsum(df: DataFrame, value: str = "v", order: str = "i") -> DataFrame:
-    return df.withColumn("cumsum", F.sum(value).over(Window.partitionBy().orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    return with_running(df, [order], {"cumsum": ("sum", value)})
 
 
 def diff(df: DataFrame, value: str = "v", order: str = "i", times: int = 1) -> DataFrame:
-    w, out = Window.partitionBy().orderBy(order), df.withColumn("diff", F.col(value).cast("double"))
+    out, w = neighbourhoods(df.withColumn("diff", F.col(value).cast("double")), [order], before=times)
     for _ in range(times):
         out = out.withColumn("diff", F.col("diff") - F.lag("diff").over(w))
-    return out.filter(F.col("diff").isNotNull())
+    return out.filter(F.col("diff").isNotNull() & ~F.col("halo__")).drop("pos__", "block__", "halo__")
 
 
 def gradient(df: DataFrame, value: str = "v", order: str = "i") -> DataFrame:
     """Central differences, one-sided at the ends."""
-    w, x = Window.partitionBy().orderBy(order), F.col(value).cast("double")
+    rows, w = neighbourhoods(df, [order], before=1, after=1)
+    x = F.col(value).cast("double")
     before, after = F.lag(x).over(w), F.lead(x).over(w)
-    return df.withColumn("gradient", F.when(before.isNull(), after - x).when(after.isNull(), x - before).otherwise((after - before) / 2))
+    out = rows.withColumn("gradient", F.when(before.isNull(), after - x).when(after.isNull(), x - before).otherwise((after - before) / 2))
+    return out.filter(~F.col("halo__")).drop("pos__", "block__", "halo__")
 
 
 def convolve(df: DataFrame, kernel: list[float], value: str = "v", order: str = "i", mode: str = "full") -> DataFrame:
@@ -197,7 +201,13 @@ def distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
     raise ValueError(f"unknown metric {metric!r}; there are euclidean and cityblock")
 
 
-def pairwise(queries: DataFrame, base: DataFrame, key: str, array: str, metric: str = "euclidean") -> DataFrame:
-    """(a, b, distance) of a bounded set of query rows against all rows; the queries are what is broadcast."""
-    q = F.broadcast(queries.select(F.col(key).alias("a"), F.col(array).alias("x")))
-    return base.select(F.col(key).alias("b"), F.col(array).alias("y")).crossJoin(q).select("a", "b", distance(F.col("x"), F.col("y"), metric).alias("distance"))
+def pairwise(queries: DataFrame, base: DataFrame, key: str, array: str, metric: str = "euclidean", block: int = 20_000) -> DataFrame:
+    """(a, b, distance) of a stated set of query rows against all rows. Up to `block` queries, counted, are broadcast; more are dealt
+    into blocks, each of which meets every row in a join by the block's number."""
+    q, y = queries.select(F.col(key).alias("a"), F.col(array).alias("x")), base.select(F.col(key).alias("b"), F.col(array).alias("y"))
+    blocks = -(-q.count() // block)
+    if blocks <= 1:
+        met = y.crossJoin(F.broadcast(q))
+    else:
+        met = y.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int")), "block")
+    return met.select("a", "b", distance(F.col("x"), F.col("y"), metric).alias("distance"))

@@ -15,7 +15,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..table import double, require
+from ..table import double, require, with_position, with_running
 from . import linalg
 from .regression import ols, predict
 from .transform import average_ranks
@@ -28,14 +28,17 @@ SAMPLE = 2_000
 
 
 def shuffled(df: DataFrame, key: Sequence[str], seed: int, partition: Sequence[str] = ()) -> DataFrame:
-    """Adds n__, a row number in the order of a seeded hash of the key."""
+    """Adds n__, a row number from 1 in the order of a seeded hash of the key, of each partition or by ranges of the hash."""
+    if not partition:
+        hashed = df.withColumn("hash__", F.xxhash64(F.lit(seed), *key))
+        return with_position(hashed, ["hash__", *key], "n__").withColumn("n__", F.col("n__") + 1).drop("hash__")
     return df.withColumn("n__", F.row_number().over(Window.partitionBy(*partition).orderBy(F.xxhash64(F.lit(seed), *key), *key)))
 
 
 def train_test_split(df: DataFrame, key: Sequence[str], seed: int, test_size: float = 0.25, stratify: str | None = None) -> DataFrame:
     """Adds is_test for exactly round(n * test_size) rows, of each stratum where one is given."""
     part = [stratify] if stratify else []
-    n = F.count(F.lit(1)).over(Window.partitionBy(*part))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*part)) if part else F.lit(df.count())
     return shuffled(df, key, seed, part).withColumn("is_test", F.col("n__") <= F.bround(n * test_size)).drop("n__")
 
 
@@ -390,8 +393,8 @@ def roc_curve(df: DataFrame, y: str, score: str, positive=1) -> DataFrame:
     """threshold, tpr, fpr of each distinct score, from the greatest."""
     yes = F.col(y) == positive
     per = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(yes.cast("long")).alias("p"), F.sum((~yes).cast("long")).alias("n"))
-    w, total = Window.partitionBy().orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0), per.agg(F.sum("p").alias("tp__"), F.sum("n").alias("tn__"))
-    cum = per.withColumn("cp", F.sum("p").over(w)).withColumn("cn", F.sum("n").over(w)).crossJoin(F.broadcast(total))  # one row
+    total = per.agg(F.sum("p").alias("tp__"), F.sum("n").alias("tn__"))
+    cum = with_running(per, [F.desc("threshold")], {"cp": ("sum", "p"), "cn": ("sum", "n")}).crossJoin(F.broadcast(total))  # one row
     return cum.select("threshold", F.try_divide(F.col("cp"), F.col("tp__")).alias("tpr"), F.try_divide(F.col("cn"), F.col("tn__")).alias("fpr"))
 
 

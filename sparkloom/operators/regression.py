@@ -11,11 +11,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distributions as dist
-from ..table import double
+from ..table import bounded, double, with_position
+
+
+#: Rows whose pairs are all compared at most.
+PAIR_ROWS = 20_000
 
 
 @dataclass
@@ -181,7 +185,8 @@ def linregress(df: DataFrame, x: str, y: str, alternative: str = "two-sided") ->
 
 
 def pairwise_slopes(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """Slopes of all pairs with different x: quadratic, so for bounded samples only."""
+    """Slopes of all pairs with different x, of at most PAIR_ROWS rows."""
+    df = bounded(df, PAIR_ROWS, "a median of pairwise slopes")
     a, b = df.select(F.col(key).alias("k1"), double(x).alias("x1"), double(y).alias("y1")), df.select(F.col(key).alias("k2"), double(x).alias("x2"), double(y).alias("y2"))
     return a.join(b, (F.col("k1") != F.col("k2")) & (F.col("x1") != F.col("x2"))).select("k1", "k2", ((F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))).alias("slope"))
 
@@ -201,9 +206,8 @@ def siegel_slopes(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
 
 def split_by_position(df: DataFrame, order: Sequence[str], share: float = 0.75) -> DataFrame:
     """Adds is_train for the first floor(share * n) rows in order."""
-    w = Window.partitionBy().orderBy(*order)
-    total = df.agg(F.count(F.lit(1)).alias("n__"))
-    return df.crossJoin(F.broadcast(total)).withColumn("is_train", F.row_number().over(w) <= F.floor(F.col("n__") * share)).drop("n__")  # one row
+    numbered = with_position(df, order, "at__")
+    return numbered.withColumn("is_train", F.col("at__") < F.floor(F.lit(df.count()) * share)).drop("at__")
 
 
 def rmse(df: DataFrame, y: str, prediction: str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..table import double, numeric, require
+from ..table import double, numeric, require, with_running
 
 
 def _with_aggregates(df: DataFrame, *columns: Column) -> DataFrame:
@@ -35,13 +35,16 @@ def normalize(df: DataFrame, column: str, as_: str | None = None) -> DataFrame:
 def average_ranks(df: DataFrame, column: str, as_: str, partition: Sequence[str] = (), descending: bool = False) -> DataFrame:
     """Ranks from 1; ties share the mean rank; null stays null.
 
-    Distinct values are counted first and only they are ordered, so the window sees one row per value
-    however often it repeats.
+    Distinct values are counted first and only they are ordered, so one row per value is ranked however often it
+    repeats; without a partition that goes by ranges of the values, so no task sees them all.
     """
     require(df, [column, *partition])
     counts = df.filter(F.col(column).isNotNull()).groupBy(*partition, F.col(column).alias("value__")).agg(F.count(F.lit(1)).alias("n__"))
     order = F.col("value__").desc() if descending else F.col("value__").asc()
-    before = F.coalesce(F.sum("n__").over(Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if partition:
+        before = F.coalesce(F.sum("n__").over(Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    else:
+        counts, before = with_running(counts, [order], {"upto__": ("sum", "n__")}), F.col("upto__") - F.col("n__")
     ranks = counts.select(*(F.col(c).alias(f"p__{c}") for c in partition), "value__", (before + (F.col("n__") + 1) / 2).cast("double").alias(as_))
     test = F.col(column) == F.col("value__")
     for c in partition:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..table import double, ordered, require, up_to_here
+from ..table import double, neighbourhoods, ordered, require, up_to_here
 
 WINDOW_FUNCTIONS = ("cumsum", "cummean", "cummax", "cummin", "cumcount", "lag", "lead", "rank", "dense_rank", "row_number", "share")
 
@@ -88,7 +88,8 @@ def interpolate(df: DataFrame, column: str, x: str, as_: str, order: Sequence[st
 
 
 def per_series(df: DataFrame, order: Sequence[str], partition: Sequence[str], schema: str | T.StructType, fn: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """A recurrence that needs a whole series in order: one pandas call per series. A series must fit one task; the others don't wait for it."""
+    """A recurrence that needs a whole series in order: one pandas call per series, which must fit one task. Without a partition the table is
+    one series; a recurrence has no other order than its own."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return fn(pdf.sort_values(list(order), kind="stable"))
@@ -177,11 +178,11 @@ def acf(df: DataFrame, column: str, order: Sequence[str], nlags: int = 10, adjus
 
 def cross_correlation(df: DataFrame, x: str, y: str, order: Sequence[str], nlags: int = 10, adjusted: bool = False) -> DataFrame:
     """(lag, ccf): x led by lag against y, over the standard deviations of the whole series."""
-    w = Window.partitionBy().orderBy(*order)
     centre = df.agg(F.avg(double(x)).alias("mx__"), F.avg(double(y)).alias("my__"), F.sqrt(F.var_pop(double(x)) * F.var_pop(double(y))).alias("s__"), F.count(F.lit(1)).alias("n__"))
     c = df.crossJoin(F.broadcast(centre)).select(*order, (double(x) - F.col("mx__")).alias("u"), (double(y) - F.col("my__")).alias("v"), "s__", "n__")  # one row
     lags = [F.sum(F.col(f"u{k}") * F.col("v")).alias(f"k{k}") for k in range(nlags + 1)]
-    led = c.select("u", "v", "s__", "n__", *(F.lead("u", k).over(w).alias(f"u{k}") for k in range(nlags + 1)))
+    c, w = neighbourhoods(c, order, after=nlags)
+    led = c.select("u", "v", "s__", "n__", "halo__", *(F.lead("u", k).over(w).alias(f"u{k}") for k in range(nlags + 1))).filter("not halo__")
     one = led.agg(F.first("s__").alias("s"), F.first("n__").alias("n"), *lags)
     cells = F.array(*(F.struct(F.lit(k).cast("long").alias("lag"), F.try_divide(F.col(f"k{k}"), F.nullif(F.col("s"), F.lit(0.0)) * ((F.col("n") - k) if adjusted else F.col("n"))).alias("ccf")) for k in range(nlags + 1)))
     return one.select(F.inline(cells))
@@ -206,8 +207,8 @@ def pacf(df: DataFrame, column: str, order: Sequence[str], nlags: int = 10) -> D
 
 def ar_fit(df: DataFrame, column: str, order: Sequence[str], p: int = 1, intercept: bool = True) -> dict:
     """Least squares on p lags: Spark sums the products, the driver solves p + 1 equations. coefficients, intercept, sigma2, r2, last."""
-    w = Window.partitionBy().orderBy(*order)
-    lags = df.select(double(column).alias("y"), *(F.lag(double(column), k).over(w).alias(f"x{k}") for k in range(1, p + 1))).na.drop()
+    near, w = neighbourhoods(df.select(*order, double(column).alias("y")), order, before=p)
+    lags = near.select("y", "halo__", *(F.lag("y", k).over(w).alias(f"x{k}") for k in range(1, p + 1))).filter("not halo__").drop("halo__").na.drop()
     terms = (["one"] if intercept else []) + [f"x{k}" for k in range(1, p + 1)]
     z = lags.withColumn("one", F.lit(1.0))
     sums = z.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"), *(F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a in terms for b in [*terms, "y"])).first()

@@ -11,8 +11,7 @@ import compare  # noqa: E402
 
 from sparkloom.queries import QUERIES, SQL  # noqa: E402
 
-#: One of each kind; tools/compare.py runs all of them.
-NAMES = ["flagship", "filter_or_negate", "group_by_12", "join_outer", "asof_backward", "containment_join", "pivot_sum", "crosstab", "rank_column", "missing_forward", "window_share", "rolling_median", "interpolate", "acf", "mannwhitney", "ks_2samp", "ols_qr", "matmul", "roc_auc", "dbscan", "components", "standings", "program_run", "raster_components", "stream_windows"]
+NAMES = sorted(SQL)
 
 
 @pytest.fixture(scope="module")
