@@ -101,28 +101,6 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name))
 
 
-#: Rows of one key that a join leaves in one task at least, and the most keys that are hot.
-KEY_ROWS, HOT_KEYS = 1000, 100_000
-
-
-def salted_join(rows: DataFrame, unique: DataFrame, keys: list[str], counts: DataFrame, by: str, how: str = "inner") -> DataFrame:
-    """`rows` joined with `unique` (one row for each key), hot keys dealt by a hash of the column `by`.
-
-    counts: (keys, n), how many of `rows` have each key. A key with more rows than the greater of KEY_ROWS and one
-    HOT_KEYSth of all rows is hot, so fewer than HOT_KEYS are, whatever the input: that bounds what is broadcast.
-    Their rows go to as many tasks as they fill, and the one row that they meet is copied as often.
-    """
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    most = max(KEY_ROWS, total // HOT_KEYS)
-    hot = counts.filter(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("salts"))
-    if total <= KEY_ROWS or not hot.limit(1).count():
-        return rows.join(unique, keys, how)
-    hot, salts = F.broadcast(hot), F.coalesce("salts", F.lit(1))
-    left = rows.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("salts")
-    right = unique.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    return left.join(right, [*keys, "salt"], how).drop("salt")
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
     """A bounded sample of labelled documents outside the held-out fold: (doc_id, label, text), one row for each doc_id.
 

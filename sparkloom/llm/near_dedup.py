@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MULT, WordHashes, bounded_batches, mix, salted_join, shared_table, slices, texts_of, window_hashes
+from ..table import salted_join
+from .common import MULT, WordHashes, bounded_batches, mix, shared_table, slices, texts_of, window_hashes
 
 SHINGLE, BANDS, ROWS = 5, 25, 5
 #: Bits of an odd sketch, kept as longs of 64.

@@ -15,7 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove_shared, salted_join, shared_table, write_shared
+from ..table import salted_join
+from .common import remove_shared, shared_table, write_shared
 
 #: (host, path, verdict) of the registered query (fixed values).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]

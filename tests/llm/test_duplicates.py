@@ -4,7 +4,8 @@ from collections import Counter
 
 import pytest
 
-from sparkloom.llm import common, fingerprints, near_dedup
+from sparkloom import table
+from sparkloom.llm import fingerprints, near_dedup
 
 
 def brute_components(rows, percent=85):
@@ -50,7 +51,7 @@ def corpus(seed, families=6, copies=14, length=60, edits=4):
 def test_components_match_brute_force(spark, monkeypatch, small, block, key_rows):
     monkeypatch.setattr(near_dedup, "SMALL", small)
     monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", block)
-    monkeypatch.setattr(common, "KEY_ROWS", key_rows)
+    monkeypatch.setattr(table, "KEY_ROWS", key_rows)
     rows = corpus(small)
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, node string").repartition(3)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_dedup(docs).collect()), key=repr)
@@ -93,7 +94,7 @@ def in_order(rows):
 
 
 def test_very_long_and_hot_texts(spark, monkeypatch):
-    monkeypatch.setattr(common, "KEY_ROWS", 10)
+    monkeypatch.setattr(table, "KEY_ROWS", 10)
     long = " ".join(f"w{i}" for i in range(300_000))
     rows = [(1, long), (2, long + " tail"), (3, "x" * 3_000_000)] + [(10 + i, "same five words or more here") for i in range(200)]
     out = {r.doc_id: r for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
