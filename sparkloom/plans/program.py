@@ -331,6 +331,86 @@ class Replay(Effects):
             raise RuntimeError(f"the replay writes another text to {path}")
 
 
+class Mounts:
+    """Worlds (catalogs) under root names, in the order in which they came. A root is never part of an address, and a label is only for readers."""
+
+    def __init__(self, worlds: Iterable[tuple[str, Catalog, str | None]] = ()):
+        self._of: dict[str, list] = {}
+        for root, world, label in worlds:
+            self.mount(root, world)
+            self._of[root][1] = label
+
+    def mount(self, root: str, world: Catalog) -> None:
+        """Mounting the same world again changes nothing; another one under a taken root is an error."""
+        if not root or not isinstance(root, str):
+            raise ValueError("a root is a name")
+        if self._of.setdefault(root, [world, None])[0] is not world:
+            raise ValueError(f"{root} holds another world")
+
+    def __contains__(self, root: str) -> bool:
+        return root in self._of
+
+    def _at(self, root: str) -> list:
+        if root not in self._of:
+            raise KeyError(f"nothing is mounted at {root}")
+        return self._of[root]
+
+    def world(self, root: str) -> Catalog:
+        return self._at(root)[0]
+
+    def name(self, root: str, label: str) -> None:
+        self._at(root)[1] = label
+
+    def label(self, root: str) -> str | None:
+        return self._at(root)[1]
+
+    def roots(self) -> list[str]:
+        return list(self._of)
+
+    def only(self, *roots: str) -> Mounts:
+        """Some of the roots; the worlds are shared, not copied."""
+        return Mounts((root, *self._at(root)) for root in roots)
+
+    def addresses(self, spark: SparkSession) -> DataFrame:
+        """(root, label, address) over all worlds."""
+        rows = [(root, label, address) for root, (world, label) in self._of.items() for address in world.addresses()]
+        return spark.createDataFrame(rows, "root string, label string, address string")
+
+
+def describe(value, cap_bytes: int = 65_536, array_cap: int = 256) -> dict:
+    """{kind, data, note} of a value for a record: a table or list by its first `array_cap` entries, text as it is, else JSON.
+
+    What is over the cap or can't be written as JSON is omitted, and the note says so.
+    """
+    cut: list[int] = []
+
+    def first(v):
+        if isinstance(v, dict):
+            return {k: first(x) for k, x in v.items()}
+        if isinstance(v, list | tuple):
+            if len(v) > array_cap:
+                cut.append(len(v))
+            return [first(x) for x in v[:array_cap]]
+        return v
+
+    if isinstance(value, DataFrame):
+        rows = [json.loads(r[0]) for r in value.select(F.to_json(F.struct(*value.columns))).limit(array_cap + 1).collect()]
+        kind, data = "array", rows[:array_cap]
+        note = f"the first {array_cap} rows" if len(rows) > array_cap else None
+    elif isinstance(value, str):
+        kind, data, note = ("svg" if re.match(r"\s*(<\?xml[^>]*>\s*)?<svg\b", value) else "text"), value, None
+    else:
+        kind, data = "json", first(value.tolist() if hasattr(value, "tolist") else value)
+        note = f"{len(cut)} arrays cut to {array_cap} entries, of {', '.join(map(str, sorted(cut, reverse=True)))}" if cut else None
+    try:
+        size = len(json.dumps(data).encode())
+    except (TypeError, ValueError, RecursionError) as e:
+        return {"kind": "omitted", "data": None, "note": f"{type(value).__name__} can't be written as JSON: {e}"}
+    if size > cap_bytes:
+        return {"kind": "omitted", "data": None, "note": f"{size} bytes are over the cap of {cap_bytes}"}
+    return {"kind": kind, "data": data, "note": note}
+
+
 class Memo:
     """Results by the digest of revision, calculation and arguments: in the session, then as Parquet, then computed."""
 

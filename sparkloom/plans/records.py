@@ -91,3 +91,44 @@ def decide(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
 def fastest(timings: DataFrame) -> DataFrame:
     """(op, elements, engine): the fastest engine of (op, elements, engine, ms)."""
     return timings.groupBy("op", "elements").agg(F.min_by("engine", F.struct("ms", "engine")).alias("engine"))
+
+
+def cat(record: DataFrame, values: DataFrame, address: str) -> DataFrame:
+    """(id, data, note): what the last call that writes `address` left there. values: (id, address, kind, data, note); a value that wasn't
+    kept has no data and says why. No row where nothing writes the address."""
+    last = record.filter(F.array_contains("writes", address)).orderBy(F.desc("position")).limit(1).select("id")
+    own = values.filter(F.col("address") == address).select("id", "kind", "data", "note")
+    kept = F.col("data").isNotNull() & (F.col("kind") != "omitted")
+    return last.join(own, "id", "left").select("id", F.when(kept, F.col("data")).alias("data"), F.when(~F.coalesce(kept, F.lit(False)), F.coalesce("note", F.lit("no value was kept"))).alias("note"))
+
+
+def effects(record: DataFrame, ledgers: DataFrame, tick: str | None = None) -> DataFrame:
+    """(position, tick, id, index, kind, what, digest): each effect of each call in the order in which they happened. ledgers: (id, entries)."""
+    calls = record if tick is None else record.filter(F.col("tick") == tick)
+    each = calls.join(ledgers, "id").select("position", "tick", "id", F.posexplode("entries").alias("index", "e"))
+    return each.select("position", "tick", "id", F.col("index").cast("long").alias("index"), "e.kind", "e.what", "e.digest")
+
+
+def delta(states: DataFrame) -> DataFrame:
+    """Two end states compared. states: (state 'a' or 'b', kind 'capability' or 'cost', name, value). One row a_verified, a_points, a_cost, a_ratio,
+    b_..., verdict: more verified behaviour wins, then more capability points, then less cost; else a tie."""
+    of = lambda test: F.coalesce(F.sum(F.when(test, F.col("value"))), F.lit(0))
+    capable, verified = F.col("kind") == "capability", F.col("name") == "verified"
+    columns = []
+    for s in "ab":
+        own = F.col("state") == s
+        columns += [of(own & capable & verified).alias(f"{s}_verified"), of(own & capable & ~verified).alias(f"{s}_points"), of(own & (F.col("kind") == "cost")).alias(f"{s}_cost")]
+    one = states.agg(*columns)
+    for s in "ab":
+        one = one.withColumn(f"{s}_ratio", F.round(F.try_divide(F.col(f"{s}_verified"), F.nullif(f"{s}_cost", F.lit(0))), 4))
+    worth = lambda s: F.struct(F.col(f"{s}_verified").alias("v"), F.col(f"{s}_points").alias("p"), (-F.col(f"{s}_cost")).alias("c"))
+    return one.withColumn("verdict", F.when(worth("b") > worth("a"), "b").when(worth("a") > worth("b"), "a").otherwise("tie"))
+
+
+def navigate(values: DataFrame) -> DataFrame:
+    """(kind, vertical, n, failed, unjudged) of addresses px.<...>.<kind>.<vertical>...: how many there are, how many oracles failed and
+    how many brackets have no winner. values: (address, pass, winner)."""
+    part = F.split("address", r"\.")
+    rows = values.select(F.get(part, F.lit(3)).alias("kind"), F.get(part, F.lit(4)).alias("vertical"), "pass", "winner")
+    failed = F.count_if((F.col("kind") == "oracle") & ~F.coalesce("pass", F.lit(False)))
+    return rows.groupBy("kind", "vertical").agg(F.count("*").alias("n"), failed.alias("failed"), F.count_if((F.col("kind") == "bracket") & F.col("winner").isNull()).alias("unjudged"))

@@ -150,6 +150,31 @@ def directions(df: DataFrame, columns: Sequence[str]) -> dict | None:
     return {"columns": [c for c, _, _ in kept], "ratio": model["ratio"], "components": model["components"]}
 
 
+def clusters(df: DataFrame, columns: Sequence[str], most: int = 6, seed: int = 7) -> tuple[int, float] | None:
+    """The number of clusters from 2 to `most` of the standardised columns whose silhouette is greatest, and that silhouette, over
+    all complete rows; ties go to fewer clusters. Squared distances make it a sum over clusters, so no pairs are compared."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    live = df.select(*(double(c).alias(c) for c in columns)).na.drop()
+    if not columns or live.distinct().limit(most).count() < most:
+        return None
+    wide = VectorAssembler(inputCols=list(columns), outputCol="raw__").transform(live)
+    ready = StandardScaler(inputCol="raw__", outputCol="features").fit(wide).transform(wide).select("features").persist()
+    try:
+        found = [(ClusteringEvaluator().evaluate(KMeans(k=k, seed=seed).fit(ready).transform(ready)), k) for k in range(2, most + 1)]
+    finally:
+        ready.unpersist()
+    score, k = max(found, key=lambda f: (round(f[0], 9), -f[1]))
+    return k, score
+
+
+def ran(report: DataFrame) -> DataFrame:
+    """(kind, sentences, skipped) of what `study` returns: which parts of the analysis ran, in their order, and what each said."""
+    return report.groupBy("kind").agg(F.min("position").alias("position"), F.count("*").alias("sentences")).select("position", "kind", "sentences", (F.col("kind") == "skipped").alias("skipped"))
+
+
 def study(df: DataFrame, target: str | None = None, key: Sequence[str] = (), seed: int = 7) -> DataFrame:
     """(position, kind, sentence): the whole analysis in words."""
     p = plan(df, target)
@@ -172,6 +197,9 @@ def study(df: DataFrame, target: str | None = None, key: Sequence[str] = (), see
         for k, part in enumerate(found["components"], 1):
             most = sorted(zip(found["columns"], part, strict=True), key=lambda c: -abs(c[1]))[:3]
             said.append(("directions", f"Component {k} is mostly {', '.join(f'{c} ({v:.2f})' for c, v in most)}."))
+    best_k = clusters(df, p.numbers, seed=seed) if len(p.numbers) > 1 else None
+    if best_k:
+        said.append(("clusters", f"The numeric columns fall best into {best_k[0]} clusters (silhouette {best_k[1]:.3f})."))
     ranked = models(df, p, key, seed)
     if ranked:
         best = ranked[0]

@@ -64,7 +64,12 @@ def text_search(t):
     return app.search(rows, ["mold", "category"], "s").select("p_partkey", "score")
 
 
-@query("shelf")
+@query("shelf", """
+    WITH w AS (SELECT l_orderkey || '-' || l_linenumber AS disc_id, l_shipdate, lower(trim(p_name)) AS n, lower(trim(p_brand)) AS b, lower(trim(l_returnflag)) AS c FROM lineitem LEFT JOIN part ON p_partkey = l_partkey),
+    k AS (SELECT *, list_filter(regexp_split_to_array(n, '[^a-z0-9+.''-]+'), lambda x: x <> '') AS nw, list_filter(regexp_split_to_array(b, '[^a-z0-9+.''-]+'), lambda x: x <> '') AS bw FROM w),
+    s AS (SELECT disc_id, l_shipdate, greatest(CASE WHEN list_contains(nw, 'brand') THEN 30.0 WHEN starts_with(n, 'brand') THEN 20.0 WHEN len(list_filter(nw, lambda x: starts_with(x, 'brand'))) > 0 THEN 15.0 WHEN contains(n, 'brand') THEN 10.0 END,
+        CASE WHEN list_contains(bw, 'brand') THEN 21.0 WHEN starts_with(b, 'brand') THEN 14.0 WHEN len(list_filter(bw, lambda x: starts_with(x, 'brand'))) > 0 THEN 11.0 WHEN contains(b, 'brand') THEN 7.0 END, CASE WHEN c = 'brand' THEN 15.0 END)::DOUBLE AS score FROM k)
+    SELECT disc_id, score, (SELECT count(DISTINCT l_shipdate::DATE) FROM w WHERE w.disc_id = s.disc_id) AS bags FROM s WHERE score IS NOT NULL""")
 def shelf(t):
     discs = t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("disc_id"), F.col("l_partkey").alias("mold_id"), F.col("l_returnflag").alias("color"))
     molds = t.part.select(F.col("p_partkey").alias("mold_id"), F.col("p_name").alias("mold"), F.col("p_brand").alias("maker_id"))
@@ -465,7 +470,9 @@ def bind_nearest(t):
     return raster.bind_nearest(h, a)
 
 
-@query("cast_rays")
+@query("cast_rays", f"""
+    WITH h AS ({_HOLES}), b AS (SELECT number AS box, bx - 4 AS x0, byy - 4 AS y0, bx + 4 AS x1, byy + 4 AS y1 FROM h), p AS (SELECT number AS ray, "at", tx + "at" AS px, ty + 0.5 * "at" AS py FROM h, (SELECT unnest(range(0, 61)) AS "at")),
+    m AS (SELECT ray, box, "at"::INT AS "at", row_number() OVER (PARTITION BY ray ORDER BY "at", box) AS k FROM p JOIN b ON px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1) SELECT ray, box, "at" FROM m WHERE k = 1""")
 def cast_rays(t):
     rays = _holes(t).select(F.col("number").alias("ray"), F.col("tx").alias("x"), F.col("ty").alias("y"), F.lit(1.0).alias("dx"), F.lit(0.5).alias("dy"))
     boxes = _holes(t).select(F.col("number").alias("box"), (F.col("bx") - 4).alias("x0"), (F.col("by") - 4).alias("y0"), (F.col("bx") + 4).alias("x1"), (F.col("by") + 4).alias("y1"))
@@ -518,3 +525,57 @@ def row_positions(t):
 def number_summary(t):
     m, d, n = t.supplier.agg(F.avg("s_acctbal"), F.median("s_acctbal"), F.count(F.lit(1))).first()
     return one(t, 2, mean=m, median=d, n=n)
+
+
+@query("record_cat", "SELECT 'sum' AS id, count(*)::VARCHAR AS data, NULL::VARCHAR AS note FROM (SELECT o_custkey FROM orders WHERE o_totalprice >= 100000 GROUP BY 1) UNION ALL SELECT 'name', NULL, 'no value was kept'")
+def record_cat(t):
+    catalog, _, run = _program(t)
+    record = run.to_df(t.spark)
+    values = catalog.read("px.totals").agg(F.count("*").cast("string").alias("data")).select(F.lit("sum").alias("id"), F.lit("px.totals").alias("address"), F.lit("json").alias("kind"), "data", F.lit(None).cast("string").alias("note"))
+    return rec.cat(record, values, "px.totals").union(rec.cat(record, values, "px.named"))
+
+
+@query("record_effects", "SELECT (s_suppkey - 1)::BIGINT AS position, 't' || s_suppkey % 3 AS tick, 'c' || s_suppkey AS id, i AS index, CASE i WHEN 0 THEN 'draw' ELSE 'read' END AS kind, s_name AS what FROM supplier, (SELECT unnest(range(0, 2)) AS i) WHERE i < s_suppkey % 3")
+def record_effects(t):
+    record = t.supplier.selectExpr("s_suppkey - 1 as position", "concat('t', s_suppkey % 3) as tick", "concat('c', s_suppkey) as id")
+    entry = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col("s_name").alias("what"), F.sha2("s_name", 256).alias("digest"))
+    ledgers = t.supplier.select(F.concat(F.lit("c"), "s_suppkey").alias("id"), F.slice(F.array(entry("draw"), entry("read")), F.lit(1), (F.col("s_suppkey") % 3).cast("int")).alias("entries"))
+    return rec.effects(record, ledgers).drop("digest")
+
+
+@query("delta", """
+    WITH s AS (SELECT CASE WHEN l_returnflag = 'A' THEN 'a' ELSE 'b' END AS state, l_linestatus, l_linenumber, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL),
+    v AS (SELECT sum(n) FILTER (state = 'a' AND l_linenumber = 1) AS av, sum(n) FILTER (state = 'a' AND l_linenumber = 2) AS ap, sum(n) FILTER (state = 'a' AND l_linenumber > 2) AS ac, sum(n) FILTER (state = 'b' AND l_linenumber = 1) AS bv, sum(n) FILTER (state = 'b' AND l_linenumber = 2) AS bp, sum(n) FILTER (state = 'b' AND l_linenumber > 2) AS bc FROM s)
+    SELECT av::BIGINT AS a_verified, ap::BIGINT AS a_points, ac::BIGINT AS a_cost, bv::BIGINT AS b_verified, bp::BIGINT AS b_points, bc::BIGINT AS b_cost, round(av / ac, 4) AS a_ratio, round(bv / bc, 4) AS b_ratio,
+        CASE WHEN bv > av OR bv = av AND (bp > ap OR bp = ap AND bc < ac) THEN 'b' WHEN av > bv OR av = bv AND (ap > bp OR ap = bp AND ac < bc) THEN 'a' ELSE 'tie' END AS verdict FROM v""")
+def delta(t):
+    rows = t.lineitem.filter("l_returnflag <> 'N'").groupBy(F.when(F.col("l_returnflag") == "A", "a").otherwise("b").alias("state"), "l_linenumber").agg(F.count("*").alias("value"))
+    kind, name = F.when(F.col("l_linenumber") <= 2, "capability").otherwise("cost"), F.when(F.col("l_linenumber") == 1, "verified").otherwise(F.concat(F.lit("n"), "l_linenumber"))
+    return rec.delta(rows.select("state", kind.alias("kind"), name.alias("name"), "value"))
+
+
+@query("navigate", """
+    WITH v AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'oracle' WHEN 1 THEN 'bracket' ELSE 'bench' END AS kind, o_orderstatus AS vertical, o_custkey % 4 <> 0 AS pass, nullif(o_custkey % 5, 0) AS winner FROM orders)
+    SELECT kind, vertical, count(*) AS n, count(*) FILTER (kind = 'oracle' AND NOT pass) AS failed, count(*) FILTER (kind = 'bracket' AND winner IS NULL) AS unjudged FROM v GROUP BY 1, 2""")
+def navigate(t):
+    kind = F.element_at(F.array(*map(F.lit, ("oracle", "bracket", "bench"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return rec.navigate(t.orders.select(F.concat_ws(".", F.lit("px.exp.brain"), kind, "o_orderstatus", "o_orderkey").alias("address"), (F.col("o_custkey") % 4 != 0).alias("pass"), F.nullif(F.col("o_custkey") % 5, F.lit(0)).alias("winner")))
+
+
+@query("mounts", "SELECT * FROM (VALUES ('north', 'Upper', 'px.orders'), ('north', 'Upper', 'px.customer'), ('north', 'Upper', 'px.kept'), ('north', 'Upper', 'px.totals'), ('north', 'Upper', 'px.named'), ('south', NULL, 'px.nation')) v(root, label, address)")
+def mounts(t):
+    other = prog.Catalog()
+    other.write("px.nation", t.nation)
+    world = prog.Mounts([("north", _program(t)[0], "Upper"), ("south", other, None)])
+    return world.addresses(t.spark).filter("address not like 'px.receipt.%'")
+
+
+@query("described", "SELECT 'array' AS kind, 5::BIGINT AS entries, true AS whole UNION ALL SELECT 'array', 20, false UNION ALL SELECT 'json', 20, false UNION ALL SELECT 'text', 8, true")
+def described(t):
+    made = [prog.describe(v, array_cap=20) for v in (t.region, t.nation, list(range(50)), "as it is")]
+    return t.spark.createDataFrame([(d["kind"], len(d["data"]), d["note"] is None) for d in made], "kind string, entries long, whole boolean")
+
+
+@query("study_ran")
+def study_ran(t):
+    return auto.ran(auto.study(t.supplier.select("s_suppkey", "s_acctbal", "s_nationkey"), "s_acctbal"))
