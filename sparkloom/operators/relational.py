@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..table import require, unique
+from ..table import require, salted_join, unique, with_position, with_running
 
 Clause = tuple  # (column, comparison, value)
 
@@ -84,7 +84,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str] = ()
     backward takes the last right key at or before, forward the first at or after, nearest the closer (ties go
     backward). Equal right keys: the last in the order of `tie` going backward, the first going forward. A null
     left key gets nulls, null right keys are dropped. One shuffle on `by`: both sides are unioned and
-    carried along a window, so no pair of rows is ever built.
+    carried along a window, so no pair of rows is ever built. Without `by`, rows go by ranges of the key.
     """
     if direction not in ("backward", "forward", "nearest"):
         raise ValueError(f"direction is {direction!r}; it can be backward, forward or nearest")
@@ -102,10 +102,14 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str] = ()
     l = left.select(*keys, F.col(on).alias("on__"), F.lit(1).alias("side__"), F.lit(None).cast(order_type).alias("tie__"), row_l.alias("l__"), none_r.alias("r__"))
     r = right.filter(F.col(on).isNotNull()).select(*keys, F.col(on).alias("on__"), F.lit(0).alias("side__"), order_r.alias("tie__"), none_l.alias("l__"), row_r.alias("r__"))
     both, part = l.unionByName(r), [f"by__{k}" for k in range(len(by))]
-    back = Window.partitionBy(*part).orderBy(F.col("on__"), F.col("side__"), F.col("tie__")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*part).orderBy(F.col("on__").desc(), F.col("side__"), F.col("tie__").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("b__", F.last("r__", True).over(back)) if direction != "forward" else both.withColumn("b__", none_r)
-    both = both.withColumn("f__", F.last("r__", True).over(ahead)) if direction != "backward" else both.withColumn("f__", none_r)
+    back, ahead = [F.col("on__"), F.col("side__"), F.col("tie__")], [F.col("on__").desc(), F.col("side__"), F.col("tie__").desc()]
+    for name, order, skipped in (("b__", back, "forward"), ("f__", ahead, "backward")):
+        if direction == skipped:
+            both = both.withColumn(name, none_r)
+        elif part:
+            both = both.withColumn(name, F.last("r__", True).over(Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+        else:
+            both = _last_right(both, order, name)
     gap_b, gap_f = F.col("on__") - F.col("b__.key__"), F.col("f__.key__") - F.col("on__")
     best = {"backward": F.col("b__"), "forward": F.col("f__"), "nearest": F.when(F.col("f__").isNull() | (gap_b <= gap_f), F.col("b__")).otherwise(F.col("f__"))}[direction]
     found = both.filter("side__ = 1").withColumn("m__", F.when(F.col("on__").isNotNull(), best))
@@ -115,6 +119,18 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str] = ()
     return found.select(*out, *(F.col(f"m__.r__{c}").alias(c + suffixes[1] if c in clash else c) for c in rest))
 
 
+def _last_right(both: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """`both` with the r__ of the last right row (side__ 0) up to each row in the order: rows are numbered by ranges of the order, a running
+    maximum says the number of that right row, and the two meet in a salted join. No task sees the whole table."""
+    numbered = with_position(both, order, "pos__")
+    run = with_running(numbered, ["pos__"], {"at__": ("max", F.when(F.col("side__") == 0, F.col("pos__")))})
+    rights = numbered.filter("side__ = 0").select(F.col("pos__").alias("at__"), F.col("r__").alias(name))
+    met = run.filter("at__ is not null")
+    out = salted_join(met, rights, ["at__"], met.groupBy("at__").agg(F.count("*").alias("n")), "pos__")
+    early = run.filter("at__ is null").withColumn(name, F.lit(None).cast(both.schema["r__"].dataType))
+    return out.unionByName(early).drop("at__", "pos__")
+
+
 def containment_join(anchors: DataFrame, candidates: DataFrame, cell: float, frame: str = "frame") -> DataFrame:
     """Theta join of bounding boxes (id, frame, x0, y0, x1, y1): candidates inside an anchor of the same frame.
 

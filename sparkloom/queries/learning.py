@@ -228,6 +228,14 @@ def lasso_zero(t):
     return t.spark.createDataFrame(list(zip(f["names"], f["coefficients"], strict=True)), "name string, coefficient double").withColumn("coefficient", r("coefficient"))
 
 
+@query("lasso_one", """
+    WITH s AS (SELECT regr_sxy(l_extendedprice, l_quantity) AS xy, regr_sxx(l_extendedprice, l_quantity) AS xx, avg(l_extendedprice) AS y, avg(l_quantity) AS x, count(*) AS n FROM lineitem), a AS (SELECT unnest([1.0, 1000.0, 1e9])::DOUBLE AS alpha),
+    b AS (SELECT alpha, sign(xy) * greatest(abs(xy) - alpha * n, 0) / xx AS b, x, y FROM s, a)
+    SELECT alpha, 'intercept' AS name, round(y - b * x, 2) + 0.0 AS coefficient FROM b UNION ALL SELECT alpha, 'l_quantity', round(b, 2) + 0.0 FROM b""")
+def lasso_one(t):
+    return ml.lasso_path(t.lineitem, ["l_quantity"], "l_extendedprice", (1.0, 1000.0, 1e9)).withColumn("coefficient", r("coefficient", 2))
+
+
 @query("lasso_path")
 def lasso_path(t):
     return ml.lasso_path(t.lineitem, ["l_quantity", "l_tax"], "l_extendedprice", (1.0, 100.0, 10000.0)).withColumn("coefficient", r("coefficient"))

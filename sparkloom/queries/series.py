@@ -144,6 +144,21 @@ def cross_correlation(t):
     return win.cross_correlation(daily(t), "total", "n", ["day"], 5).select("lag", r("ccf", 6).alias("ccf"))
 
 
+@query("pacf_three", f"""
+    WITH {_DAILY}, c AS (SELECT k, total - (SELECT avg(total) FROM daily) AS u FROM daily), a AS (SELECT (SELECT sum(a.u * b.u) FROM c a JOIN c b ON a.k = b.k + 1) / sum(u * u) AS r1, (SELECT sum(a.u * b.u) FROM c a JOIN c b ON a.k = b.k + 2) / sum(u * u) AS r2, (SELECT sum(a.u * b.u) FROM c a JOIN c b ON a.k = b.k + 3) / sum(u * u) AS r3 FROM c),
+    p AS (SELECT 0 AS lag, 1.0::DOUBLE AS v FROM a UNION ALL SELECT 1, r1 FROM a UNION ALL SELECT 2, (r2 - r1 ^ 2) / (1 - r1 ^ 2) FROM a UNION ALL SELECT 3, (r3 - 2 * r1 * r2 + r1 ^ 3 + r1 * r2 ^ 2 - r1 ^ 2 * r3) / (1 - 2 * r1 ^ 2 - r2 ^ 2 + 2 * r1 ^ 2 * r2) FROM a)
+    SELECT lag, round(v, 6) + 0.0 AS pacf FROM p""")
+def pacf_three(t):
+    return win.pacf(daily(t), "total", ["day"], 3).select("lag", r("pacf", 6).alias("pacf"))
+
+
+@query("ewma_whole_mean", "SELECT user_id, round(avg(value), 4) + 0.0 AS mean FROM events GROUP BY 1")
+def ewma_whole_mean(t):
+    """With a span so long that nothing decays, the last mean of a series is the plain one."""
+    out = win.ewma(t.events, "value", "x", _EO, _EP, span=1e12)
+    return out.groupBy("user_id").agg(r(F.max_by("x", F.struct("ts", "event_id"))).alias("mean"))
+
+
 @query("pacf")
 def pacf(t):
     return win.pacf(daily(t), "total", ["day"], 5).select("lag", r("pacf", 6).alias("pacf"))

@@ -318,6 +318,16 @@ def ridge(t):
     return one(t, 4, slope=reg.ridge(t.lineitem, ["l_quantity"], "l_extendedprice", 100.0)["coefficients"][1])
 
 
+@query("ols_two", """
+    WITH m AS (SELECT avg(l_quantity) AS a, avg(l_tax) AS b, avg(l_extendedprice) AS y FROM lineitem), c AS (SELECT l_quantity - a AS a, l_tax - b AS b, l_extendedprice - y AS y FROM lineitem, m),
+    s AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS by_, sum(y * y) AS yy, count(*) AS n FROM c), f AS (SELECT *, (bb * ay - ab * by_) / (aa * bb - ab ^ 2) AS p, (aa * by_ - ab * ay) / (aa * bb - ab ^ 2) AS q FROM s)
+    SELECT round(m.y - p * m.a - q * m.b, 3) + 0.0 AS intercept, round(p, 4) + 0.0 AS quantity, round(q, 3) + 0.0 AS tax, round(sqrt((yy - p * ay - q * by_) / (n - 3) * bb / (aa * bb - ab ^ 2)), 6) + 0.0 AS stderr, round((p * ay + q * by_) / yy, 8) + 0.0 AS r2 FROM f, m""")
+def ols_two(t):
+    f = reg.ols(t.lineitem, ["l_quantity", "l_tax"], "l_extendedprice", solver="qr")
+    out = one(t, 8, intercept=f["coefficients"][0], quantity=f["coefficients"][1], tax=f["coefficients"][2], stderr=f["stderr"][1], r2=f["r2"])
+    return out.select(r("intercept", 3).alias("intercept"), r("quantity", 4).alias("quantity"), r("tax", 3).alias("tax"), r("stderr", 6).alias("stderr"), "r2")
+
+
 @query("ols_many")
 def ols_many(t):
     f = reg.ols(t.lineitem, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")

@@ -427,6 +427,42 @@ def raster_mask(t):
     return raster.hsv_mask(_pixels(t), "black", value_max=130)
 
 
+@query("raster_saturation", f"SELECT x, y, CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE round_even(255.0 * (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b), 0) END::INT AS s FROM ({_PIX})")
+def raster_saturation(t):
+    return _pixels(t).select("x", "y", raster.saturation().alias("s"))
+
+
+@query("raster_crop", f"SELECT x - 10 AS x, y - 5 AS y, r, g, b FROM ({_PIX}) WHERE x BETWEEN 10 AND 40 AND y BETWEEN 5 AND 30")
+def raster_crop(t):
+    return raster.crop(_pixels(t), 10, 5, 40, 30)
+
+
+@query("raster_crop_bounds", f"SELECT min(y) AS y0, max(y) AS y1 FROM (SELECT y, stddev_pop(round(0.299 * r + 0.587 * g + 0.114 * b)) AS s FROM ({_PIX}) GROUP BY 1) WHERE s >= 10")
+def raster_crop_bounds(t):
+    return raster.crop_bounds(_pixels(t), 10.0)
+
+
+@query("modal", "WITH c AS (SELECT p_size, count(*) AS n FROM part GROUP BY 1) SELECT CASE WHEN (SELECT count(*) FROM c WHERE n = (SELECT max(n) FROM c)) = 1 THEN (SELECT p_size FROM c ORDER BY n DESC LIMIT 1) END AS p_size")
+def modal(t):
+    return raster.modal(t.part, "p_size")
+
+
+@query("select_components", "WITH b AS (SELECT s_suppkey AS label, 3 + s_suppkey % 9 AS w, 2 + s_suppkey % 6 AS h, s_suppkey % 10 / 10 AS f FROM supplier) SELECT label, concat_ws(';', CASE WHEN w NOT BETWEEN 4 AND 9 THEN 'width outside range' END, CASE WHEN h NOT BETWEEN 3 AND 6 THEN 'height outside range' END, CASE WHEN w / h NOT BETWEEN 0.8 AND 2.5 THEN 'aspect outside range' END, CASE WHEN f < 0.3 THEN 'fill below minimum' END) AS reasons FROM b")
+def select_components(t):
+    stats = t.supplier.selectExpr("s_suppkey as label", "3 + s_suppkey % 9 as w", "2 + s_suppkey % 6 as h", "s_suppkey % 10 / 10 as fill")
+    return raster.select_components(stats, (4, 9), (3, 6), (0.8, 2.5), 0.3).select("label", F.array_join("reasons", ";").alias("reasons"))
+
+
+@query("place_order", "WITH o AS (SELECT n_name AS entry, n_nationkey + 1 AS place FROM nation WHERE n_nationkey % 2 = 0), t AS (SELECT entry, place FROM o WHERE entry <> 'NATION_4' UNION ALL SELECT 'NATION_4', 1000 WHERE NOT EXISTS (SELECT 1 FROM o WHERE entry = 'NATION_4')) SELECT entry, row_number() OVER (ORDER BY place, entry) AS place FROM t")
+def place_order(t):
+    return app.place_order(t.nation.filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("entry"), (F.col("n_nationkey") + 1).alias("place")), "NATION_4")
+
+
+@query("cap_status", "SELECT s_nationkey, CASE WHEN count(*) > 4 THEN 'fail' WHEN count(*) = 4 THEN 'pass' ELSE 'pending' END AS status FROM supplier GROUP BY 1")
+def cap_status(t):
+    return t.supplier.groupBy("s_nationkey").agg(F.count("*").alias("n")).select("s_nationkey", app.cap(F.col("n"), 4).alias("status"))
+
+
 @query("raster_components", f"""
     WITH RECURSIVE m AS ({_MASK}), e AS (SELECT a.y * 60 + a.x AS a, b.y * 60 + b.x AS b FROM m a JOIN m b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1), w AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, w.root FROM w JOIN e ON e.a = w.node)
     SELECT root AS label, count(*) AS area FROM (SELECT node, min(root)::BIGINT AS root FROM w GROUP BY 1) GROUP BY 1""")

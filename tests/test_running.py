@@ -67,3 +67,17 @@ def test_quadratic_operators_refuse_more_rows(spark, monkeypatch):
     monkeypatch.setattr(st, "PAIR_ROWS", 10)
     with pytest.raises(ValueError, match="all pairs"):
         st.kendall(spark.range(11).selectExpr("id", "double(id) as x", "double(-id) as y"), "x", "y", "id")
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
+def test_asof_without_keys_is_the_keyed_one(spark, monkeypatch, direction):
+    from sparkloom.operators import relational as rel
+
+    monkeypatch.setattr(table, "KEY_ROWS", 3)
+    rng = random.Random(direction)
+    left = spark.createDataFrame([(i, rng.choice([None, rng.randrange(-5, 60)])) for i in range(60)], "i long, t long").repartition(4)
+    right = spark.createDataFrame([(rng.choice([None, rng.randrange(10, 40)]), j) for j in range(25)], "t long, j long").repartition(3)
+    one = lambda df: df.withColumn("k", F.lit(1))
+    want = rel.asof_join(one(left), one(right), "t", ["k"], direction, tie=["j"]).select("i", "j")
+    got = rel.asof_join(left, right, "t", (), direction, tie=["j"]).select("i", "j")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
