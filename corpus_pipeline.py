@@ -5,7 +5,9 @@
     near_dedup     keeps one document of each group of near duplicates
     packing        packs what is left into sequences of 4096 tokens
 
-Every stage works on all rows that its predecessor kept; all but the last return the columns of documents.
+Every stage works on all rows that its predecessor kept; all but the last return the columns of documents. In all of
+them other columns are carried along whatever their names, an empty table gives no rows, and a text of any length is
+taken whole.
 """
 
 from __future__ import annotations
@@ -27,22 +29,25 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score under 0.5. A null or empty text isn't toxic."""
+    """Documents with a toxicity score under 0.5. A null or empty text has the score of the bias alone, which is low where few
+    labelled documents are toxic. Repeated rows are scored each; a null doc_id is a document like others."""
     return tox.reject_toxic(docs, tox.train(docs, _labels(spark, sf_dir)))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score of 0.3 or more."""
+    """Documents with a quality score of 0.3 or more. A null or empty text is scored by its statistics, all zero. Repeated rows are
+    scored each; a null doc_id is a document like others."""
     return quality_classifier.reject_low_quality(docs, quality_classifier.train(docs, _labels(spark, sf_dir)))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates."""
+    """The document with the smallest doc_id of each group of near duplicates, once where it is repeated. Documents without words are in
+    no group and stay; another text under a dropped document's doc_id stays; a null doc_id is the smallest only of a group of nulls."""
     return near_dedup.drop_near_duplicates(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document in a sequence."""
+    """One row per piece of a document in a sequence. A null or empty text is its end id alone; repeated rows are packed each."""
     return packing.packing(docs, bpe.vocabulary("word_bpe_49k.json"))
 
 
