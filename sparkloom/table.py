@@ -145,11 +145,11 @@ def salted_join(rows: DataFrame, unique: DataFrame, keys: list[str], counts: Dat
     HOT_KEYSth of all rows is hot, so fewer than HOT_KEYS are, whatever the input: that bounds what is broadcast.
     Their rows go to as many tasks as they fill, and the one row that they meet is copied as often.
     """
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total, largest = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     most = max(KEY_ROWS, total // HOT_KEYS)
-    hot = counts.filter(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("salts"))
-    if total <= KEY_ROWS or not hot.limit(1).count():
+    if largest <= most:
         return rows.join(unique, keys, how)
+    hot = counts.filter(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("salts"))
     hot, salts = F.broadcast(hot), F.coalesce("salts", F.lit(1))
     left = rows.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("salts")
     right = unique.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
