@@ -229,81 +229,6 @@ def slots_of(page: str, template: set[int]) -> tuple[list[tuple[int, list[str]]]
     return slots, whole, seen_main
 
 
-def slots_of(page: str, template: set[int]) -> tuple[list[tuple[int, list[str]]], list[str], bool]:
-    """The slots of a page, the text of its main element template and all, and whether it has a main element.
-
-    A slot is what lies between two template tokens, tags or texts, in page order: (rank, blocks). Where the template
-    leaves a stretch whole, as on a host with few pages, text of another rank begins another slot.
-    """
-    slots, whole, seen_main, cut = [], [], False, True
-    for event in blocks(page):
-        if event[0] == "tag":
-            seen_main |= event[1].rank == 0
-            cut |= event[1].path in template
-            continue
-        _, text, node = event
-        if node.rank == 0:
-            whole.append(text)
-        if digest(text, node.path & (1 << 63) - 1) in template:
-            cut = True
-        elif cut or slots[-1][0] != node.rank:
-            slots.append((node.rank, [text]))
-            cut = False
-        else:
-            slots[-1][1].append(text)
-    return slots, whole, seen_main
-
-
-def slots_of(page: str, template: set[int]) -> tuple[list[tuple[int, list[str]]], list[str], bool]:
-    """The slots of a page, the text of its main element template and all, and whether it has a main element.
-
-    A slot is what lies between two template tokens, tags or texts, in page order: (rank, blocks). Where the template
-    leaves a stretch whole, as on a host with few pages, text of another rank begins another slot.
-    """
-    slots, whole, seen_main, cut = [], [], False, True
-    for event in blocks(page):
-        if event[0] == "tag":
-            seen_main |= event[1].rank == 0
-            cut |= event[1].path in template
-            continue
-        _, text, node = event
-        if node.rank == 0:
-            whole.append(text)
-        if digest(text, node.path & (1 << 63) - 1) in template:
-            cut = True
-        elif cut or slots[-1][0] != node.rank:
-            slots.append((node.rank, [text]))
-            cut = False
-        else:
-            slots[-1][1].append(text)
-    return slots, whole, seen_main
-
-
-def slots_of(page: str, template: set[int]) -> tuple[list[tuple[int, list[str]]], list[str], bool]:
-    """The slots of a page, the text of its main element template and all, and whether it has a main element.
-
-    A slot is what lies between two template tokens, tags or texts, in page order: (rank, blocks). Where the template
-    leaves a stretch whole, as on a host with few pages, text of another rank begins another slot.
-    """
-    slots, whole, seen_main, cut = [], [], False, True
-    for event in blocks(page):
-        if event[0] == "tag":
-            seen_main |= event[1].rank == 0
-            cut |= event[1].path in template
-            continue
-        _, text, node = event
-        if node.rank == 0:
-            whole.append(text)
-        if digest(text, node.path & (1 << 63) - 1) in template:
-            cut = True
-        elif cut or slots[-1][0] != node.rank:
-            slots.append((node.rank, [text]))
-            cut = False
-        else:
-            slots[-1][1].append(text)
-    return slots, whole, seen_main
-
-
 def main_text(page: str, template: set[int]) -> str:
     """The text of the best slots, blocks joined by one space.
 

@@ -139,180 +139,6 @@ def test_long_turns_are_read_in_one_pass():
         assert chat.parse(chat.render("assistant", text)) == [("assistant", text)]
 
 
-def brute_template(pages, share=0.6, least=3):
-    """Tokens of the valid classes of one host: equal occurrence vectors over its distinct pages, compared as vectors."""
-    pages = sorted(set(pages))
-    counts, parent, size = {}, {}, {}
-    for k, page in enumerate(pages):
-        for event in html_extract.blocks(page):
-            if event[0] == "tag":
-                token, parent[token], size[token] = event[1].path, event[1].parent, 2
-            else:
-                token = html_extract.digest(event[1], event[2].path & (1 << 63) - 1)
-                parent[token], size[token] = event[2].path, 1 + (" " in event[1])
-            counts.setdefault(token, [0] * len(pages))[k] += 1
-    frequent = {t: tuple(v) for t, v in counts.items() if sum(map(bool, v)) >= max(least, share * len(pages))}
-    found = {t for t, v in frequent.items() if sum(size[u] for u, w in frequent.items() if w == v) > 1}
-    while bad := {t for t in found if parent[t] and parent[t] not in found}:
-        found -= bad
-    return found
-
-
-def test_equivalence_classes_match_brute_force(spark):
-    import random
-
-    rng, rows, hosts = random.Random(11), [], {}
-    for h in range(4):
-        for _ in range(3 + 3 * h):
-            body = "".join(rng.choice([f"<p>own {rng.random()}</p>", "<p>shared words</p>", "<div class=box><p>one</p></div>", "<ul><li>a b</li><li>c</li></ul>", "<table><tr><td>x y</td></table>"]) for _ in range(rng.randrange(1, 6)))
-            page = f"<body><div id=top>Site {h}</div><article>{body}</article><div>end of page</div></body>"
-            hosts.setdefault(f"h{h}", []).append(page)
-            rows += [(len(rows) + k, f"http://h{h}/", page) for k in range(rng.choice([1, 1, 2, 4]))]
-    known = {r.host: html_extract.nested([t.asDict() for t in r.tokens]) for r in html_extract.templates(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
-    assert len(known) == 4 and all(known.values())
-    for host, pages in hosts.items():
-        assert known[host] == brute_template(pages), host
-    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert out == {i: html_extract.main_text(p, brute_template(hosts[u.split("/")[2]])) for i, u, p in rows}
-
-
-def test_slots_lie_between_template_tokens():
-    pages = [f"<body><div class=top>Site</div><div><p>first {i}</p><p>second {i}</p></div><section><p>third {i}</p></section></body>" for i in range(4)]
-    template = brute_template(pages)
-    assert [t for _, t in html_extract.slots_of(pages[0], template)[0]] == [["first 0"], ["second 0"], ["third 0"]]
-    assert [t for _, t in html_extract.slots_of(pages[0], set())[0]] == [["Site"], ["Site", "first 0", "second 0", "third 0"]][1:]
-
-
-@pytest.mark.parametrize("page", ["<a " * 200_000, "<!" * 200_000, "<x" * 200_000, "<a '" * 100_001, '<a x="' * 100_001, "<div>" * 50_000 + "</p>" * 50_000, "<b><div>" * 50_000, "<b>" * 100_000 + "<p>x", "</script " * 100_000, "<script>" + "</script" * 100_000, "&" * 500_000, "<" + "y" * 500_000])
-def test_long_broken_markup_is_read_in_one_pass(page):
-    import time
-
-    t = time.perf_counter()
-    html_extract.main_text(page, set())
-    assert time.perf_counter() - t < 10
-
-
-def test_long_turns_are_read_in_one_pass():
-    for text in ("\\" * 1_000_000, "\\" * 500_000 + "###", ("\\" * 50 + "###") * 20_000, "#" * 1_000_000):
-        assert chat.parse(chat.render("assistant", text)) == [("assistant", text)]
-
-
-def brute_template(pages, share=0.6, least=3):
-    """Tokens of the valid classes of one host: equal occurrence vectors over its distinct pages, compared as vectors."""
-    pages = sorted(set(pages))
-    counts, parent, size = {}, {}, {}
-    for k, page in enumerate(pages):
-        for event in html_extract.blocks(page):
-            if event[0] == "tag":
-                token, parent[token], size[token] = event[1].path, event[1].parent, 2
-            else:
-                token = html_extract.digest(event[1], event[2].path & (1 << 63) - 1)
-                parent[token], size[token] = event[2].path, 1 + (" " in event[1])
-            counts.setdefault(token, [0] * len(pages))[k] += 1
-    frequent = {t: tuple(v) for t, v in counts.items() if sum(map(bool, v)) >= max(least, share * len(pages))}
-    found = {t for t, v in frequent.items() if sum(size[u] for u, w in frequent.items() if w == v) > 1}
-    while bad := {t for t in found if parent[t] and parent[t] not in found}:
-        found -= bad
-    return found
-
-
-def test_equivalence_classes_match_brute_force(spark):
-    import random
-
-    rng, rows, hosts = random.Random(11), [], {}
-    for h in range(4):
-        for _ in range(3 + 3 * h):
-            body = "".join(rng.choice([f"<p>own {rng.random()}</p>", "<p>shared words</p>", "<div class=box><p>one</p></div>", "<ul><li>a b</li><li>c</li></ul>", "<table><tr><td>x y</td></table>"]) for _ in range(rng.randrange(1, 6)))
-            page = f"<body><div id=top>Site {h}</div><article>{body}</article><div>end of page</div></body>"
-            hosts.setdefault(f"h{h}", []).append(page)
-            rows += [(len(rows) + k, f"http://h{h}/", page) for k in range(rng.choice([1, 1, 2, 4]))]
-    known = {r.host: html_extract.nested([t.asDict() for t in r.tokens]) for r in html_extract.templates(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
-    assert len(known) == 4 and all(known.values())
-    for host, pages in hosts.items():
-        assert known[host] == brute_template(pages), host
-    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert out == {i: html_extract.main_text(p, brute_template(hosts[u.split("/")[2]])) for i, u, p in rows}
-
-
-def test_slots_lie_between_template_tokens():
-    pages = [f"<body><div class=top>Site</div><div><p>first {i}</p><p>second {i}</p></div><section><p>third {i}</p></section></body>" for i in range(4)]
-    template = brute_template(pages)
-    assert [t for _, t in html_extract.slots_of(pages[0], template)[0]] == [["first 0"], ["second 0"], ["third 0"]]
-    assert [t for _, t in html_extract.slots_of(pages[0], set())[0]] == [["Site"], ["Site", "first 0", "second 0", "third 0"]][1:]
-
-
-@pytest.mark.parametrize("page", ["<a " * 200_000, "<!" * 200_000, "<x" * 200_000, "<a '" * 100_001, '<a x="' * 100_001, "<div>" * 50_000 + "</p>" * 50_000, "<b><div>" * 50_000, "<b>" * 100_000 + "<p>x", "</script " * 100_000, "<script>" + "</script" * 100_000, "&" * 500_000, "<" + "y" * 500_000])
-def test_long_broken_markup_is_read_in_one_pass(page):
-    import time
-
-    t = time.perf_counter()
-    html_extract.main_text(page, set())
-    assert time.perf_counter() - t < 10
-
-
-def test_long_turns_are_read_in_one_pass():
-    for text in ("\\" * 1_000_000, "\\" * 500_000 + "###", ("\\" * 50 + "###") * 20_000, "#" * 1_000_000):
-        assert chat.parse(chat.render("assistant", text)) == [("assistant", text)]
-
-
-def brute_template(pages, share=0.6, least=3):
-    """Tokens of the valid classes of one host: equal occurrence vectors over its distinct pages, compared as vectors."""
-    pages = sorted(set(pages))
-    counts, parent, size = {}, {}, {}
-    for k, page in enumerate(pages):
-        for event in html_extract.blocks(page):
-            if event[0] == "tag":
-                token, parent[token], size[token] = event[1].path, event[1].parent, 2
-            else:
-                token = html_extract.digest(event[1], event[2].path & (1 << 63) - 1)
-                parent[token], size[token] = event[2].path, 1 + (" " in event[1])
-            counts.setdefault(token, [0] * len(pages))[k] += 1
-    frequent = {t: tuple(v) for t, v in counts.items() if sum(map(bool, v)) >= max(least, share * len(pages))}
-    found = {t for t, v in frequent.items() if sum(size[u] for u, w in frequent.items() if w == v) > 1}
-    while bad := {t for t in found if parent[t] and parent[t] not in found}:
-        found -= bad
-    return found
-
-
-def test_equivalence_classes_match_brute_force(spark):
-    import random
-
-    rng, rows, hosts = random.Random(11), [], {}
-    for h in range(4):
-        for _ in range(3 + 3 * h):
-            body = "".join(rng.choice([f"<p>own {rng.random()}</p>", "<p>shared words</p>", "<div class=box><p>one</p></div>", "<ul><li>a b</li><li>c</li></ul>", "<table><tr><td>x y</td></table>"]) for _ in range(rng.randrange(1, 6)))
-            page = f"<body><div id=top>Site {h}</div><article>{body}</article><div>end of page</div></body>"
-            hosts.setdefault(f"h{h}", []).append(page)
-            rows += [(len(rows) + k, f"http://h{h}/", page) for k in range(rng.choice([1, 1, 2, 4]))]
-    known = {r.host: html_extract.nested([t.asDict() for t in r.tokens]) for r in html_extract.templates(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
-    assert len(known) == 4 and all(known.values())
-    for host, pages in hosts.items():
-        assert known[host] == brute_template(pages), host
-    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert out == {i: html_extract.main_text(p, brute_template(hosts[u.split("/")[2]])) for i, u, p in rows}
-
-
-def test_slots_lie_between_template_tokens():
-    pages = [f"<body><div class=top>Site</div><div><p>first {i}</p><p>second {i}</p></div><section><p>third {i}</p></section></body>" for i in range(4)]
-    template = brute_template(pages)
-    assert [t for _, t in html_extract.slots_of(pages[0], template)[0]] == [["first 0"], ["second 0"], ["third 0"]]
-    assert [t for _, t in html_extract.slots_of(pages[0], set())[0]] == [["Site"], ["Site", "first 0", "second 0", "third 0"]][1:]
-
-
-@pytest.mark.parametrize("page", ["<a " * 200_000, "<!" * 200_000, "<x" * 200_000, "<a '" * 100_001, '<a x="' * 100_001, "<div>" * 50_000 + "</p>" * 50_000, "<b><div>" * 50_000, "<b>" * 100_000 + "<p>x", "</script " * 100_000, "<script>" + "</script" * 100_000, "&" * 500_000, "<" + "y" * 500_000])
-def test_long_broken_markup_is_read_in_one_pass(page):
-    import time
-
-    t = time.perf_counter()
-    html_extract.main_text(page, set())
-    assert time.perf_counter() - t < 10
-
-
-def test_long_turns_are_read_in_one_pass():
-    for text in ("\\" * 1_000_000, "\\" * 500_000 + "###", ("\\" * 50 + "###") * 20_000, "#" * 1_000_000):
-        assert chat.parse(chat.render("assistant", text)) == [("assistant", text)]
-
-
 URLS = [
     ("http://A.Example.NET/en/x?y#z", "a.example.net", "/en/x", "example.net/en/", "allow"), ("https://example.net/de/", "example.net", "/de/", "net/", "block"),
     ("http://x.example.com/de/1", "x.example.com", "/de/1", "example.com/de/", "block"), ("http://notexample.com/de/", "notexample.com", "/de/", None, "allow"),
