@@ -242,7 +242,8 @@ def membership_runs(df: DataFrame, day: str, member: str, partition: Sequence[st
 
 
 def sessions(df: DataFrame, ts: str, partition: Sequence[str], gap_seconds: int) -> DataFrame:
-    """Adds session (0-based): a pause longer than the gap begins a new one."""
+    """Adds session (0-based): a pause longer than the gap, between times rounded to seconds (halves to even), begins a new one."""
     w = Window.partitionBy(*partition).orderBy(ts)
-    pause = F.unix_timestamp(ts) - F.unix_timestamp(F.lag(ts).over(w))
+    second = F.rint(F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
+    pause = second - F.lag(second).over(w)
     return df.withColumn("new__", F.coalesce((pause > gap_seconds).cast("int"), F.lit(0))).withColumn("session", F.sum("new__").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new__")

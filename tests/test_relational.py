@@ -115,3 +115,11 @@ def test_aggregates_by_order(spark):
     df = spark.createDataFrame([(1, None), (2, 5.0), (3, 6.0), (4, None)], "k int, v double")
     r = df.agg(ag.aggregate("first", "v", ["k"]).alias("f"), ag.aggregate("last", "v", ["k"]).alias("l"), F.lit(1)).first()
     assert (r.f, r.l) == (5.0, 6.0)
+
+
+def test_sessions_round_to_seconds_as_their_sql(spark):
+    at = ["2024-01-01 00:00:00.6", "2024-01-01 02:00:01.4", "2024-01-01 04:00:01.4", "2024-01-01 06:00:01.5", "2024-01-01 08:00:02.4"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(at)], "k long, t string").selectExpr("k", "to_timestamp(t) as t", "1 as u")
+    assert rows(win.sessions(df, "t", ["u"], 7200).select("k", "session")) == [(0, 0), (1, 0), (2, 0), (3, 1), (4, 1)]
+    tied = df.unionByName(df.withColumn("k", df.k + 10)).unionByName(df.withColumn("k", df.k + 20))
+    assert {(k % 10, s) for k, s in rows(win.sessions(tied, "t", ["u"], 7200).select("k", "session"))} == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 1)}
