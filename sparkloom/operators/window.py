@@ -206,20 +206,27 @@ def pacf(df: DataFrame, column: str, order: Sequence[str], nlags: int = 10) -> D
 
 
 def ar_fit(df: DataFrame, column: str, order: Sequence[str], p: int = 1, intercept: bool = True) -> dict:
-    """Least squares on p lags: Spark sums the products, the driver solves p + 1 equations. coefficients, intercept, sigma2, r2, last."""
+    """Least squares on p lags: Spark sums the products, the driver solves p equations. coefficients, intercept, sigma2, r2, last.
+
+    With an intercept, the products are of centred columns, and each column is scaled to length 1 before the rank is taken, so neither
+    the unit nor the level of the series makes a design singular.
+    """
     near, w = neighbourhoods(df.select(*order, double(column).alias("y")), order, before=p)
     lags = near.select("y", "halo__", *(F.lag("y", k).over(w).alias(f"x{k}") for k in range(1, p + 1))).filter("not halo__").drop("halo__").na.drop()
-    terms = (["one"] if intercept else []) + [f"x{k}" for k in range(1, p + 1)]
-    z = lags.withColumn("one", F.lit(1.0))
-    sums = z.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"), *(F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a in terms for b in [*terms, "y"])).first()
-    gram, right = np.array([[sums[f"{a}_{b}"] for b in terms] for a in terms], float), np.array([sums[f"{a}_y"] for a in terms], float)
-    if np.linalg.matrix_rank(gram) < len(terms):
+    terms = [f"x{k}" for k in range(1, p + 1)]
+    first = lags.agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in ["y", *terms])).first()
+    n, mean = first["n"], {c: first[c] or 0.0 for c in ["y", *terms]}
+    off = {c: F.col(c) - (mean[c] if intercept else 0.0) for c in ["y", *terms]}
+    sums = lags.agg(F.sum(off["y"] * off["y"]).alias("yy"), F.sum((F.col("y") - mean["y"]) * (F.col("y") - mean["y"])).alias("tss"), *(F.sum(off[a] * off[b]).alias(f"{a}_{b}") for a in terms for b in [*terms, "y"])).first()
+    gram, right = np.array([[sums[f"{a}_{b}"] for b in terms] for a in terms], float).reshape(p, p), np.array([sums[f"{a}_y"] for a in terms], float)
+    scale, level = np.sqrt(np.diag(gram)), np.array([mean[c] for c in terms])
+    free = n - len(terms) - int(intercept)
+    if free < 0 or not (scale > (1e-12 * np.abs(level) * np.sqrt(n) if intercept else 0)).all() or (p and np.linalg.matrix_rank(gram / np.outer(scale, scale)) < p):
         raise ValueError("the lagged design is singular")
-    beta = np.linalg.solve(gram, right)
-    rss, tss = sums["syy"] - beta @ right, sums["syy"] - sums["sy"] ** 2 / sums["n"]
+    beta = np.linalg.solve(gram / np.outer(scale, scale), right / scale) / scale
+    rss, tss = sums["yy"] - beta @ right, sums["tss"]
     last = [r[0] for r in df.orderBy(*(F.col(c).desc() for c in order)).select(double(column)).limit(p).collect()]
-    free = sums["n"] - len(terms)
-    return {"intercept": float(beta[0]) if intercept else 0.0, "coefficients": [float(b) for b in beta[int(intercept) :]], "sigma2": float(rss / free) if free > 0 else None, "r2": float(1 - rss / tss) if tss > 0 else None, "last": last, "n": sums["n"]}
+    return {"intercept": float(mean["y"] - beta @ level) if intercept else 0.0, "coefficients": [float(b) for b in beta], "sigma2": float(rss / free) if free > 0 else None, "r2": float(1 - rss / tss) if tss > 0 else None, "last": last, "n": n}
 
 
 def ar_forecast(fit: dict, horizon: int = 3) -> list[float]:

@@ -139,3 +139,20 @@ def test_golden_assignment_is_the_sequential_one(spark, n, budget, authored):
     got = app.golden_assign(df, "k", "id", names, budget, "own")
     assert {r.id: (r.family, r.phase) for r in got.collect()} == want
     assert {r.family: r.n for r in app.golden_histogram(got, names).collect()} == {f: sum(v[0] == f for v in want.values()) for f in names}
+
+
+@pytest.mark.parametrize("unit", [1e-3, 1.0, 1e7])
+def test_ar_fit_does_not_depend_on_unit_and_level(spark, unit):
+    rng = np.random.default_rng(3)
+    y = [0.0, 0.0]
+    for e in rng.normal(size=60):
+        y.append(0.5 * y[-1] - 0.3 * y[-2] + e)
+    y = np.array(y)
+    df = spark.createDataFrame([(k, float(unit * (1000 + v))) for k, v in enumerate(y)], "k long, v double")
+    want = np.linalg.lstsq(np.column_stack([np.ones(60), y[1:-1], y[:-2]]), y[2:], rcond=None)[0]
+    fit = win.ar_fit(df, "v", ["k"], 2)
+    assert fit["coefficients"] == pytest.approx(list(want[1:]), rel=1e-6) and fit["intercept"] == pytest.approx(unit * (want[0] + 1000 * (1 - want[1] - want[2])), rel=1e-6)
+    ahead = want[0] + want[1] * y[-1] + want[2] * y[-2]
+    assert win.ar_forecast(fit, 1) == pytest.approx([unit * (1000 + ahead)], rel=1e-9)
+    with pytest.raises(ValueError, match="singular"):
+        win.ar_fit(df.selectExpr("k", "7e9 as v"), "v", ["k"], 1)
