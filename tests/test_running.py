@@ -81,3 +81,23 @@ def test_asof_without_keys_is_the_keyed_one(spark, monkeypatch, direction):
     want = rel.asof_join(one(left), one(right), "t", ["k"], direction, tie=["j"]).select("i", "j")
     got = rel.asof_join(left, right, "t", (), direction, tie=["j"]).select("i", "j")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_all_pairs_by_sorting(spark, monkeypatch):
+    from sparkloom.operators import regression as reg
+
+    monkeypatch.setattr(st, "PAIR_ROWS", 1000)
+    monkeypatch.setattr(reg, "PAIR_ROWS", 1000)
+    rng = random.Random(5)
+    assert st.inversions(st.np.array([3, 1, 2, 2, 0])) == 7 and st.inversions(st.np.array([])) == 0
+    for spread, n in ((4, 61), (1000, 60), (3, 2), (1, 12)):
+        data = [(i, float(rng.randrange(spread)) * 1e3, rng.choice([None, rng.gauss(0, 1), float(rng.randrange(spread))])) for i in range(n)]
+        df = spark.createDataFrame(data, "k long, x double, y double")
+        for fn, column in ((st.kendall, "tau"), (reg.theil_sen, "slope"), (reg.siegel_slopes, "slope")):
+            want = fn(df, "x", "y", "k").first()[column]
+            monkeypatch.setattr(st, "PAIR_ROWS", 1)
+            monkeypatch.setattr(reg, "PAIR_ROWS", 1)
+            got = fn(df, "x", "y", "k", bound=False).first()[column]
+            monkeypatch.setattr(st, "PAIR_ROWS", 1000)
+            monkeypatch.setattr(reg, "PAIR_ROWS", 1000)
+            assert (got is None) == (want is None) and (want is None or got == pytest.approx(want, rel=1e-9, abs=1e-12))
