@@ -119,3 +119,41 @@ def test_joins_of_the_whole_table(spark):
 
 def test_samples_reach_their_operators_bounds(spark):
     assert QUERIES["hierarchical"](spark, SF_100).count() == 100
+
+
+def test_ties_of_standings_cost_no_more_than_the_points(spark):
+    from sparkloom.operators import applications as app
+
+    scores = spark.range(200_000).selectExpr("1 as state", "id as entry", "if(id < 3, 9, 5) as score")  # 199,997 ties took 2e10 steps
+    out = app.standings(scores, [10, 6, 3, 1], "high").groupBy("place", "tied", "points").count()
+    assert sorted(map(tuple, out.collect())) == [(1, True, 6.33, 3), (4, True, 0.0, 199_997)]
+    few = spark.createDataFrame([(1, k, v) for k, v in enumerate([9, 8, 8, 8, 7, 7])], "state int, entry int, score int")
+    assert [r.points for r in app.standings(few, [10, 6, 3, 1], "high").orderBy("entry").collect()] == [10.0, 3.33, 3.33, 3.33, 0.0, 0.0]
+
+
+def test_rays_and_boxes_by_equal_kinds(spark, monkeypatch):
+    from sparkloom.operators import raster
+    from sparkloom.operators import relational as rel
+
+    rays = spark.range(6000).selectExpr("id as ray", "double(id % 7) as x", "double(id % 5) as y", "1.0d as dx", "0.5d as dy")
+    boxes = spark.range(6000).selectExpr("id as box", "double(id % 11 * 9) as x0", "double(id % 3 * 20) as y0", "double(id % 11 * 9 + 4) as x1", "if(id = 5999, double('inf'), double(id % 3 * 20 + 4)) as y1")
+    out = raster.cast_rays(rays, boxes, 1.0, 60)
+    assert "CartesianProduct" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "BroadcastNestedLoop" not in plan
+    kinds = {tuple(r)[1:]: r.box for r in boxes.orderBy("box", ascending=False).collect()}
+    one = lambda x, y: min(((at, b) for at in range(61) for (x0, y0, x1, y1), b in kinds.items() if x0 <= x + at <= x1 and y0 <= y + at / 2 <= y1), default=None)
+    want = {(x, y): one(x, y) for x in range(7) for y in range(5)}
+    assert {r.ray: (r.at, r.box) for r in out.collect()} == {k: want[k % 7, k % 5] for k in range(6000) if want[k % 7, k % 5]}
+
+    monkeypatch.setattr(rel, "LIST_ROWS", 3)
+    box = lambda n, w: spark.range(n).selectExpr("if(id = 1, null, id) as id", "if(id = 4, null, 'm') as frame", "id % 6 as x0", "id % 4 as y0", f"id % 6 + {w} as x1", f"id % 4 + {w} as y1")
+    a, c = box(90, 4), box(70, 1)
+    want = [(p.id, q.id) for p in a.collect() for q in c.collect() if p.frame and q.frame and p.x0 <= q.x0 and p.y0 <= q.y0 and p.x1 >= q.x1 and p.y1 >= q.y1]
+    met = rel.containment_join(a, c, 2)
+    assert sorted(map(tuple, met.collect()), key=repr) == sorted(want, key=repr)
+    assert "collect_list" in met._jdf.queryExecution().executedPlan().toString()  # pairs of kinds, not of rows, are tested
+
+
+@pytest.mark.parametrize("how", ["right", "outer"])
+def test_joins_that_keep_the_right_side_build_no_key_in_one_task(spark, how):
+    out = QUERIES[f"join_{how}"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" not in out and "RightOuter" not in out and "BroadcastHashJoin" in out
